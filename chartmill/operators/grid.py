@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLOTS = 256
+SLOTS = 256  # a power of two
 
 
-def _axis(cells: DataFrame, key: str, value: str) -> DataFrame:
-    # max(value) keeps the value column in this branch, so that its plan below
-    # the shuffle equals the main one and the shuffle is reused: one scan.
-    return cells.groupBy(key).agg(F.max(value).alias("_seen")).filter(F.col("_seen").isNotNull()).select(key)
+def axis(cells: DataFrame, key: str, value: str) -> DataFrame:
+    """key, total: the distinct keys of one axis.
+
+    The total keeps the value column in this branch (the filter keeps the
+    total), so the plan below the cells' shuffle equals that of the main branch
+    and the shuffle is reused: the source is scanned once.
+    """
+    return cells.groupBy(key).agg(F.sum(value).alias("total")).filter(F.col("total").isNotNull())
 
 
 def dense_grid(cells: DataFrame, row: str, col: str, value: str) -> DataFrame:
@@ -23,8 +27,11 @@ def dense_grid(cells: DataFrame, row: str, col: str, value: str) -> DataFrame:
     repeated once per slot, so neither side has to fit one task or a broadcast.
     The output is partitioned by row key, each with the same number of cells.
     """
-    rows = _axis(cells, row, value).withColumn("_slot", F.pmod(F.xxhash64(row), F.lit(SLOTS)).cast("int"))
-    cols = _axis(cells, col, value).withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    # The hash is never NULL, and neither is the slot: no filter is derived from the join.
+    slot = F.xxhash64(row).bitwiseAND(F.lit(SLOTS - 1).cast("long"))
+    rows = axis(cells, row, value).select(row, slot.alias("_slot"))
+    slots = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long")))
+    cols = axis(cells, col, value).select(col, slots.alias("_slot"))
     blank = rows.join(cols, "_slot").select(row, col, F.lit(0.0).alias(value), F.lit(False).alias("present"))
     return (
         cells.select(row, col, value, F.lit(True).alias("present"))

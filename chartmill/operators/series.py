@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from chartmill.columns import chart_value, named
 from chartmill.operators.aggregates import aggregate, check_aggregate
-from chartmill.operators.grid import dense_grid
+from chartmill.operators.grid import axis, dense_grid
 from chartmill.operators.running import running_total
 
 
@@ -30,8 +30,8 @@ def _capped(df: DataFrame, order: list[str], max_points: int | None) -> DataFram
 
 def _any_height(cells: DataFrame, x: str | None) -> Column:
     """True when some stack is higher than 0, as a scalar subquery."""
-    totals = cells.groupBy(x) if x else cells.groupBy()
-    return (totals.agg(F.sum("y").alias("_total")).agg(F.max("_total")).scalar() > 0)
+    totals = axis(cells, x, "y") if x else cells.agg(F.sum("y").alias("total"))
+    return totals.agg(F.max("total")).scalar() > 0
 
 
 def _share(total: Column) -> Column:
