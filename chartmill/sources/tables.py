@@ -34,9 +34,9 @@ def infer_schema(texts: DataFrame, rows: int = INFER_ROWS) -> T.StructType:
     tests = []
     for name in texts.columns:
         cell = named(name)
-        fits = [
-            F.coalesce(F.bool_and(_fits(cell, kind, shape)), F.lit(False)) for kind, shape in _TYPE_TESTS
-        ]
+        # bool_and skips the NULLs that missing cells give; no cell at all fits nothing.
+        judged = [F.when(cell.isNotNull(), _fits(cell, kind, shape)) for kind, shape in _TYPE_TESTS]
+        fits = [F.coalesce(F.bool_and(verdict), F.lit(False)) for verdict in judged]
         tests.append(F.array(*fits))
     verdicts = texts.limit(rows).agg(F.array(*tests)).first()[0]
     fields = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import chartmill as cm
 from chartmill.streaming.period_stream import open_stream, stream_period_series, write_available
-from workload.registry import query, rounded, scratch, table
+from workload.registry import query, rounded, scratch, steady, steady_sql, table
 
 
 def _spec(sf_dir: str) -> dict:
@@ -95,10 +95,10 @@ def batch_status(spark, sf_dir):
     return cm.batch_status(cm.chart_batch(spark, _spec(sf_dir)))
 
 
-@query("batch_long", f"WITH {_CHARTS_SQL} SELECT chart, x, series, round(y, 2) AS y FROM charts")
+@query("batch_long", f"WITH {_CHARTS_SQL} SELECT chart, x, series, {steady_sql('y', 2)} AS y FROM charts")
 def batch_long(spark, sf_dir):
     long = cm.long_form(cm.chart_batch(spark, _spec(sf_dir)))
-    return long.withColumn("y", rounded("y", 2))
+    return long.withColumn("y", steady("y", 2))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import chartmill as cm
-from workload.registry import query, rounded, table
+from workload.registry import query, rounded, steady, steady_sql, table
 
 STEPS = ["view", "click", "signup", "purchase"]
 
@@ -53,9 +53,9 @@ def area_simple(spark, sf_dir):
 
 @query(
     "area_grouped",
-    """
+    f"""
     SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS x, o_orderstatus AS series,
-           round(avg(o_totalprice), 4) AS y
+           {steady_sql("avg(o_totalprice)")} AS y
     FROM orders GROUP BY 1, 2
     """,
 )
@@ -63,7 +63,7 @@ def area_grouped(spark, sf_dir):
     area = cm.area_series(
         _monthly_orders(spark, sf_dir), "month_start", "o_totalprice", "o_orderstatus", agg="mean"
     )
-    return _round_all(area, "y")
+    return area.withColumn("y", steady("y"))
 
 
 _STACK_SQL = """
@@ -98,14 +98,16 @@ def area_stacked(spark, sf_dir):
 
 @query(
     "area_normalized",
-    """
+    f"""
     WITH cells AS (SELECT CAST(ts AS DATE) AS x, event_type AS series, sum(value) AS y FROM events GROUP BY 1, 2)
-    SELECT x, series, round(y, 4) AS y, round(100 * y / sum(y) OVER (PARTITION BY x), 4) AS share_pct FROM cells
+    SELECT x, series, round(y, 4) AS y,
+           {steady_sql("100 * y / sum(y) OVER (PARTITION BY x)")} AS share_pct
+    FROM cells
     """,
 )
 def area_normalized(spark, sf_dir):
     area = cm.area_series(_daily_events(spark, sf_dir), "day", "value", "event_type", normalize=True)
-    return _round_all(area, "y", "share_pct")
+    return _round_all(area, "y").withColumn("share_pct", steady("share_pct"))
 
 
 @query("bar_simple", "SELECT p_brand AS x, round(sum(p_retailprice), 2) AS y FROM part GROUP BY 1")
@@ -194,17 +196,17 @@ def heatmap_cells(spark, sf_dir):
 
 @query(
     "heatmap_intensity",
-    """
+    f"""
     WITH cells AS (SELECT CAST(ts AS DATE) AS x, event_type AS y, sum(value) AS z FROM events GROUP BY 1, 2),
     ends AS (SELECT min(z) AS lo, greatest(max(z), 0) AS hi FROM cells)
     SELECT x, y, round(z, 4) AS z,
-           round(CASE WHEN hi > lo THEN (z - lo) / (hi - lo) ELSE 0.5 END, 6) AS intensity
+           {steady_sql("CASE WHEN hi > lo THEN (z - lo) / (hi - lo) ELSE 0.5 END", 6)} AS intensity
     FROM cells, ends
     """,
 )
 def heatmap_intensity(spark, sf_dir):
     cells = cm.heatmap_cells(_daily_events(spark, sf_dir), "day", "event_type", "value")
-    return _round_all(cm.with_intensity(cells), "z").withColumn("intensity", rounded("intensity", 6))
+    return _round_all(cm.with_intensity(cells), "z").withColumn("intensity", steady("intensity", 6))
 
 
 _HOUR_WEEKDAY_SQL = """SELECT CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS weekday,
@@ -224,7 +226,7 @@ def heatmap_hour_weekday(spark, sf_dir):
                       (SELECT CAST(min(events) AS DOUBLE) FROM cells) AS lo,
                       (SELECT CAST(max(events) AS DOUBLE) FROM cells) AS hi FROM cells),
     shaded AS (SELECT x, y, z, CASE WHEN hi > lo THEN (z - lo) / (hi - lo) ELSE 0.5 END AS intensity FROM scaled)
-    SELECT x, y, z, round(intensity, 6) AS intensity,
+    SELECT x, y, z, {steady_sql("intensity", 6)} AS intensity,
            CAST(least(10, floor(intensity * 10) + 1) AS INTEGER) AS bin
     FROM shaded
     """,
@@ -232,7 +234,7 @@ def heatmap_hour_weekday(spark, sf_dir):
 def heatmap_bins(spark, sf_dir):
     counts = cm.hour_weekday(table(spark, sf_dir, "events"), "ts")
     map_ = cm.heatmap(counts, "hour", "weekday", "events", bins=10)
-    return map_.withColumn("intensity", rounded("intensity", 6))
+    return map_.withColumn("intensity", steady("intensity", 6))
 
 
 # --- scatter -----------------------------------------------------------------
@@ -310,17 +312,23 @@ def funnel_by_value(spark, sf_dir):
     f"""
     WITH {_STEP_SQL}
     SELECT given AS pos, step, round(value, 4) AS value,
-           round(100 * value / nullif(lag(value) OVER w, 0), 4) AS step_rate,
-           round(100 * value / nullif(first_value(value) OVER w, 0), 4) AS overall_rate,
-           round(value / (SELECT max(value) FROM v), 6) AS width_ratio
+           {steady_sql("100 * value / nullif(lag(value) OVER w, 0)")} AS step_rate,
+           {steady_sql("100 * value / nullif(first_value(value) OVER w, 0)")} AS overall_rate,
+           {steady_sql("value / (SELECT max(value) FROM v)", 6)} AS width_ratio
     FROM v WHERE (SELECT max(value) FROM v) > 0
     WINDOW w AS (ORDER BY given)
     """,
 )
 def funnel_conversion(spark, sf_dir):
     rates = cm.funnel_conversion(table(spark, sf_dir, "events"), STEPS, "event_type", "value", "given")
-    rates = _round_all(rates, "value", "step_rate", "overall_rate").drop("dropped", "drop_rate")
-    return rates.withColumn("width_ratio", rounded("width_ratio", 6))
+    return rates.select(
+        "pos",
+        "step",
+        rounded("value").alias("value"),
+        steady("step_rate").alias("step_rate"),
+        steady("overall_rate").alias("overall_rate"),
+        steady("width_ratio", 6).alias("width_ratio"),
+    )
 
 
 @query(
@@ -329,13 +337,15 @@ def funnel_conversion(spark, sf_dir):
     WITH {_STEP_SQL},
     placed AS (SELECT *, row_number() OVER (ORDER BY value DESC, given) - 1 AS pos FROM v)
     SELECT CAST(pos AS INTEGER) AS pos, step, round(value - lead(value) OVER w, 4) AS dropped,
-           round(100 * (value - lead(value) OVER w) / nullif(value, 0), 4) AS drop_rate
+           {steady_sql("100 * (value - lead(value) OVER w) / nullif(value, 0)")} AS drop_rate
     FROM placed WINDOW w AS (ORDER BY pos)
     """,
 )
 def funnel_dropoff(spark, sf_dir):
     rates = cm.funnel_conversion(table(spark, sf_dir, "events"), STEPS, "event_type", "value")
-    return _round_all(rates.select("pos", "step", "dropped", "drop_rate"), "dropped", "drop_rate")
+    return rates.select(
+        "pos", "step", rounded("dropped").alias("dropped"), steady("drop_rate").alias("drop_rate")
+    )
 
 
 @query(
@@ -389,11 +399,11 @@ def retention_from_events(spark, sf_dir):
     "retention_matrix",
     f"""
     WITH {_cohort_sql("quarter")} {_GRID_SQL}
-    SELECT cohort, period, users, cohort_size, round(retention_pct, 4) AS retention_pct FROM pct
+    SELECT cohort, period, users, cohort_size, {steady_sql("retention_pct")} AS retention_pct FROM pct
     """,
 )
 def retention_matrix(spark, sf_dir):
-    return _round_all(_matrix(spark, sf_dir, "quarter"), "retention_pct")
+    return _matrix(spark, sf_dir, "quarter").withColumn("retention_pct", steady("retention_pct"))
 
 
 @query("retention_absolute", f"WITH {_cohort_sql('month')} {_GRID_SQL} SELECT cohort, period, users FROM grid")
@@ -405,8 +415,8 @@ def retention_absolute(spark, sf_dir):
     "retention_intensity",
     f"""
     WITH {_cohort_sql("year")} {_GRID_SQL}
-    SELECT cohort, period, round(retention_pct, 4) AS retention_pct,
-           round(retention_pct / (SELECT max(retention_pct) FROM pct), 6) AS intensity
+    SELECT cohort, period, {steady_sql("retention_pct")} AS retention_pct,
+           {steady_sql("retention_pct / (SELECT max(retention_pct) FROM pct)", 6)} AS intensity
     FROM pct WHERE (SELECT max(retention_pct) FROM pct) > 0
     """,
 )
@@ -415,8 +425,8 @@ def retention_intensity(spark, sf_dir):
     return shaded.select(
         "cohort",
         "period",
-        rounded("retention_pct").alias("retention_pct"),
-        rounded("intensity", 6).alias("intensity"),
+        steady("retention_pct").alias("retention_pct"),
+        steady("intensity", 6).alias("intensity"),
     )
 
 
@@ -427,13 +437,13 @@ _PERIODS = range(7)
     "retention_pivot",
     f"WITH {_cohort_sql('year')} {_GRID_SQL} SELECT cohort, "
     + ", ".join(
-        f"round(max(CASE WHEN period = {p} THEN retention_pct END), 4) AS period_{p}" for p in _PERIODS
+        steady_sql(f"max(CASE WHEN period = {p} THEN retention_pct END)") + f" AS period_{p}" for p in _PERIODS
     )
     + " FROM pct GROUP BY cohort",
 )
 def retention_pivot(spark, sf_dir):
     wide = cm.retention_table(_matrix(spark, sf_dir, "year"), periods=_PERIODS)
-    return _round_all(wide, *[f"period_{p}" for p in _PERIODS])
+    return wide.withColumns({f"period_{p}": steady(f"period_{p}") for p in _PERIODS})
 
 
 # --- feeders -----------------------------------------------------------------

@@ -34,10 +34,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(column: str | Column, digits: int = 4) -> Column:
-    """Double sums differ in the last bits with task order; compare rounded."""
+    """Sums of doubles differ in the last bits with task order; compare them rounded."""
     return F.round(column, digits)
 
 
+def steady(column: str | Column, digits: int = 4) -> Column:
+    """Rounded means and ratios: these can end in a 5 right after the last digit kept.
+
+    The noise is cut off as a decimal first, so the 5 always rounds up.
+    """
+    column = F.col(column) if isinstance(column, str) else column
+    return F.round(column.cast("decimal(30,8)"), digits).cast("double")
+
+
+def steady_sql(expression: str, digits: int = 4) -> str:
+    """The SQL text that rounds as ``steady`` does."""
+    return f"CAST(round(CAST({expression} AS DECIMAL(30, 8)), {digits}) AS DOUBLE)"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path nobody has used yet, in the folder shared by all executors."""
     return f"{shared_dir(spark)}/workload-{uuid.uuid4().hex}/{name}"

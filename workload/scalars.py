@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import chartmill as cm
-from workload.registry import query, rounded, table
+from workload.registry import query, rounded, steady, steady_sql, table
 
 
 def _derived_counts(spark, sf_dir, name, columns):
@@ -116,18 +116,18 @@ def derive_log(spark, sf_dir):
 
 @query(
     "derive_sqrt",
-    "SELECT o_orderstatus, round(avg(sqrt(o_totalprice)), 4) AS root FROM orders GROUP BY 1",
+    f"SELECT o_orderstatus, {steady_sql('avg(sqrt(o_totalprice))')} AS root FROM orders GROUP BY 1",
 )
 def derive_sqrt(spark, sf_dir):
     rows = cm.derive(table(spark, sf_dir, "orders"), {"root": "sqrt(o_totalprice)"})
-    return rows.groupBy("o_orderstatus").agg(rounded(F.avg("root")).alias("root"))
+    return rows.groupBy("o_orderstatus").agg(steady(F.avg("root")).alias("root"))
 
 
 @query(
     "derive_arith",
-    """
-    SELECT l_linestatus, round(sum(round(l_extendedprice * (1 - l_discount), 4)), 2) AS revenue,
-           round(avg(l_tax / nullif(l_discount, 0) * 100), 4) AS tax_rate
+    f"""
+    SELECT l_linestatus, {steady_sql("sum(round(l_extendedprice * (1 - l_discount), 4))", 2)} AS revenue,
+           {steady_sql("avg(l_tax / nullif(l_discount, 0) * 100)")} AS tax_rate
     FROM lineitem GROUP BY 1
     """,
 )
@@ -140,5 +140,5 @@ def derive_arith(spark, sf_dir):
     }
     rows = cm.derive(table(spark, sf_dir, "lineitem"), columns)
     return rows.groupBy("l_linestatus").agg(
-        rounded(F.sum("revenue"), 2).alias("revenue"), rounded(F.avg("tax_rate")).alias("tax_rate")
+        steady(F.sum("revenue"), 2).alias("revenue"), steady(F.avg("tax_rate")).alias("tax_rate")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import chartmill as cm
 from chartmill.columns import chart_value
-from workload.registry import query, rounded, scratch, table
+from workload.registry import query, rounded, scratch, steady, steady_sql, table
 
 # --- sources -----------------------------------------------------------------
 
@@ -137,9 +137,10 @@ def select_columns(spark, sf_dir):
 
 @query(
     "numeric_coercion",
-    """
-    SELECT o_orderstatus, round(avg(coalesce(CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END, 0)), 4)
-           AS mean_y, count(*) AS n
+    f"""
+    SELECT o_orderstatus,
+           {steady_sql("avg(coalesce(CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END, 0))")} AS mean_y,
+           count(*) AS n
     FROM orders GROUP BY 1
     """,
 )
@@ -147,7 +148,7 @@ def numeric_coercion(spark, sf_dir):
     price = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice"))
     rows = table(spark, sf_dir, "orders").select("o_orderstatus", chart_value(price).alias("y"))
     return rows.groupBy("o_orderstatus").agg(
-        rounded(F.avg("y")).alias("mean_y"), F.count(F.lit(1)).alias("n")
+        steady(F.avg("y")).alias("mean_y"), F.count(F.lit(1)).alias("n")
     )
 
 
@@ -220,11 +221,11 @@ def _by_expression(spark, sf_dir, name, expression, key):
     "filter_expr_compare",
     """
     SELECT p_brand, count(*) AS n FROM part
-    WHERE p_size >= 10 AND p_size < 40 AND p_retailprice > 950 AND p_size <> 25 GROUP BY 1
+    WHERE p_size >= 10 AND p_size < 40 AND p_retailprice > 905 AND p_size <> 25 GROUP BY 1
     """,
 )
 def filter_expr_compare(spark, sf_dir):
-    text = "p_size >= 10 AND p_size < 40 AND p_retailprice > 950 AND p_size != 25"
+    text = "p_size >= 10 AND p_size < 40 AND p_retailprice > 905 AND p_size != 25"
     return _by_expression(spark, sf_dir, "part", text, "p_brand")
 
 
@@ -315,19 +316,19 @@ def filter_typed_literal(spark, sf_dir):
 
 def _aggregated(spark, sf_dir, agg):
     rows = cm.aggregate(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", agg)
-    return rows if agg == "count" else rows.withColumn("l_quantity", rounded("l_quantity"))
+    return rows if agg == "count" else rows.withColumn("l_quantity", steady("l_quantity"))
 
 
 def _aggregate_sql(function: str) -> str:
     return f"SELECT l_returnflag, {function} AS l_quantity FROM lineitem GROUP BY 1"
 
 
-@query("agg_sum", _aggregate_sql("round(sum(l_quantity), 4)"))
+@query("agg_sum", _aggregate_sql(steady_sql("sum(l_quantity)")))
 def agg_sum(spark, sf_dir):
     return _aggregated(spark, sf_dir, "sum")
 
 
-@query("agg_mean", _aggregate_sql("round(avg(l_quantity), 4)"))
+@query("agg_mean", _aggregate_sql(steady_sql("avg(l_quantity)")))
 def agg_mean(spark, sf_dir):
     return _aggregated(spark, sf_dir, "mean")
 
@@ -349,15 +350,15 @@ def agg_max(spark, sf_dir):
 
 @query(
     "agg_median",
-    """
-    SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 4) AS l_extendedprice
+    f"""
+    SELECT l_returnflag, l_linestatus, {steady_sql("median(l_extendedprice)")} AS l_extendedprice
     FROM lineitem GROUP BY 1, 2
     """,
 )
 def agg_median(spark, sf_dir):
     keys = ["l_returnflag", "l_linestatus"]
     medians = cm.aggregate(table(spark, sf_dir, "lineitem"), keys, "l_extendedprice", "median")
-    return medians.withColumn("l_extendedprice", rounded("l_extendedprice"))
+    return medians.withColumn("l_extendedprice", steady("l_extendedprice"))
 
 
 def _orders_by(spark, sf_dir, **columns):
