@@ -20,4 +20,50 @@ from chartmill.sources.dates import parse_dates, parse_epoch_micros, recognise_d
 from chartmill.sources.sinks import write_dataset
 from chartmill.sources.tables import column_list, read_csv, read_table
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    "aggregate",
+    "aggregate_all",
+    "apply_filters",
+    "area_series",
+    "bar_series",
+    "batch_status",
+    "build_chart",
+    "build_session",
+    "chart_batch",
+    "check_chart",
+    "check_spec",
+    "cohorts",
+    "column_list",
+    "derive",
+    "funnel",
+    "funnel_conversion",
+    "funnel_counts",
+    "heatmap",
+    "heatmap_cells",
+    "hour_weekday",
+    "line_series",
+    "load_spec",
+    "long_form",
+    "parse_dates",
+    "parse_epoch_micros",
+    "period_series",
+    "read_csv",
+    "read_table",
+    "recognise_dates",
+    "register_functions",
+    "retention",
+    "retention_table",
+    "row_counts",
+    "scatter_extent",
+    "scatter_points",
+    "series_keys",
+    "sort_limit",
+    "stacked_bar",
+    "transform",
+    "value_extent",
+    "with_bins",
+    "with_intensity",
+    "with_retention_intensity",
+    "write_batch",
+    "write_dataset",
+]

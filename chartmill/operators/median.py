@@ -15,6 +15,9 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 ROW_OVERHEAD = 96
 SALTS = 32
 
+BELOW, INSIDE, ABOVE = 0, 1, 2
+TARGET_COLUMNS = ("_first_zone", "_first_rank", "_second_zone", "_second_rank")
+
 
 def grouped_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys + ``value``: the interpolated median of the non-null values per group.
@@ -29,46 +32,51 @@ def grouped_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def _selected(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Median by rank selection, exact whatever the sketch returns.
+    """Median by rank selection in two scans, exact whatever the sketch returns.
 
     1. A quantile sketch per group gives a narrow bracket around the middle.
-    2. Rows below and inside the bracket are counted (map-side, tiny shuffle).
-       The counts say which of the three zones holds the middle ranks.
-    3. Only that zone's values are grouped and ranked.
+    2. Rows below and above the bracket are counted, those inside are counted
+       per value. The counts tell which zone holds the middle ranks.
+    3. Should that not be the bracket for some group, the rows of the right zone
+       are counted per value in another scan.
+    4. The values found are ranked by a running total of their counts.
     """
     rows = df.select(*map(named, keys), named(value).cast("double").alias("_v"))
     groups = settled(
         rows.groupBy(*map(named, keys)).agg(
-            F.count("_v").alias("_n"),
-            F.percentile_approx("_v", [0.5 - BRACKET, 0.5 + BRACKET], SKETCH_ACCURACY).alias("_b"),
+            F.percentile_approx("_v", [0.5 - BRACKET, 0.5 + BRACKET], SKETCH_ACCURACY).alias("_b")
         )
-    ).select(*map(named, keys), "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
+    ).select(*map(named, keys), F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
     small = _measured_bytes(groups, keys) <= BROADCAST_BYTES
 
     present = rows.filter(F.col("_v").isNotNull())
+    if small:
+        present = present.withColumn("_copies", F.lit(1).cast("long"))
+    else:
+        # The groups will be joined by a shuffle: reduce equal values first.
+        present = present.groupBy(*map(named, keys), "_v").agg(F.count(F.lit(1)).alias("_copies"))
     zoned = _attach(present, groups, keys, small).withColumn("_zone", _zone())
+    inside_value = F.when(F.col("_zone") == INSIDE, F.col("_v")).alias("_v")
     counted = settled(
-        zoned.groupBy(*map(named, keys), "_n", "_lo", "_hi").agg(
-            F.count_if(F.col("_zone") == 0).alias("_below"),
-            F.count_if(F.col("_zone") == 1).alias("_inside"),
+        zoned.groupBy(*map(named, keys), "_lo", "_hi", "_zone", inside_value).agg(
+            F.sum("_copies").alias("_copies")
         )
     )
-    targets = counted.select(
-        *map(named, keys),
-        "_lo",
-        "_hi",
-        *_target("_first", F.expr("(_n + 1) div 2")),
-        *_target("_second", F.expr("_n div 2 + 1")),
-    )
-
-    histogram = (
-        _attach(present, targets, keys, small)
-        .withColumn("_zone", _zone())
-        .filter((F.col("_zone") == F.col("_first_zone")) | (F.col("_zone") == F.col("_second_zone")))
-        .groupBy(*map(named, keys), "_zone", "_v", "_first_zone", "_first_rank", "_second_zone", "_second_rank")
-        .agg(F.count(F.lit(1)).alias("_copies"))
-    )
-    ranked = running_total(histogram, keys + ["_zone"], ["_v"], "_copies")
+    targets = settled(_targets(counted, keys))
+    missed = (F.col("_first_zone") != INSIDE) | (F.col("_second_zone") != INSIDE)
+    if targets.filter(missed).isEmpty():
+        values = join_on(counted.drop("_lo", "_hi"), targets.drop("_lo", "_hi"), keys, small_right=small)
+        values = values.filter(F.col("_zone") == INSIDE)
+    else:
+        wanted = (F.col("_zone") == F.col("_first_zone")) | (F.col("_zone") == F.col("_second_zone"))
+        values = (
+            _attach(present, targets, keys, small)
+            .withColumn("_zone", _zone())
+            .filter(wanted)
+            .groupBy(*map(named, keys), "_zone", "_v", *TARGET_COLUMNS)
+            .agg(F.sum("_copies").alias("_copies"))
+        )
+    ranked = running_total(values, keys + ["_zone"], ["_v"], "_copies")
     middle = ranked.groupBy(*map(named, keys)).agg(
         F.max(_at("_first")).alias("_a"), F.max(_at("_second")).alias("_c")
     )
@@ -77,19 +85,37 @@ def _selected(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
+def _targets(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group the zones that hold the middle ranks and the ranks within them."""
+
+    def rows_in(zone: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("_zone") == zone, F.col("_copies"))), F.lit(0))
+
+    sums = counted.groupBy(*map(named, keys), "_lo", "_hi").agg(
+        rows_in(BELOW).alias("_below"), rows_in(INSIDE).alias("_inside"), F.sum("_copies").alias("_n")
+    )
+    return sums.select(
+        *map(named, keys),
+        "_lo",
+        "_hi",
+        *_target("_first", F.expr("(_n + 1) div 2")),
+        *_target("_second", F.expr("_n div 2 + 1")),
+    )
+
+
 def _measured_bytes(groups: DataFrame, keys: list[str]) -> int:
     key_bytes = F.length(F.to_json(F.struct(*map(named, keys))))
     return groups.select(F.sum(key_bytes + ROW_OVERHEAD)).first()[0] or 0
 
 
 def _zone() -> Column:
-    return F.when(F.col("_v") < F.col("_lo"), 0).when(F.col("_v") <= F.col("_hi"), 1).otherwise(2)
+    return F.when(F.col("_v") < F.col("_lo"), BELOW).when(F.col("_v") <= F.col("_hi"), INSIDE).otherwise(ABOVE)
 
 
 def _target(name: str, rank: Column) -> list[Column]:
     """Zone of a rank and the rank counted from the start of that zone."""
     through_inside = F.col("_below") + F.col("_inside")
-    zone = F.when(rank <= F.col("_below"), 0).when(rank <= through_inside, 1).otherwise(2)
+    zone = F.when(rank <= F.col("_below"), BELOW).when(rank <= through_inside, INSIDE).otherwise(ABOVE)
     start = F.when(rank <= F.col("_below"), 0).when(rank <= through_inside, F.col("_below")).otherwise(through_inside)
     return [zone.alias(f"{name}_zone"), (rank - start).alias(f"{name}_rank")]
 
@@ -104,7 +130,7 @@ def _attach(rows: DataFrame, groups: DataFrame, keys: list[str], small: bool) ->
     """Give every row its group's figures.
 
     The group table is broadcast when its measured size allows. Otherwise both
-    sides are shuffled, and the rows of one group are spread over ``SALTS``
+    sides are shuffled, and the values of one group are spread over ``SALTS``
     partitions so that a hot group does not land in one task.
     """
     if small:

@@ -24,15 +24,18 @@ def _windowed(df: DataFrame, partition: list[str], order: list[str], value: str)
 def running_total(df: DataFrame, partition: list[str], order: list[str], value: str) -> DataFrame:
     """Add ``before`` and ``until``: the total of ``value`` without and with the row.
 
-    Small inputs use one window per group. A large input is settled first; if it
-    proves to have many rows it is cut into sorted ranges of even size, each
-    range is summed, and every row adds the total of the earlier ranges of its
-    group to the running total inside its own range.
+    Small inputs use one window per group. A large input is settled and its
+    largest group counted. If that is too big for a window, the rows are cut
+    into sorted ranges of even size, each range is summed, and every row adds
+    the total of the earlier ranges of its group to the running total inside its
+    own range.
     """
     if is_small(df):
         return _windowed(df, partition, order, value)
     df = settled(df)
-    if df.count() <= MAX_WINDOW_ROWS:
+    sizes = df.groupBy(*map(named, partition)).agg(F.count(F.lit(1)).alias("_size"))
+    largest = sizes.agg(F.max("_size")).first()[0] or 0
+    if largest <= MAX_WINDOW_ROWS:
         return _windowed(df, partition, order, value)
     return _by_ranges(df, partition, order, value)
 

@@ -168,3 +168,14 @@ def test_long_form(spark):
     long = cm.long_form(batch)
     assert long.columns == ["chart", "x", "series", "y"]
     assert {row[0] for row in tuples(long.select("chart").distinct())} == {"daily-value-line", "chart-2-bar"}
+
+
+def test_spec_file_as_a_job(spark, tmp_path, capsys):
+    from chartmill.__main__ import main as run_job
+
+    (tmp_path / "good.json").write_text(json.dumps(spec(LINE, BAR)))
+    assert run_job(["--spec", str(tmp_path / "good.json"), "--out", str(tmp_path / "out"), "--format", "json"]) == 0
+    assert "2 written, 0 failed" in capsys.readouterr().out
+    (tmp_path / "bad.json").write_text(json.dumps(spec(BAR, BROKEN)))
+    assert run_job(["--spec", str(tmp_path / "bad.json"), "--out", str(tmp_path / "out2")]) == 1
+    assert "broken-bar" in capsys.readouterr().out
