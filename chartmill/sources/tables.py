@@ -2,48 +2,61 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from chartmill.columns import named
 from chartmill.sources.dates import recognise_dates
 
 INFER_ROWS = 1000
 
-# What a column's cells must look like to be read as a type; the first type that
-# fits all sampled cells wins.
-_MOMENT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d+)?$"
-_TYPE_TESTS: tuple[tuple[T.DataType, str], ...] = (
-    (T.LongType(), r"^[+-]?\d+$"),
-    (T.DoubleType(), r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"),
-    (T.BooleanType(), r"^(true|false)$"),
-    (T.DateType(), r"^\d{4}-\d{2}-\d{2}$"),
-    (T.TimestampNTZType(), _MOMENT),
+# How a cell must be spelt to be read as a type.
+_WHOLE = re.compile(r"[+-]?\d+")
+_NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
+_DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
+_MOMENT = re.compile(r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d+)?")
+
+
+def _in_calendar(text: str, kind: type[dt.date]) -> bool:
+    try:
+        kind.fromisoformat(text)
+    except ValueError:
+        return False
+    return True
+
+
+# The first type that fits all sampled cells of a column wins.
+_TYPE_TESTS = (
+    (T.LongType(), lambda text: _WHOLE.fullmatch(text) and -(2**63) <= int(text) < 2**63),
+    (T.DoubleType(), lambda text: _NUMBER.fullmatch(text)),
+    (T.BooleanType(), lambda text: text in ("true", "false")),
+    (T.DateType(), lambda text: _DAY.fullmatch(text) and _in_calendar(text, dt.date)),
+    (T.TimestampNTZType(), lambda text: _MOMENT.fullmatch(text) and _in_calendar(text, dt.datetime)),
 )
 
 
-def _fits(cell: Column, kind: T.DataType, shape: str) -> Column:
-    return cell.rlike(shape) & cell.try_cast(kind).isNotNull()
+def _column_type(cells: list[str]) -> T.DataType:
+    for kind, fits in _TYPE_TESTS:
+        if cells and all(map(fits, cells)):
+            return kind
+    return T.StringType()
 
 
 def infer_schema(texts: DataFrame, rows: int = INFER_ROWS) -> T.StructType:
-    """Types for an all-text table from its first ``rows`` rows: one small job, one result row."""
-    tests = []
-    for name in texts.columns:
-        cell = named(name)
-        # bool_and skips the NULLs that missing cells give; no cell at all fits nothing.
-        judged = [F.when(cell.isNotNull(), _fits(cell, kind, shape)) for kind, shape in _TYPE_TESTS]
-        fits = [F.coalesce(F.bool_and(verdict), F.lit(False)) for verdict in judged]
-        tests.append(F.array(*fits))
-    verdicts = texts.limit(rows).agg(F.array(*tests)).first()[0]
-    fields = []
-    for name, verdict in zip(texts.columns, verdicts):
-        fitting = [kind for (kind, _), fits in zip(_TYPE_TESTS, verdict) if fits]
-        fields.append(T.StructField(name, fitting[0] if fitting else T.StringType()))
-    return T.StructType(fields)
+    """Types for an all-text table from its first ``rows`` rows.
+
+    Taking rows reads as few partitions as needed, however large the table is.
+    """
+    sample = texts.take(rows)
+    return T.StructType(
+        [
+            T.StructField(name, _column_type([row[i] for row in sample if row[i] is not None]))
+            for i, name in enumerate(texts.columns)
+        ]
+    )
 
 
 def read_csv(
