@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chartmill.columns import is_numeric, named, require_numeric
+from chartmill.columns import is_numeric, join_on, named, require_numeric
 from chartmill.operators.median import grouped_median
 from chartmill.sizing import is_small
 
@@ -20,6 +21,7 @@ AGGREGATES = {
     "max": F.max,
 }
 NUMERIC_ONLY = {"sum", "mean", "median"}
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def check_aggregate(agg: str) -> None:
@@ -66,8 +68,10 @@ def aggregate_all(df: DataFrame, key: str, agg: str) -> DataFrame:
     ]
     if not values:
         raise ValueError(f"no column left to aggregate by '{key}'")
+    if agg in ("min", "max"):
+        return _extremes(df, key, values, agg)
     if agg != "median" or is_small(df):
-        return df.groupBy(named(key)).agg(*[AGGREGATES[agg](named(name)).alias(name) for name in values])
+        return _each(df, key, values, agg)
     # Long form, so that all columns share the passes of the rank selection.
     long = df.select(
         named(key), F.explode(F.create_map(*_name_value_pairs(values))).alias("_column", "_value")
@@ -77,6 +81,25 @@ def aggregate_all(df: DataFrame, key: str, agg: str) -> DataFrame:
     return wide.select(named(key), *[named(name) for name in values])
 
 
+def _each(df: DataFrame, key: str, values: list[str], agg: str) -> DataFrame:
+    return df.groupBy(named(key)).agg(*[AGGREGATES[agg](named(name)).alias(name) for name in values])
+
+
+def _extremes(df: DataFrame, key: str, values: list[str], agg: str) -> DataFrame:
+    """Smallest or largest of every column.
+
+    Spark sorts its input to find the extremes of texts. They are found apart
+    from the columns of fixed width, so that only key and texts are sorted and
+    the rest is hashed; each half reads its own columns.
+    """
+    fixed = [name for name in values if isinstance(df.schema[name].dataType, FIXED_WIDTH)]
+    texts = [name for name in values if name not in fixed]
+    if not fixed or not texts:
+        return _each(df, key, values, agg)
+    both = join_on(_each(df, key, fixed, agg), _each(df, key, texts, agg), [key])
+    return both.select(named(key), *map(named, values))
+
+
 def _name_value_pairs(values: list[str]) -> list:
     pairs = []
     for name in values:

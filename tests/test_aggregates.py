@@ -71,6 +71,21 @@ def test_all_columns_include_text_where_it_makes_sense(rows):
     assert found[9] == "c"
 
 
+def test_extremes_of_all_columns_with_a_null_key(spark):
+    data = [(None, 1, "a"), (None, 5, "b"), ("k", 2, None), ("k", None, "z")]
+    rows = spark.createDataFrame(data, "key string, n int, s string")
+    assert sorted(tuples(aggregate_all(rows, "key", "max")), key=str) == [("k", 2, "z"), (None, 5, "b")]
+    assert sorted(tuples(aggregate_all(rows, "key", "min")), key=str) == [("k", 2, "z"), (None, 1, "a")]
+
+
+def test_extremes_sort_only_the_texts(load):
+    plan = plan_of(aggregate_all(load("lineitem"), "l_linestatus", "max"))
+    scans = [part.split(">")[0] for part in plan.split("ReadSchema: struct<")[1:]]
+    assert len(scans) == 2
+    assert "l_returnflag:string,l_linestatus:string" in scans
+    assert "Sort [l_linestatus" in plan and "HashAggregate" in plan
+
+
 def test_aggregation_is_partial_before_the_shuffle(load):
     plan = plan_of(aggregate(load("lineitem"), "l_returnflag", "l_quantity", "sum"))
     assert plan.count("HashAggregate") >= 2
