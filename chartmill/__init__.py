@@ -12,7 +12,7 @@ from chartmill.operators.retention import retention, retention_table, with_reten
 from chartmill.operators.scatter import scatter_points
 from chartmill.operators.series import area_series, bar_series, line_series, series_keys, stacked_bar
 from chartmill.plans.batch import batch_status, chart_batch, long_form, row_counts, write_batch
-from chartmill.plans.charts import build_chart
+from chartmill.plans.charts import build_chart, legend
 from chartmill.plans.spec import check_chart, check_spec, load_spec
 from chartmill.plans.stages import transform
 from chartmill.session import build_session
@@ -41,6 +41,7 @@ __all__ = [
     "heatmap",
     "heatmap_cells",
     "hour_weekday",
+    "legend",
     "line_series",
     "load_spec",
     "long_form",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartmill.operators import funnel as funnels
@@ -10,12 +11,20 @@ from chartmill.operators.heatmap import heatmap
 from chartmill.operators.ordering import sort_limit
 from chartmill.operators.retention import retention
 from chartmill.operators.scatter import scatter_points
-from chartmill.operators.series import area_series, bar_series, chart_cells, line_series, stacked_bar
+from chartmill.operators.series import (
+    area_series,
+    bar_series,
+    chart_cells,
+    line_series,
+    series_keys,
+    stacked_bar,
+)
 from chartmill.plans.spec import Chart, check_chart
 from chartmill.plans.stages import prepare, sort_keys
 
 DEFAULT_AGG = "sum"
 DEFAULT_BINS = 10
+GROUPED_CHARTS = ("line", "area", "bar", "bar-stacked", "scatter")
 
 # Spec fields that name source columns, and what those columns are called in the dataset.
 DATASET_NAMES = {
@@ -84,3 +93,25 @@ def build_chart(df: DataFrame, chart: Chart) -> DataFrame:
     dataset = _dataset(prepare(df, chart.get("filter"), chart.get("derive")), chart)
     renamed = {chart[field]: name for field, name in DATASET_NAMES.items() if chart.get(field)}
     return sort_limit(dataset, sort_keys(chart.get("sort"), renamed), chart.get("limit"))
+
+
+def legend(df: DataFrame, chart: Chart) -> DataFrame:
+    """series: what the chart's legend names.
+
+    The distinct series of a grouped chart, the steps of a funnel in their
+    order, else one label for the only value shown.
+    """
+    check_chart(chart)
+    kind = chart["type"]
+    if chart.get("group_by") and kind in GROUPED_CHARTS:
+        keys = series_keys(prepare(df, chart.get("filter"), chart.get("derive")), chart["group_by"])
+        return keys.select(F.col("series").cast("string").alias("series"))
+    if kind == "funnel":
+        return build_chart(df, {**chart, "conversion_rates": False}).select(F.col("step").alias("series"))
+    if kind == "scatter":
+        label = f"{chart['y']} vs {chart['x']}"
+    elif kind == "retention":
+        label = "retention_pct" if chart.get("percentage", True) else chart["users"]
+    else:
+        label = chart["z"] if kind == "heatmap" else chart["y"]
+    return df.sparkSession.range(1).select(F.lit(label).alias("series"))

@@ -12,6 +12,7 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.scheduler.mode": "FAIR",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

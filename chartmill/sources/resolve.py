@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartmill.sources.tables import read_table
+from chartmill.sources.tables import is_csv, read_table
+
+Entry = str | Mapping[str, Any]
 
 
 class Sources:
@@ -15,13 +18,17 @@ class Sources:
     ``default`` serves charts that name no source, ``override`` takes its place,
     ``named`` maps names to paths, ``tables`` maps names to DataFrames. A name
     is looked up in ``tables``, then in ``named``; anything else is a path.
+
+    An entry of ``named`` may also be a mapping with ``path`` and any of
+    ``schema``, ``header``, ``infer_rows`` and ``fmt``, as ``read_table`` takes
+    them. Large text files should come with a schema.
     """
 
     def __init__(
         self,
         spark: SparkSession,
         default: str | None = None,
-        named: Mapping[str, str] | None = None,
+        named: Mapping[str, Entry] | None = None,
         override: str | None = None,
         tables: Mapping[str, DataFrame] | None = None,
     ) -> None:
@@ -38,13 +45,20 @@ class Sources:
             raise ValueError("no data source: neither the chart nor the spec names one")
         return source
 
+    def _entry(self, source: str) -> dict[str, Any]:
+        entry = self._named.get(source, source)
+        return {"path": entry} if isinstance(entry, str) else dict(entry)
+
     def is_text_file(self, source: str) -> bool:
         """True for sources that are parsed anew on every scan."""
-        return source not in self._tables and ".csv" in self._named.get(source, source)
+        if source in self._tables:
+            return False
+        entry = self._entry(source)
+        return entry.get("fmt") == "csv" or is_csv(entry["path"])
 
     def open(self, source: str) -> DataFrame:
         if source in self._tables:
             return self._tables[source]
         if source not in self._opened:
-            self._opened[source] = read_table(self._spark, self._named.get(source, source))
+            self._opened[source] = read_table(self._spark, **self._entry(source))
         return self._opened[source]

@@ -81,6 +81,11 @@ def read_csv(
     return spark.read.options(mode=mode, **options).schema(schema).csv(path)
 
 
+def is_csv(path: str) -> bool:
+    """True for names like a.csv and a.csv.gz."""
+    return ".csv" in PurePosixPath(path).suffixes
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -88,16 +93,22 @@ def read_table(
     header: bool = True,
     infer_rows: int = INFER_ROWS,
     recognise: bool = True,
+    fmt: str | None = None,
 ) -> DataFrame:
-    """A CSV or Parquet table by file ending, with ``<column>_parsed`` dates added.
+    """A CSV or Parquet table with ``<column>_parsed`` dates added.
 
-    A folder counts as Parquet unless its name ends in .csv.
+    The format is ``fmt`` or follows from the name: .csv is CSV, anything else
+    Parquet.
     """
-    if ".csv" in PurePosixPath(path).suffixes:
+    if fmt is None:
+        fmt = "csv" if is_csv(path) else "parquet"
+    if fmt == "csv":
         df = read_csv(spark, path, schema, header, infer_rows)
-    else:
+    elif fmt == "parquet":
         reader = spark.read if schema is None else spark.read.schema(schema)
         df = reader.parquet(path)
+    else:
+        raise ValueError(f"unknown table format '{fmt}'; supported: csv, parquet")
     return recognise_dates(df) if recognise else df
 
 

@@ -179,3 +179,37 @@ def test_spec_file_as_a_job(spark, tmp_path, capsys):
     (tmp_path / "bad.json").write_text(json.dumps(spec(BAR, BROKEN)))
     assert run_job(["--spec", str(tmp_path / "bad.json"), "--out", str(tmp_path / "out2")]) == 1
     assert "broken-bar" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize(
+    ("chart", "labels"),
+    [
+        (LINE, ["value"]),
+        ({**LINE, "group_by": "event_type", "filter": {"include": {"event_type": ["click", "view"]}}}, ["click", "view"]),
+        ({"type": "scatter", "x": "user_id", "y": "value"}, ["value vs user_id"]),
+        ({"type": "heatmap", "x": "user_id", "y": "event_type", "z": "value"}, ["value"]),
+        (
+            {"type": "funnel", "steps": ["view", "click"], "values": "value", "step_col": "event_type", "step_order": [1, 0]},
+            ["click", "view"],
+        ),
+        ({"type": "retention", "cohort_date": "ts", "period_number": "user_id", "users": "value"}, ["retention_pct"]),
+    ],
+)
+def test_legend(load, chart, labels):
+    found = [row[0] for row in tuples(cm.legend(load("events"), chart))]
+    assert (found if chart["type"] == "funnel" else sorted(found)) == labels
+
+
+def test_a_source_with_a_schema(spark, tmp_path):
+    (tmp_path / "export").mkdir()
+    (tmp_path / "export" / "part-0").write_text("a,1\nb,2\n")
+    source = {"path": str(tmp_path / "export"), "fmt": "csv", "header": False, "schema": "kind STRING, n BIGINT"}
+    chart = {"type": "bar", "data": "export", "x": "kind", "y": "n"}
+    with cm.chart_batch(spark, spec(chart, chart, sources={"export": source})) as batch:
+        assert len(batch.cached) == 1
+        assert tuples(batch.datasets["chart-1-bar"]) == [("a", 1.0), ("b", 2.0)]
+
+
+def test_unknown_table_format(spark):
+    with pytest.raises(ValueError, match="orc"):
+        cm.read_table(spark, "/tmp/none", fmt="orc")
