@@ -28,10 +28,9 @@ def _capped(df: DataFrame, order: list[str], max_points: int | None) -> DataFram
     return ordered if max_points is None else ordered.limit(max_points)
 
 
-def _any_height(cells: DataFrame, x: str | None) -> Column:
-    """True when some stack is higher than 0, as a scalar subquery."""
-    totals = axis(cells, x, "y") if x else cells.agg(F.sum("y").alias("total"))
-    return totals.agg(F.max("total")).scalar() > 0
+def _any_height(cells: DataFrame) -> Column:
+    """True when the stack of some x is higher than 0, as a scalar subquery."""
+    return axis(cells, "x", "y").agg(F.max("total")).scalar() > 0
 
 
 def _share(total: Column) -> Column:
@@ -45,13 +44,13 @@ def _stacked(cells: DataFrame, normalize: bool) -> DataFrame:
     if normalize:
         dense = dense.withColumn("share_pct", _share(F.sum("y").over(Window.partitionBy("x"))))
         height = "share_pct"
-    # Dense rows: every x holds each series exactly once.
+    # Dense rows: the window of an x holds each series exactly once.
     order = Window.partitionBy("x").orderBy("series")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     until = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return dense.withColumn("y_start", F.coalesce(F.sum(height).over(before), F.lit(0.0))).withColumn(
         "y_end", F.sum(height).over(until)
-    ).filter(_any_height(cells, "x"))
+    ).filter(_any_height(cells))
 
 
 def _series(
@@ -128,8 +127,9 @@ def stacked_bar(
     """
     if x is not None:
         return _series(df, x, y, group, agg, True, False, max_points)
-    cells = chart_cells(df, {"series": group}, y, agg)
-    stack = running_total(cells, [], ["series"], "y").filter(_any_height(cells, None))
+    stack = running_total(chart_cells(df, {"series": group}, y, agg), [], ["series"], "y")
+    # The height comes from the totals' own input, settled or not: no second scan.
+    stack = stack.filter(stack.agg(F.sum("y")).scalar() > 0)
     stack = stack.select("series", "y", F.col("before").alias("y_start"), F.col("until").alias("y_end"))
     return _capped(stack, ["series"], max_points)
 

@@ -15,21 +15,32 @@ SESSION_SETTINGS = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+# For clusters. Shuffles start with many partitions, so that none outgrows its
+# task, and AQE merges the small ones; splits are large because charts read few
+# columns of each file.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4096",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
+    "spark.sql.files.maxPartitionBytes": "512MB",
+}
+
 
 def build_session(app_name: str = "chartmill", master: str | None = None, **settings: str) -> SparkSession:
-    """A session with the engine's defaults.
+    """A session with the engine's defaults; ``settings`` override them.
 
-    The number of shuffle partitions is left to the cluster (AQE coalesces
-    them); only local masters get one partition per core.
+    Local masters get one shuffle partition per core, any other master, also
+    one given to spark-submit, the cluster settings.
     """
     builder = SparkSession.builder.appName(app_name)
     conf = dict(SESSION_SETTINGS)
     if master is not None:
         builder = builder.master(master)
-        if master.startswith("local["):
-            cores = master[len("local["):-1].split(",")[0]
-            if cores.isdigit():
-                conf["spark.sql.shuffle.partitions"] = cores
+    if master is not None and master.startswith("local"):
+        cores = master.partition("[")[2].rstrip("]").split(",")[0]
+        if cores.isdigit():
+            conf["spark.sql.shuffle.partitions"] = cores
+    else:
+        conf.update(CLUSTER_SETTINGS)
     conf.update(settings)
     for key, value in conf.items():
         builder = builder.config(key, value)
