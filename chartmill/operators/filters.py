@@ -16,12 +16,11 @@ FilterValues = str | Sequence[str]
 def as_values(column: str, values: FilterValues) -> list[str]:
     """Normalise one value or a list of values; nothing may be empty."""
     listed = [values] if isinstance(values, str) or not isinstance(values, Sequence) else list(values)
-    listed = [str(value) for value in listed]
     if not column:
         raise ValueError("a filter needs a column name")
-    if not listed or any(value == "" for value in listed):
+    if not listed or any(value is None or value == "" for value in listed):
         raise ValueError(f"filter on '{column}' needs non-empty values")
-    return listed
+    return [str(value) for value in listed]
 
 
 def _keep(df: DataFrame, column: str, values: list[str]) -> Column:

@@ -25,24 +25,25 @@ CLUSTER_SETTINGS = {
 }
 
 
-def build_session(app_name: str = "chartmill", master: str | None = None, **settings: str) -> SparkSession:
-    """A session with the engine's defaults; ``settings`` override them.
+def session_settings(master: str | None = None) -> dict[str, str]:
+    """Settings for a master: one shuffle partition per core for a local one, the
+    cluster settings for any other, also one that spark-submit gives."""
+    settings = dict(SESSION_SETTINGS)
+    if master is None or not master.startswith("local"):
+        settings.update(CLUSTER_SETTINGS)
+        return settings
+    cores = master.partition("[")[2].rstrip("]").split(",")[0]
+    if cores.isdigit():
+        settings["spark.sql.shuffle.partitions"] = cores
+    return settings
 
-    Local masters get one shuffle partition per core, any other master, also
-    one given to spark-submit, the cluster settings.
-    """
+
+def build_session(app_name: str = "chartmill", master: str | None = None, **settings: str) -> SparkSession:
+    """A session with the engine's settings; ``settings`` override them."""
     builder = SparkSession.builder.appName(app_name)
-    conf = dict(SESSION_SETTINGS)
     if master is not None:
         builder = builder.master(master)
-    if master is not None and master.startswith("local"):
-        cores = master.partition("[")[2].rstrip("]").split(",")[0]
-        if cores.isdigit():
-            conf["spark.sql.shuffle.partitions"] = cores
-    else:
-        conf.update(CLUSTER_SETTINGS)
-    conf.update(settings)
-    for key, value in conf.items():
+    for key, value in {**session_settings(master), **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -47,6 +47,11 @@ def test_values_are_cast_to_the_column_type(rows):
     assert ids(apply_filters(rows, exclude={"users": "abc"})) == [1, 2, 3, 4, 5]
 
 
+def test_values_may_be_numbers(rows):
+    assert ids(apply_filters(rows, include={"users": 7})) == [5]
+    assert ids(apply_filters(rows, exclude={"users": [7, 20]})) == [1, 3]
+
+
 def test_date_column(spark):
     days = spark.sql("SELECT * FROM VALUES (1, DATE'2024-01-01'), (2, DATE'2024-02-01') AS t(id, day)")
     assert ids(apply_filters(days, include={"day": "2024-01-01"})) == [1]
@@ -55,7 +60,7 @@ def test_date_column(spark):
 
 @pytest.mark.parametrize(
     "filters",
-    [{"include": {"": "a"}}, {"include": {"channel": ""}}, {"exclude": {"channel": []}}, {"expression": "  "}],
+    [{"include": {"": "a"}}, {"include": {"channel": ""}}, {"exclude": {"channel": []}}, {"exclude": {"channel": [None]}}, {"expression": "  "}],
 )
 def test_empty_parts_are_rejected(rows, filters):
     with pytest.raises(ValueError):
