@@ -30,7 +30,8 @@ def main(arguments: list[str] | None = None) -> int:
     with chart_batch(spark, load_spec(chosen.spec), chosen.data) as batch:
         outcomes = write_batch(batch, chosen.out, chosen.format, chosen.parallel)
     for outcome in outcomes:
-        print(f"{outcome.name}: {outcome.rows} rows in {outcome.path}" if outcome.ok else f"{outcome.name}: {outcome.error}")
+        result = f"{outcome.rows} rows in {outcome.path}" if outcome.ok else outcome.error
+        print(f"{outcome.name}: {result}")
     failed = sum(not outcome.ok for outcome in outcomes)
     print(f"{len(outcomes) - failed} written, {failed} failed")
     return 1 if failed else 0

@@ -185,11 +185,14 @@ def test_spec_file_as_a_job(spark, tmp_path, capsys):
     ("chart", "labels"),
     [
         (LINE, ["value"]),
-        ({**LINE, "group_by": "event_type", "filter": {"include": {"event_type": ["click", "view"]}}}, ["click", "view"]),
+        (
+            {**LINE, "group_by": "event_type", "filter": {"include": {"event_type": ["click", "view"]}}},
+            ["click", "view"],
+        ),
         ({"type": "scatter", "x": "user_id", "y": "value"}, ["value vs user_id"]),
         ({"type": "heatmap", "x": "user_id", "y": "event_type", "z": "value"}, ["value"]),
         (
-            {"type": "funnel", "steps": ["view", "click"], "values": "value", "step_col": "event_type", "step_order": [1, 0]},
+            {"type": "funnel", "steps": ["view", "click"], "values": "value", "x": "event_type", "step_order": [1, 0]},
             ["click", "view"],
         ),
         ({"type": "retention", "cohort_date": "ts", "period_number": "user_id", "users": "value"}, ["retention_pct"]),

@@ -301,8 +301,10 @@ def test_missing_period_is_an_error(spark):
 
 def test_cohorts_with_a_hot_user(spark):
     data = [(1, f"2024-01-{day:02} 10:00:00") for day in range(1, 29) for _ in range(5)]
-    data += [(2, "2024-01-09 00:00:00"), (2, "2024-01-23 00:00:00"), (3, "2024-01-10 00:00:00"), (None, "2024-01-01 00:00:00")]
-    events = spark.createDataFrame(data, "who int, at string").select("who", F.col("at").cast("timestamp_ntz").alias("at"))
+    data += [(2, "2024-01-09 00:00:00"), (2, "2024-01-23 00:00:00")]
+    data += [(3, "2024-01-10 00:00:00"), (None, "2024-01-01 00:00:00")]
+    texts = spark.createDataFrame(data, "who int, at string")
+    events = texts.select("who", F.col("at").cast("timestamp_ntz").alias("at"))
     found = sorted(tuples(cm.cohorts(events, "who", "at", "week")))
     first, second = dt.date(2024, 1, 1), dt.date(2024, 1, 8)
     assert found == [(first, 0, 1), (first, 1, 1), (first, 2, 1), (first, 3, 1), (second, 0, 2), (second, 2, 1)]

@@ -60,7 +60,13 @@ def test_date_column(spark):
 
 @pytest.mark.parametrize(
     "filters",
-    [{"include": {"": "a"}}, {"include": {"channel": ""}}, {"exclude": {"channel": []}}, {"exclude": {"channel": [None]}}, {"expression": "  "}],
+    [
+        {"include": {"": "a"}},
+        {"include": {"channel": ""}},
+        {"exclude": {"channel": []}},
+        {"exclude": {"channel": [None]}},
+        {"expression": "  "},
+    ],
 )
 def test_empty_parts_are_rejected(rows, filters):
     with pytest.raises(ValueError):

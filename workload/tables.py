@@ -14,25 +14,26 @@ from workload.registry import query, rounded, scratch, steady, steady_sql, table
 @query(
     "csv_scan",
     """
-    SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total,
-           min(CAST(o_orderdate AS DATE)) AS first_day, max(CAST(o_orderdate AS DATE)) AS last_day,
-           CAST(sum(o_custkey) AS BIGINT) AS cust_sum
-    FROM orders GROUP BY o_orderstatus
+    SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS total,
+           min(CAST(l_shipdate AS DATE)) AS first_day, max(CAST(l_shipdate AS DATE)) AS last_day,
+           CAST(sum(l_linenumber) AS BIGINT) AS line_sum
+    FROM lineitem WHERE l_quantity >= 5 GROUP BY 1, 2
     """,
 )
 def csv_scan(spark, sf_dir):
-    path = scratch(spark, "orders.csv")
-    cm.write_dataset(table(spark, sf_dir, "orders"), path, "csv")
-    day = F.col("o_orderdate").cast("date")
+    """The table as CSV, its types inferred, then filter, group and aggregate."""
+    path = scratch(spark, "lineitem.csv")
+    cm.write_dataset(table(spark, sf_dir, "lineitem"), path, "csv")
+    day = F.col("l_shipdate").cast("date")
     return (
-        cm.read_table(spark, path)
-        .groupBy("o_orderstatus")
+        cm.apply_filters(cm.read_table(spark, path), expression="l_quantity >= 5")
+        .groupBy("l_returnflag", "l_linestatus")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            rounded(F.sum("o_totalprice"), 2).alias("total"),
+            rounded(F.sum("l_extendedprice"), 2).alias("total"),
             F.min(day).alias("first_day"),
             F.max(day).alias("last_day"),
-            F.sum("o_custkey").alias("cust_sum"),
+            F.sum("l_linenumber").alias("line_sum"),
         )
     )
 
