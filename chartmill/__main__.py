@@ -1,7 +1,7 @@
 """Run all charts of a spec file as one Spark job.
 
-    spark-submit ... -m chartmill --spec charts.yaml --out /data/charts
     python -m chartmill --spec charts.yaml --out /data/charts --format csv --parallel 8
+    spark-submit --py-files chartmill.zip chartmill/__main__.py --spec charts.yaml --out /data/charts
 """
 
 from __future__ import annotations

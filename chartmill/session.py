@@ -25,27 +25,31 @@ CLUSTER_SETTINGS = {
 }
 
 
-def session_settings(master: str | None = None) -> dict[str, str]:
-    """Settings for a master: one shuffle partition per core for a local one, the
-    cluster settings for any other, also one that spark-submit gives."""
-    settings = dict(SESSION_SETTINGS)
-    if master is None or not master.startswith("local"):
-        settings.update(CLUSTER_SETTINGS)
-        return settings
+def sizing_settings(master: str) -> dict[str, str]:
+    """Partition sizes for a master: one shuffle partition per core for a local one."""
+    if not master.startswith("local"):
+        return dict(CLUSTER_SETTINGS)
     cores = master.partition("[")[2].rstrip("]").split(",")[0]
-    if cores.isdigit():
-        settings["spark.sql.shuffle.partitions"] = cores
-    return settings
+    return {"spark.sql.shuffle.partitions": cores} if cores.isdigit() else {}
 
 
 def build_session(app_name: str = "chartmill", master: str | None = None, **settings: str) -> SparkSession:
-    """A session with the engine's settings; ``settings`` override them."""
+    """A session with the engine's settings; ``settings`` override them.
+
+    Partition sizes follow from the master the session ends up with, and leave
+    alone what spark-submit or the defaults file have set.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master is not None:
         builder = builder.master(master)
-    for key, value in {**session_settings(master), **settings}.items():
+    for key, value in {**SESSION_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for key, value in sizing_settings(spark.sparkContext.master).items():
+        if key not in settings and not given.contains(key):
+            spark.conf.set(key, value)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

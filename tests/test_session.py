@@ -2,20 +2,24 @@ from __future__ import annotations
 
 import pytest
 
-from chartmill.session import CLUSTER_SETTINGS, session_settings, shared_dir
+from chartmill.session import CLUSTER_SETTINGS, shared_dir, sizing_settings
 
 
 def test_local_masters_get_a_partition_per_core():
-    assert session_settings("local[6]")["spark.sql.shuffle.partitions"] == "6"
-    assert "spark.sql.shuffle.partitions" not in session_settings("local[*]")
-    assert not CLUSTER_SETTINGS.keys() & session_settings("local[6]").keys()
+    assert sizing_settings("local[6]") == {"spark.sql.shuffle.partitions": "6"}
+    assert sizing_settings("local[2,4]") == {"spark.sql.shuffle.partitions": "2"}
+    assert sizing_settings("local[*]") == {}
 
 
-@pytest.mark.parametrize("master", [None, "yarn", "spark://host:7077"])
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "k8s://host"])
 def test_other_masters_get_cluster_settings(master):
-    settings = session_settings(master)
-    assert settings.items() >= CLUSTER_SETTINGS.items()
-    assert settings["spark.sql.adaptive.enabled"] == "true"
+    assert sizing_settings(master) == CLUSTER_SETTINGS
+
+
+def test_session(spark):
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
 
 
 class FakeSession:
