@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 
 from chartmill.plans.charts import build_chart
 from chartmill.plans.spec import check_spec
+from chartmill.session import shared_dir
 from chartmill.sizing import input_bytes
 from chartmill.sources.resolve import Sources
-from chartmill.sources.sinks import slug, write_dataset
+from chartmill.sources.sinks import delete_table, slug, write_dataset
 
 CACHE_BYTES = 512 * 1024 * 1024
 POOL = "spark.scheduler.pool"
@@ -31,6 +33,7 @@ class Batch:
     datasets: dict[str, DataFrame] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
     cached: list[DataFrame] = field(default_factory=list)
+    staged: list[str] = field(default_factory=list)
 
     def __enter__(self) -> Batch:
         return self
@@ -39,10 +42,13 @@ class Batch:
         self.close()
 
     def close(self) -> None:
-        """Release cached sources."""
+        """Release cached sources and delete the staged copies."""
         for df in self.cached:
             df.unpersist()
         self.cached.clear()
+        for path in self.staged:
+            delete_table(self.spark, path)
+        self.staged.clear()
 
 
 def _chart_name(chart: Mapping[str, Any], number: int, taken: Counter) -> str:
@@ -64,9 +70,10 @@ def chart_batch(
     noted in ``errors`` and leaves the others alone. ``data`` replaces the
     spec's default source; ``tables`` offers DataFrames as named sources.
 
-    Each source is opened once. A CSV used by several charts is cached when its
-    size allows, because every scan would parse it anew; larger files and
-    columnar sources are scanned per chart with only the columns needed.
+    Each source is opened once. Columnar sources are scanned per chart with only
+    the columns needed. A CSV used by several charts would be read and parsed
+    whole for each of them: it is cached when its size allows, and otherwise
+    copied once, here, to a Parquet table in the shared folder.
     """
     check_spec(spec)
     block = spec.get("data") or {}
@@ -75,12 +82,19 @@ def chart_batch(
     taken: Counter = Counter()
     uses = Counter(chart.get("data") or data or block.get("default") for chart in spec["charts"])
     shared: dict[str, DataFrame] = {}
+    broken: dict[str, Exception] = {}
     for number, chart in enumerate(spec["charts"], start=1):
         name = _chart_name(chart, number, taken)
         try:
             source = sources.pick(chart.get("data"))
+            if source in broken:
+                raise broken[source]
             if source not in shared:
-                shared[source] = _share(sources, source, uses[source], batch)
+                try:
+                    shared[source] = _share(sources, source, uses[source], batch)
+                except Exception as problem:
+                    broken[source] = problem
+                    raise
             batch.datasets[name] = build_chart(shared[source], chart)
         except Exception as problem:  # one bad chart must not stop the others
             batch.errors[name] = _reason(problem)
@@ -89,10 +103,16 @@ def chart_batch(
 
 def _share(sources: Sources, source: str, uses: int, batch: Batch) -> DataFrame:
     df = sources.open(source)
-    if uses > 1 and sources.is_text_file(source) and input_bytes(df) <= CACHE_BYTES:
+    if uses < 2 or not sources.is_text_file(source):
+        return df
+    if input_bytes(df) <= CACHE_BYTES:
         df = df.persist()
         batch.cached.append(df)
-    return df
+        return df
+    path = f"{shared_dir(batch.spark)}/chartmill-{uuid.uuid4().hex}"
+    batch.staged.append(path)
+    write_dataset(df, path)
+    return batch.spark.read.schema(df.schema).parquet(path)
 
 
 def _reason(problem: Exception) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 FORMATS = ("parquet", "csv", "json")
 MAX_SLUG = 50
@@ -24,3 +24,9 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(path)
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Remove a table's folder from whatever file system holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

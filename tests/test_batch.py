@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from conftest import DATA, tuples
 
 import chartmill as cm
+from chartmill.plans import batch as batches
 from chartmill.sources.resolve import Sources
 
 
@@ -150,6 +152,30 @@ def test_a_shared_csv_is_read_once_and_released(spark, tmp_path):
     assert cm.chart_batch(spark, spec(BAR, BAR)).cached == []
 
 
+def test_a_large_shared_csv_is_copied_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batches, "CACHE_BYTES", 0)
+    (tmp_path / "u.csv").write_text("channel,users,created\na,1,12/01/2023\nb,2,12/02/2023\n")
+    day = {"type": "line", "x": "created_parsed", "y": "users"}
+    bar = {"type": "bar", "x": "channel", "y": "users"}
+    with cm.chart_batch(spark, spec(day, bar, default=str(tmp_path / "u.csv"))) as batch:
+        assert batch.cached == [] and len(batch.staged) == 1
+        path = batch.staged[0]
+        assert all(path in df.inputFiles()[0] for df in batch.datasets.values())
+        assert [row[1] for row in tuples(cm.row_counts(batch))] == [2, 2]
+    assert not os.path.exists(path)
+
+
+def test_a_broken_source_is_tried_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batches, "CACHE_BYTES", 0)
+    (tmp_path / "bad.csv").write_text("x,y\na,1\nb,2,3\n")
+    bar = {"type": "bar", "x": "x", "y": "y"}
+    good = {**BAR, "data": f"{DATA}/events.parquet"}
+    batch = cm.chart_batch(spark, spec(bar, bar, good, default=str(tmp_path / "bad.csv")))
+    assert list(batch.datasets) == ["chart-3-bar"]
+    assert len(batch.errors) == 2 and len(batch.staged) == 1
+    batch.close()
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
 def test_written_batch(spark, tmp_path, fmt):
     late = {**BAR, "title": "late", "filter": {"expression": "raise_error('boom') IS NULL"}}

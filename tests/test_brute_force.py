@@ -6,7 +6,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from conftest import tuples
+from conftest import plan_of, tuples
 
 import chartmill as cm
 
@@ -50,7 +50,16 @@ def test_grouped(rows, frame):
     assert [row[:2] for row in found] == sorted(expected, key=lambda key: tuple(map(nulls_first, key)))
 
 
-def test_stacked(rows, frame):
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_stacked(spark, rows, frame, threshold):
+    """With the small sides broadcast by AQE, and with shuffle joins only."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = cm.stacked_bar(frame, "y", "g", "x")
+        actual = tuples(found)
+        assert ("SortMergeJoin" in plan_of(found)) == (threshold == "-1")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     cells = summed(rows)
     xs = sorted({x for x, _ in cells}, key=nulls_first)
     series = sorted({name for _, name in cells}, key=nulls_first)
@@ -61,7 +70,7 @@ def test_stacked(rows, frame):
             y = cells.get((x, name), 0.0)
             expected.append((x, name, y, top, top + y))
             top += y
-    assert tuples(cm.stacked_bar(frame, "y", "g", "x")) == expected
+    assert actual == expected
 
 
 @pytest.mark.parametrize("scale", [False, True])

@@ -32,6 +32,7 @@ def ids(df):
         ({"expression": "users >= 10 AND NOT (channel = 'direct' OR channel IS NULL)"}, [1]),
         ({"expression": "channel LIKE 's%'"}, [1, 4]),
         ({"expression": "channel NOT IN ('direct')"}, [1, 4]),
+        ({"expression": 'channel IN ("direct", "social")'}, [2, 4, 5]),
         ({"expression": "users BETWEEN 7 AND 10"}, [1, 5]),
         ({"expression": "users IS NULL"}, [4]),
     ],
