@@ -57,7 +57,7 @@ def test_stacked(spark, rows, frame, threshold):
     try:
         found = cm.stacked_bar(frame, "y", "g", "x")
         actual = tuples(found)
-        assert ("SortMergeJoin" in plan_of(found)) == (threshold == "-1")
+        assert ("BroadcastHashJoin" in plan_of(found)) == (threshold == "10MB")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     cells = summed(rows)
