@@ -4,7 +4,7 @@ import datetime as dt
 from collections import defaultdict
 
 import pytest
-from conftest import plan_of, tuples
+from conftest import final_plan, plan_of, tuples
 from pyspark.sql import functions as F
 
 import chartmill as cm
@@ -105,20 +105,24 @@ def test_cap_cuts_the_result_not_the_input(load):
     assert "TakeOrderedAndProject" in plan_of(bars)
 
 
-@pytest.mark.parametrize("chart", ["stack", "retention", "heatmap"])
+@pytest.mark.parametrize("chart", ["stack", "total", "normalised", "retention", "heatmap"])
 def test_one_scan_no_cross_product(load, chart):
     if chart == "stack":
         df = cm.stacked_bar(load("lineitem"), "l_quantity", "l_returnflag", "l_suppkey")
+    elif chart == "total":
+        df = cm.stacked_bar(load("lineitem"), "l_quantity", "l_suppkey")
+    elif chart == "normalised":
+        df = cm.area_series(load("part"), "p_size", "p_retailprice", "p_brand", stacked=True, normalize=True)
     elif chart == "retention":
         cells = cm.cohorts(load("orders"), "o_custkey", "o_orderdate", "year")
         df = cm.with_retention_intensity(cm.retention(cells, "cohort", "period_number", "users"))
     else:
         df = cm.heatmap(load("lineitem"), "l_shipdate", "l_returnflag", "l_quantity")
-    df.collect()
-    final = plan_of(df).split("+- == Initial Plan ==\n   Project")[0]
-    assert "CartesianProduct" not in final
-    assert "NestedLoop" not in final
-    assert "ReusedExchange" in final
+    plan = final_plan(df)
+    assert plan.count("FileScan") == 1
+    assert "ReusedExchange" in plan
+    assert "CartesianProduct" not in plan
+    assert "NestedLoop" not in plan
 
 
 def test_value_extent(spark, segments):
