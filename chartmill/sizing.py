@@ -8,15 +8,19 @@ from chartmill.session import ensure_checkpoint_dir
 
 SMALL_INPUT_CONF = "spark.chartmill.smallInputBytes"
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
+UNKNOWN_BYTES = 2**63 - 1
 
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate: the larger of the plan's own and its leaves' total.
 
-    Scans report file sizes and filters count as free, so for scan / filter /
-    aggregate plans this does not fall below what is read from storage.
+    Scans report file sizes, filters count as free and joins as products, so the
+    figure does not fall below what is read from storage. Exploded arrays are
+    the exception: their number is unknown, and so is the size.
     """
     plan = df._jdf.queryExecution().optimizedPlan()
+    if "Generate" in plan.treeString():
+        return UNKNOWN_BYTES
     leaves = plan.collectLeaves()
     scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return max(scanned, int(str(plan.stats().sizeInBytes())))

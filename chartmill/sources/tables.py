@@ -78,6 +78,8 @@ def read_csv(
     options = {"header": header, "sep": sep}
     if schema is None:
         schema = infer_schema(spark.read.options(**options).csv(path), infer_rows)
+        # All files must have the columns of the first one, in its order.
+        options["enforceSchema"] = False
     return spark.read.options(mode=mode, **options).schema(schema).csv(path)
 
 

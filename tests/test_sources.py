@@ -7,7 +7,7 @@ from conftest import optimized, tuples
 from pyspark.sql import types as T
 
 import chartmill as cm
-from chartmill.sizing import input_bytes
+from chartmill.sizing import input_bytes, is_small
 from chartmill.sources.dates import is_date_like, is_epoch_like
 from chartmill.sources.sinks import slug
 
@@ -61,6 +61,17 @@ def test_too_many_fields_are_an_error(spark, tmp_path):
         cm.read_csv(spark, path).collect()
 
 
+def test_files_with_other_columns_are_an_error(spark, tmp_path):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    write(folder, "a.csv", "users,sessions", "1,2", "3,4")
+    write(folder, "b.csv", "users,sessions", "5,6")
+    assert cm.read_csv(spark, str(folder)).groupBy().sum("users").first()[0] == 9
+    write(folder, "c.csv", "sessions,users", "8,7")
+    with pytest.raises(Exception, match="header"):
+        cm.read_csv(spark, str(folder)).groupBy().sum("users").collect()
+
+
 def test_quoted_cells(spark, tmp_path):
     path = write(tmp_path, "q.csv", "name,n", '"Smith, A",1', '"say ""hi""",2')
     assert cm.read_csv(spark, path).first()["name"] == "Smith, A"
@@ -202,6 +213,12 @@ def test_input_size_is_not_below_the_files(spark, load):
     assert input_bytes(orders.filter("o_orderkey = 1").select("o_orderkey")) >= whole
 
 
+def test_size_of_exploded_rows_is_unknown(load):
+    orders = load("orders")
+    assert is_small(orders.groupBy("o_custkey").count())
+    assert not is_small(orders.selectExpr("explode(sequence(1, o_custkey)) AS n"))
+
+
 def test_explicit_struct_schema(spark, tmp_path):
     path = write(tmp_path, "e.csv", "d,n", "2023-12-01,1")
     schema = T.StructType([T.StructField("d", T.DateType()), T.StructField("n", T.LongType())])
