@@ -5,7 +5,8 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+ROOT = Path(__file__).resolve().parent.parent
+sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 
 from chartmill.session import build_session  # noqa: E402
 from chartmill.sizing import SMALL_INPUT_CONF  # noqa: E402
@@ -51,21 +52,5 @@ def optimized(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def final_plan(df) -> str:
-    """The plan that ran, without the initial plans AQE prints next to it."""
-    kept, cut = [], None
-    df.collect()
-    for line in plan_of(df).splitlines():
-        indent = len(line) - len(line.lstrip(" :"))
-        if cut is not None and indent >= cut:
-            continue
-        cut = None
-        if "== Initial Plan ==" in line:
-            cut = indent
-            continue
-        kept.append(line)
-    return "\n".join(kept)
-
-
 def tuples(df) -> list[tuple]:
     return [tuple(row) for row in df.collect()]

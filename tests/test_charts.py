@@ -4,7 +4,8 @@ import datetime as dt
 from collections import defaultdict
 
 import pytest
-from conftest import final_plan, plan_of, tuples
+from conftest import plan_of, tuples
+from plans import final_plan
 from pyspark.sql import functions as F
 
 import chartmill as cm

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-from pathlib import Path
-
 import pytest
+from compare import connect, differences
 from conftest import DATA
+from plans import final_plan, summary
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
-
-import __spark_entry__ as entry_points  # noqa: E402
-from compare import connect, differences  # noqa: E402
+import __spark_entry__ as entry_points
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +34,10 @@ def test_entry(spark):
     df = entry_points.entry(spark)
     assert df.columns == ["x", "series", "y"]
     assert df.count() > 0
+
+
+def test_no_plan_has_python_or_nested_loops(spark):
+    for key in ("line_grouped", "bar_stacked", "heatmap_bins", "retention_intensity", "funnel_dropoff", "agg_median"):
+        counts = summary(final_plan(entry_points.queries()[key](spark, DATA)))
+        assert counts["scans"] == 1
+        assert "python" not in counts and "nested loops" not in counts
