@@ -55,13 +55,14 @@ def build_session(app_name: str = "chartmill", master: str | None = None, **sett
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, for checkpoints and staged tables.
 
-    It is the session's ``spark.checkpoint.dir``. Only a local master may run
-    without one; there a fresh temporary folder stands in.
+    It is the session's ``spark.checkpoint.dir``, else the checkpoint folder the
+    application has set. Only a local master may run without either; there a
+    fresh temporary folder stands in.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base:
         return base.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     base = tempfile.mkdtemp(prefix="chartmill-")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from chartmill.session import ensure_checkpoint_dir
 
 SMALL_INPUT_CONF = "spark.chartmill.smallInputBytes"
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
+SMALL_INPUT_BYTES = 32 * 1024 * 1024
 UNKNOWN_BYTES = 2**63 - 1
 
 
@@ -27,7 +27,7 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame) -> bool:
-    """True when the whole input would fit one task several times over."""
+    """True when all distinct values of the input would fit one task."""
     bound = int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
     return input_bytes(df) <= bound
 

@@ -23,10 +23,11 @@ def test_session(spark):
 
 
 class FakeSession:
-    """A session on some master without a shared folder."""
+    """A session on some master without a shared folder, unless the application set one."""
 
-    def __init__(self, master):
+    def __init__(self, master, folder=None):
         self.values = {}
+        self.folder = folder
         self.conf = self
         self.sparkContext = self
         self.master = master
@@ -37,10 +38,14 @@ class FakeSession:
     def set(self, key, value):
         self.values[key] = value
 
+    def getCheckpointDir(self):
+        return self.folder
+
 
 def test_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(FakeSession("yarn"))
+    assert shared_dir(FakeSession("yarn", "hdfs:/checkpoints/1")) == "hdfs:/checkpoints/1"
     local = FakeSession("local[2]")
     assert shared_dir(local) == shared_dir(local)
