@@ -19,7 +19,7 @@ def axis(cells: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def dense_grid(cells: DataFrame, row: str, col: str, value: str) -> DataFrame:
-    """Complete aggregated ``cells`` with zeros: row, col, value, present.
+    """Complete aggregated ``cells`` with zeros: row, col, value.
 
     ``cells`` holds one row per (row, col) with a non-null value. The result has
     |rows| x |cols| rows by definition. The pairs come from an equi-join on a
@@ -32,11 +32,11 @@ def dense_grid(cells: DataFrame, row: str, col: str, value: str) -> DataFrame:
     rows = axis(cells, row, value).select(row, slot.alias("_slot"))
     slots = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long")))
     cols = axis(cells, col, value).select(col, slots.alias("_slot"))
-    blank = rows.join(cols, "_slot").select(row, col, F.lit(0.0).alias(value), F.lit(False).alias("present"))
+    blank = rows.join(cols, "_slot").select(row, col, F.lit(0.0).alias(value))
     return (
-        cells.select(row, col, value, F.lit(True).alias("present"))
+        cells.select(row, col, value)
         .unionByName(blank)
         .repartition(F.col(row))
         .groupBy(row, col)
-        .agg(F.sum(value).alias(value), F.bool_or("present").alias("present"))
+        .agg(F.sum(value).alias(value))
     )

@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from chartmill.columns import chart_value, named, require_numeric
+from chartmill.columns import chart_value, join_on, named, require_numeric
 from chartmill.operators.aggregates import aggregate
 from chartmill.operators.grid import dense_grid
 
@@ -33,13 +32,10 @@ def retention(df: DataFrame, cohort: str, period: str, users: str, percentage: b
     )
     matrix = dense_grid(cells, "cohort", "period", "users")
     if percentage:
-        present_period = F.when(F.col("present"), F.col("period"))
-        size = F.min_by("users", present_period).over(Window.partitionBy("cohort"))
-        matrix = matrix.withColumn("cohort_size", size).withColumn(
-            "retention_pct",
-            F.when(F.col("cohort_size") > 0, 100 * F.col("users") / F.col("cohort_size")).otherwise(F.lit(0.0)),
-        )
-    return matrix.drop("present").orderBy("cohort", "period")
+        sizes = cells.groupBy("cohort").agg(F.min_by("users", "period").alias("cohort_size"))
+        pct = F.when(F.col("cohort_size") > 0, 100 * F.col("users") / F.col("cohort_size")).otherwise(F.lit(0.0))
+        matrix = join_on(matrix, sizes, ["cohort"]).withColumn("retention_pct", pct)
+    return matrix.orderBy("cohort", "period")
 
 
 def with_retention_intensity(matrix: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from chartmill.sizing import is_small, settled
 MAX_WINDOW_ROWS = 1_000_000
 
 
-def _windowed(df: DataFrame, partition: list[str], order: list[str], value: str) -> DataFrame:
+def windowed_total(df: DataFrame, partition: list[str], order: list[str], value: str) -> DataFrame:
+    """The running total by one window per group; each group passes through one task."""
     window = Window.partitionBy(*map(named, partition)).orderBy(*map(named, order))
     until_here = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = window.rowsBetween(Window.unboundedPreceding, -1)
@@ -24,23 +25,26 @@ def _windowed(df: DataFrame, partition: list[str], order: list[str], value: str)
 def running_total(df: DataFrame, partition: list[str], order: list[str], value: str) -> DataFrame:
     """Add ``before`` and ``until``: the total of ``value`` without and with the row.
 
-    Small inputs use one window per group. A large input is settled and its
-    largest group counted. If that is too big for a window, the rows are cut
-    into sorted ranges of even size, each range is summed, and every row adds
-    the total of the earlier ranges of its group to the running total inside its
-    own range.
+    Small inputs use a window. A large input is settled and its largest group
+    counted; a group that is too big for a window is cut into ranges.
     """
     if is_small(df):
-        return _windowed(df, partition, order, value)
+        return windowed_total(df, partition, order, value)
     df = settled(df)
     sizes = df.groupBy(*map(named, partition)).agg(F.count(F.lit(1)).alias("_size"))
     largest = sizes.agg(F.max("_size")).first()[0] or 0
     if largest <= MAX_WINDOW_ROWS:
-        return _windowed(df, partition, order, value)
-    return _by_ranges(df, partition, order, value)
+        return windowed_total(df, partition, order, value)
+    return ranged_total(df, partition, order, value)
 
 
-def _by_ranges(df: DataFrame, partition: list[str], order: list[str], value: str) -> DataFrame:
+def ranged_total(df: DataFrame, partition: list[str], order: list[str], value: str) -> DataFrame:
+    """The running total for groups of any size.
+
+    The rows are cut into sorted ranges of even size and each range is summed.
+    Every row adds the total of the earlier ranges of its group to the running
+    total inside its own range.
+    """
     # Range bounds are sampled and task numbers are not stable, hence the checkpoint.
     ranged = settled(
         df.repartitionByRange(*map(named, partition + order)).withColumn("_range", F.spark_partition_id())
@@ -54,7 +58,7 @@ def _by_ranges(df: DataFrame, partition: list[str], order: list[str], value: str
     # One row per (group, range): as many per group as there are partitions.
     offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).drop("_total")
     joined = join_on(ranged, offsets, partition + ["_range"], "left")
-    inside = _windowed(joined, partition + ["_range"], order, value)
+    inside = windowed_total(joined, partition + ["_range"], order, value)
     return (
         inside.withColumn("before", F.col("before") + F.col("_offset"))
         .withColumn("until", F.col("until") + F.col("_offset"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from chartmill.columns import chart_value, named
+from chartmill.columns import chart_value, join_on, named
+from chartmill.operators import running
 from chartmill.operators.aggregates import aggregate, check_aggregate
 from chartmill.operators.grid import axis, dense_grid
-from chartmill.operators.running import running_total
+from chartmill.operators.running import ranged_total, running_total, windowed_total
+from chartmill.sizing import is_small, settled
 
 
 def chart_cells(df: DataFrame, keys: dict[str, str], y: str, agg: str) -> DataFrame:
@@ -33,24 +34,33 @@ def _any_height(cells: DataFrame) -> Column:
     return axis(cells, "x", "y").agg(F.max("total")).scalar() > 0
 
 
-def _share(total: Column) -> Column:
-    return F.when(total != 0, 100 * F.col("y") / total).otherwise(F.lit(0.0))
+def _with_share(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """Add share_pct of the total at x; 0 where that total is 0.
+
+    The totals are aggregated and joined back: AQE broadcasts them when they are
+    few and splits skewed partitions when they are not.
+    """
+    share = F.when(F.col("total") != 0, 100 * F.col("y") / F.col("total")).otherwise(F.lit(0.0))
+    return join_on(rows, axis(cells, "x", "y"), ["x"]).withColumn("share_pct", share).drop("total")
 
 
 def _stacked(cells: DataFrame, normalize: bool) -> DataFrame:
-    """Running stacks per x over the dense grid, series in natural order."""
-    dense = dense_grid(cells, "x", "series", "y").drop("present")
-    height = "y"
+    """Running stacks per x over the dense grid, series in natural order.
+
+    In the grid every x holds each series exactly once, so the number of series
+    is the size of all windows. It is measured when the input is large.
+    """
+    total = windowed_total
+    if not is_small(cells):
+        cells = settled(cells)
+        if axis(cells, "series", "y").count() > running.MAX_WINDOW_ROWS:
+            total = ranged_total
+    dense = dense_grid(cells, "x", "series", "y")
     if normalize:
-        dense = dense.withColumn("share_pct", _share(F.sum("y").over(Window.partitionBy("x"))))
-        height = "share_pct"
-    # Dense rows: the window of an x holds each series exactly once.
-    order = Window.partitionBy("x").orderBy("series")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    until = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return dense.withColumn("y_start", F.coalesce(F.sum(height).over(before), F.lit(0.0))).withColumn(
-        "y_end", F.sum(height).over(until)
-    ).filter(_any_height(cells))
+        dense = _with_share(dense, cells)
+    stack = total(dense, ["x"], ["series"], "share_pct" if normalize else "y")
+    renamed = stack.withColumnsRenamed({"before": "y_start", "until": "y_end"})
+    return renamed.filter(_any_height(cells))
 
 
 def _series(
@@ -69,7 +79,7 @@ def _series(
     if stacked:
         cells = _stacked(cells, normalize)
     elif normalize:
-        cells = cells.withColumn("share_pct", _share(F.sum("y").over(Window.partitionBy("x"))))
+        cells = _with_share(cells, cells)
     return _capped(cells, ["x", "series"], max_points)
 
 

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from chartmill import aggregate, aggregate_all, sort_limit, transform
 from chartmill.operators import median as medians
 from chartmill.operators import running
-from chartmill.operators.running import _by_ranges, running_total
+from chartmill.operators.running import ranged_total, running_total
 
 
 @pytest.fixture(scope="module")
@@ -150,7 +150,7 @@ def test_selected_median_property(spark, scale_out, data):
     assert dict(tuples(result)) == _brute(data)
 
 
-@pytest.mark.parametrize("build", [running_total, _by_ranges])
+@pytest.mark.parametrize("build", [running_total, ranged_total])
 def test_running_total(spark, scale_out, build):
     rng = random.Random(3)
     data = [("hot" if i % 2 else f"g{i % 5}", i, rng.randint(1, 9)) for i in range(2000)] + [(None, 1, 4), (None, 2, 5)]
@@ -167,7 +167,7 @@ def test_running_total(spark, scale_out, build):
 
 def test_running_total_without_groups(spark, scale_out):
     rows = spark.createDataFrame([(f"s{i:03}", i) for i in range(200)], "s string, v long").repartition(5)
-    found = sorted(tuples(_by_ranges(rows, [], ["s"], "v")))
+    found = sorted(tuples(ranged_total(rows, [], ["s"], "v")))
     assert [row[3] for row in found] == [sum(range(i + 1)) for i in range(200)]
 
 

@@ -9,6 +9,7 @@ import pytest
 from conftest import plan_of, tuples
 
 import chartmill as cm
+from chartmill.operators import running
 
 
 def random_rows(seed: int, n: int = 400):
@@ -60,6 +61,16 @@ def test_stacked(spark, rows, frame, threshold):
         assert ("BroadcastHashJoin" in plan_of(found)) == (threshold == "10MB")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert actual == stacked(rows)
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_stacked_at_scale(rows, frame, scale_out, monkeypatch, most):
+    monkeypatch.setattr(running, "MAX_WINDOW_ROWS", most)
+    assert tuples(cm.stacked_bar(frame, "y", "g", "x")) == stacked(rows)
+
+
+def stacked(rows):
     cells = summed(rows)
     xs = sorted({x for x, _ in cells}, key=nulls_first)
     series = sorted({name for _, name in cells}, key=nulls_first)
@@ -70,7 +81,7 @@ def test_stacked(spark, rows, frame, threshold):
             y = cells.get((x, name), 0.0)
             expected.append((x, name, y, top, top + y))
             top += y
-    assert actual == expected
+    return expected
 
 
 @pytest.mark.parametrize("scale", [False, True])
