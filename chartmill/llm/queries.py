@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartmill.llm import hamming_join, packing, separator_scan
+from chartmill.llm import (
+    cas_archive,
+    cover_tree,
+    dom_crf,
+    hamming_join,
+    kn_quality,
+    packing,
+    poisson_mix,
+    separator_scan,
+    skip_chain,
+    url_trees,
+)
 from chartmill.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,7 +41,90 @@ def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(read(spark, sf_dir, "documents")))
 
 
+@query
+def op3_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return url_trees.filter_urls(read(spark, sf_dir, "pages"))
+
+
+@query
+def op4_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return skip_chain.span_digests(skip_chain.find_personal_data(read(spark, sf_dir, "documents")))
+
+
+@query
+def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to tempered source weights, as many characters as before in the mean."""
+    return poisson_mix.mix(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_hamming_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return hamming_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a content-addressed archive and read back."""
+    return cas_archive.archive_round_trip(read(spark, sf_dir, "pages"))
+
+
+@query
+def op8_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best matches of every fiftieth vector among all others."""
+    return cover_tree.top_k(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_dom_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return dom_crf.extract_main_text(read(spark, sf_dir, "pages"))
+
+
+@query
+def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics and verdict for every document."""
+    return kn_quality.judge(read(spark, sf_dir, "documents")).drop("lang")
+
+
+ORACLE_SQL["op5_poisson_mix"] = """
+WITH RECURSIVE sizes AS (
+  SELECT source, sum(greatest(length(coalesce(text, '')), 1))::BIGINT AS chars FROM documents GROUP BY source),
+weighted AS (SELECT source, chars, round(pow(chars::DOUBLE, 0.5) * 1000)::BIGINT AS weight FROM sizes),
+rates AS (
+  SELECT source, weight::DOUBLE / (SELECT sum(weight)::DOUBLE FROM weighted) * (SELECT sum(chars)::DOUBLE FROM weighted)
+    / chars::DOUBLE AS rate FROM weighted),
+steps AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM steps
+  WHERE k < ceil(rate + 12 * sqrt(rate) + 25)),
+listed AS (SELECT source, list(c ORDER BY k) AS steps FROM steps GROUP BY source),
+drawn AS (
+  SELECT d.*, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u, l.steps
+  FROM documents d JOIN listed l ON d.source IS NOT DISTINCT FROM l.source),
+counted AS (SELECT * EXCLUDE (u, steps), len(list_filter(steps, lambda c: c <= u))::INTEGER AS n_copies FROM drawn),
+copies AS (SELECT *, unnest(range(1, n_copies + 1))::INTEGER AS copy FROM counted)
+SELECT *, md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key FROM copies"""
+
+ORACLE_SQL["op7_content_archive"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY sha256(html)) AS top FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, (1 + 5 * (i // 4))::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d"""
+
+ORACLE_SQL["op8_cover_tree_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.x::DOUBLE[], c.x::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s) WHERE rank <= 5"""
