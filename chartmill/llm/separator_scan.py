@@ -195,4 +195,4 @@ def document_token_counts(
     if order.isEmpty():
         return spark.createDataFrame([], "doc_id long, n_tokens long")
     counts = count_tokens(spark, folder)
-    return order.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return order.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
