@@ -12,7 +12,7 @@
    them, which a group of n copies would have n * n / 2 of. Each node is compared with the
    first node of its keys; links found so far give partial components; only
    pairs of a key that these do not connect yet are then compared with one another, in
-   blocks of bounded size. Every pair within the distance is thus linked, or
+   blocks of bounded size, if enough of their shingles occur in any other set at all. Every pair within the distance is thus linked, or
    connected anyway, or refuted on its full sets.
 5. Connected components.
 """
@@ -174,14 +174,16 @@ def _first_shared_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return chunk * CHUNK_SLOTS + np.where(part.any(1), part.argmax(1), 0)
 
 
-def _block_pairs(key: int, own: np.ndarray, other: np.ndarray | None, nodes, labels, sigs) -> np.ndarray:
-    """Pairs of one key within the distance that no link connects yet and whose first shared key this is."""
+def _block_pairs(key: int, own: np.ndarray, other: np.ndarray | None, nodes, labels, sigs, size, shared, percent) -> np.ndarray:
+    """Pairs of one key that can be linked but are not connected yet, and whose first shared key this is."""
     place = key & 0xFF
     found = []
     second = own if other is None else other
     for at, i in enumerate(own):
         js = second[at + 1 :] if other is None else second
         js = js[labels[js] != labels[i]]
+        most = np.minimum(shared[js], shared[i])
+        js = js[100 * most >= percent * (size[js] + size[i] - most)]
         if len(js):
             js = js[(sigs[js] != sigs[i]).sum(1) <= DISTANCE]
         if len(js):
@@ -191,13 +193,8 @@ def _block_pairs(key: int, own: np.ndarray, other: np.ndarray | None, nodes, lab
     return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
 
 
-def unconnected_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) within the distance whose labels differ, each once.
-
-    A key with many members is cut into blocks of about ``BLOCK_MEMBERS``; a
-    task takes one block, or two blocks against each other.
-    """
-    small_batches(members.sparkSession)
+def unconnected_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label, blocks) of the keys whose nodes have different labels; blocks is how many to cut the key into."""
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = (
         labelled.groupBy("key")
@@ -205,14 +202,55 @@ def unconnected_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame) -
         .filter("low <> high")
         .select("key", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks"))
     )
-    placed = labelled.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return labelled.join(mixed, "key").select("key", "node", "label", "blocks")
+
+
+def shared_sizes(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, size, shared): a set's size and how many of its shingles any other of these sets has.
+
+    No set can have more than ``shared`` shingles in common with another one. Nodes for which that
+    is too few for a link with anything are left out.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                values = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1)]
+                nodes = np.repeat(batch.column(0).to_numpy(), [len(v) for v in values])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(nodes)], names=["shingle", "node"])
+
+    alone = (
+        sets.mapInArrow(work, "shingle long, node long")
+        .groupBy("shingle")
+        .agg(F.min("node").alias("node"), F.max("node").alias("other"))
+        .filter("node = other")
+        .groupBy("node")
+        .agg(F.count("*").alias("alone"))
+    )
+    size = F.floor(F.length("set") / 8).cast("long")
+    return (
+        sets.select("node", size.alias("size"))
+        .join(alone, "node", "left")
+        .select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+        .filter(F.col("shared") * 100 >= F.col("size") * percent)
+    )
+
+
+def unconnected_pairs(members: DataFrame, nodes: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) within the distance whose labels differ and whose sizes allow a link, each once.
+
+    A key with many members is cut into blocks of about ``BLOCK_MEMBERS``; a
+    task takes one block, or two blocks against each other.
+    """
+    small_batches(members.sparkSession)
+    placed = members.join(sizes, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     work_rows = (
         placed.withColumn("other", other)
         .withColumn("first", F.least("own", "other"))
         .withColumn("second", F.greatest("own", "other"))
         .join(nodes.select("node", "sig"), "node")
-        .select("key", "first", "second", (F.col("own") != F.col("first")).alias("far"), "node", "label", "sig")
+        .select("key", "first", "second", (F.col("own") != F.col("first")).alias("far"), "node", "label", "sig", "size", "shared")
         .repartition("key", "first", "second")
         .sortWithinPartitions("key", "first", "second")
     )
@@ -246,7 +284,9 @@ def unconnected_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame) -
             node, label = group.column("node").to_numpy(), group.column("label").to_numpy()
             sigs = _matrix(group.column("sig"))
             near = np.flatnonzero(~far)
-            pairs = _block_pairs(key, near, None if first == second else np.flatnonzero(far), node, label, sigs)
+            size, shared = group.column("size").to_numpy(), group.column("shared").to_numpy()
+            other = None if first == second else np.flatnonzero(far)
+            pairs = _block_pairs(key, near, other, node, label, sigs, size, shared, percent)
             if pairs.shape[1]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(pairs.min(0)), pa.array(pairs.max(0))], names=["a", "b"]
@@ -297,9 +337,11 @@ def near_duplicates(
         labels = labels.join(above, "label", "left").select("node", F.coalesce("upper", "label").alias("label"))
     labels = written(labels, "labels")
 
-    rest = written(unconnected_pairs(members.select("key", "node"), nodes, labels), "rest")
-    ids = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = confirmed(rest, written(full_sets(docs, ids, id_col, text_col), "sets"), percent)
+    mixed = written(unconnected_members(members.select("key", "node"), labels), "mixed")
+    sets = written(full_sets(docs, mixed.select("node").distinct(), id_col, text_col), "sets")
+    sizes = written(shared_sizes(sets, percent), "sizes")
+    rest = written(unconnected_pairs(mixed, nodes, sizes, percent), "rest")
+    links = confirmed(rest, sets, percent)
 
     found = connected_components(stars.union(links))
     classes = nodes.join(found, "node", "left").select(
@@ -315,3 +357,12 @@ def near_duplicates(
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
+) -> DataFrame:
+    """``docs`` with one document of each near-duplicate class, all columns as they are."""
+    found = near_duplicates(docs, id_col, text_col, percent)
+    dropped = written(found.filter("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    return docs.join(sized_broadcast(dropped), col(id_col).cast("long") == F.col("_dropped"), "left_anti")
