@@ -63,8 +63,18 @@ def as_date(text: Column, shapes=TEXT_SHAPES) -> Column:
     return iso.try_cast("date")
 
 
+def _with_new(df: DataFrame, added: dict[str, Column]) -> DataFrame:
+    """``df`` with the added columns, except where it has one of that name (in any case) already."""
+    present = {name.lower() for name in df.columns}
+    new = {name: column for name, column in added.items() if name.lower() not in present}
+    return df.withColumns(new) if new else df
+
+
 def parse_dates(df: DataFrame) -> DataFrame:
-    """Add ``<column>_parsed`` dates for date-like text and YYYYMMDD number columns."""
+    """Add ``<column>_parsed`` dates for date-like text and YYYYMMDD number columns.
+
+    A column of that name stays as it is.
+    """
     added = {}
     for field in df.schema.fields:
         kind = field.dataType
@@ -75,7 +85,7 @@ def parse_dates(df: DataFrame) -> DataFrame:
             added[field.name + PARSED_SUFFIX] = as_date(named(field.name))
         elif whole_number:
             added[field.name + PARSED_SUFFIX] = as_date(named(field.name).cast("string"), NUMBER_SHAPES)
-    return df.withColumns(added) if added else df
+    return _with_new(df, added)
 
 
 def as_moment(micros: Column) -> Column:
@@ -85,13 +95,16 @@ def as_moment(micros: Column) -> Column:
 
 
 def parse_epoch_micros(df: DataFrame) -> DataFrame:
-    """Add ``<column>_parsed`` timestamps for long columns named like timestamps."""
+    """Add ``<column>_parsed`` timestamps for long columns named like timestamps.
+
+    A column of that name stays as it is.
+    """
     added = {
         field.name + PARSED_SUFFIX: as_moment(named(field.name))
         for field in df.schema.fields
         if isinstance(field.dataType, T.LongType) and is_epoch_like(field.name)
     }
-    return df.withColumns(added) if added else df
+    return _with_new(df, added)
 
 
 def recognise_dates(df: DataFrame) -> DataFrame:

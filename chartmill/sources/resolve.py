@@ -20,7 +20,7 @@ class Sources:
     is looked up in ``tables``, then in ``named``; anything else is a path.
 
     An entry of ``named`` may also be a mapping with ``path`` and any of
-    ``schema``, ``header``, ``infer_rows`` and ``fmt``, as ``read_table`` takes
+    ``schema``, ``header``, ``multi_line`` and ``fmt``, as ``read_table`` takes
     them. Large text files should come with a schema.
     """
 

@@ -7,22 +7,26 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 FORMATS = ("parquet", "csv", "json")
-MAX_SLUG = 50
 
 
 def slug(title: str) -> str:
-    """Lower case, hyphens for spaces, no other special characters, at most 50 long."""
+    """Lower case, hyphens for spaces, no other special characters."""
     text = re.sub(r"\s+", "-", title.strip().lower())
-    return re.sub(r"[^\w-]", "", text)[:MAX_SLUG]
+    return re.sub(r"[^\w-]", "", text)
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write one dataset; every task writes its own part files."""
+    """Write one dataset; every task writes its own part files.
+
+    CSV cells keep their white space, and quotes inside them are doubled (RFC 4180).
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format '{fmt}'; supported: {', '.join(FORMATS)}")
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
     writer.format(fmt).save(path)
 
 

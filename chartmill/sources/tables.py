@@ -2,61 +2,69 @@
 
 from __future__ import annotations
 
-import datetime as dt
-import re
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartmill.columns import named
 from chartmill.sources.dates import recognise_dates
 
-INFER_ROWS = 1000
-
-# How a cell must be spelt to be read as a type.
-_WHOLE = re.compile(r"[+-]?\d+")
-_NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
-_DAY = re.compile(r"\d{4}-\d{2}-\d{2}")
-_MOMENT = re.compile(r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d+)?")
-
-
-def _in_calendar(text: str, kind: type[dt.date]) -> bool:
-    try:
-        kind.fromisoformat(text)
-    except ValueError:
-        return False
-    return True
-
-
-# The first type that fits all sampled cells of a column wins.
-_TYPE_TESTS = (
-    (T.LongType(), lambda text: _WHOLE.fullmatch(text) and -(2**63) <= int(text) < 2**63),
-    (T.DoubleType(), lambda text: _NUMBER.fullmatch(text)),
-    (T.BooleanType(), lambda text: text in ("true", "false")),
-    (T.DateType(), lambda text: _DAY.fullmatch(text) and _in_calendar(text, dt.date)),
-    (T.TimestampNTZType(), lambda text: _MOMENT.fullmatch(text) and _in_calendar(text, dt.datetime)),
-)
-
-
-def _column_type(cells: list[str]) -> T.DataType:
-    for kind, fits in _TYPE_TESTS:
-        if cells and all(map(fits, cells)):
-            return kind
-    return T.StringType()
-
-
-def infer_schema(texts: DataFrame, rows: int = INFER_ROWS) -> T.StructType:
-    """Types for an all-text table from its first ``rows`` rows.
-
-    Taking rows reads as few partitions as needed, however large the table is.
+# How a cell must be spelt to be read as a type. Numbers with leading zeros are identifiers.
+_WHOLE = r"^[+-]?(0|[1-9]\d*)$"
+_NUMBER = r"^[+-]?((0|[1-9]\d*)(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+_DAY = r"^\d{4}-\d{2}-\d{2}$"
+_MOMENT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d+)?$"
+#: Digits that a double keeps, and a decimal.
+_DOUBLE_DIGITS, _DECIMAL_DIGITS = 17, 38
+
+
+def _fits(cell: Column) -> dict[T.DataType, Column]:
+    """For each type, in order of preference, whether a cell can be read as it without loss."""
+    whole = cell.rlike(_WHOLE)
+    digits = F.length(F.regexp_replace(F.regexp_replace(cell, "[eE].*$", ""), "[^0-9]", ""))
+    return {
+        T.LongType(): whole & cell.try_cast("long").isNotNull(),
+        T.DecimalType(_DECIMAL_DIGITS, 0): whole & (digits <= _DECIMAL_DIGITS),
+        T.DoubleType(): cell.rlike(_NUMBER) & (digits <= _DOUBLE_DIGITS),
+        T.BooleanType(): cell.isin("true", "false"),
+        T.DateType(): cell.rlike(_DAY) & cell.try_cast("date").isNotNull(),
+        T.TimestampNTZType(): cell.rlike(_MOMENT) & cell.try_cast("timestamp_ntz").isNotNull(),
+    }
+
+
+def infer_schema(texts: DataFrame) -> T.StructType:
+    """Types for an all-text table: per column the first type that fits every cell, else text.
+
+    One aggregation over all rows, whatever their order; only its flags reach the
+    driver. Empty cells fit any type, a column without others is text. Whole numbers beyond
+    a long are decimals; numbers with leading zeros, or with more digits than a double keeps, stay text.
     """
-    sample = texts.take(rows)
-    return T.StructType(
-        [
-            T.StructField(name, _column_type([row[i] for row in sample if row[i] is not None]))
-            for i, name in enumerate(texts.columns)
-        ]
-    )
+    if not texts.columns:
+        return T.StructType()
+    flags, kinds = [], []
+    for place, name in enumerate(texts.columns):
+        cell = named(name)
+        for rank, (kind, fits) in enumerate(_fits(cell).items()):
+            # NULL where the column has no cell at all, else whether all of them fit
+            flags.append(F.bool_and(F.when(cell.isNotNull(), fits)).alias(f"c{place}_{rank}"))
+            kinds.append((place, kind))
+    found = texts.agg(*flags).first()
+    chosen: dict[int, T.DataType] = {}
+    for (place, kind), fits in zip(kinds, found):
+        if fits:
+            chosen.setdefault(place, kind)
+    return T.StructType([T.StructField(name, chosen.get(i, T.StringType())) for i, name in enumerate(texts.columns)])
+
+
+def _in_file_order(given: T.StructType, header: list[str]) -> T.StructType:
+    """A schema for the columns as the file has them; columns that ``given`` lacks are text."""
+    by_name = {field.name: field for field in given.fields}
+    missing = [name for name in by_name if name not in header]
+    if missing:
+        raise ValueError(f"the file has no column {', '.join(missing)}; it has {', '.join(header)}")
+    return T.StructType([by_name.get(name, T.StructField(name, T.StringType())) for name in header])
 
 
 def read_csv(
@@ -64,23 +72,29 @@ def read_csv(
     path: str | list[str],
     schema: T.StructType | str | None = None,
     header: bool = True,
-    infer_rows: int = INFER_ROWS,
     sep: str = ",",
     mode: str = "FAILFAST",
+    multi_line: bool = False,
 ) -> DataFrame:
     """A CSV table, without date recognition.
 
-    Give a ``schema`` for large tables. Otherwise the types come from the first
-    ``infer_rows`` rows. A cell that does not fit its type stops the query, so
-    that no value is lost silently; ``mode="PERMISSIVE"`` turns it into NULL.
-    Without a header the columns are called _c0, _c1, ...
+    Quotes inside quoted cells are doubled, as in RFC 4180. Cells with line breaks need
+    ``multi_line``, which reads every file as a whole, in one task. A ``schema`` saves the pass over
+    all rows that finds the types otherwise; with a header its columns are found by name, in any order, and
+    columns it does not name are left out. All files must have the columns of the first one, in
+    its order. A cell that does not fit its type stops the query, so that no value is lost
+    silently; ``mode="PERMISSIVE"`` turns it into NULL. Without a header the columns are called _c0, _c1, ...
     """
-    options = {"header": header, "sep": sep}
-    if schema is None:
-        schema = infer_schema(spark.read.options(**options).csv(path), infer_rows)
-        # All files must have the columns of the first one, in its order.
+    options = {"header": header, "sep": sep, "escape": '"', "multiLine": multi_line}
+    given = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if given is None or header:
+        texts = spark.read.options(**options).csv(path)
+        full = infer_schema(texts) if given is None else _in_file_order(given, texts.columns)
         options["enforceSchema"] = False
-    return spark.read.options(mode=mode, **options).schema(schema).csv(path)
+    else:
+        full = given
+    df = spark.read.options(mode=mode, **options).schema(full).csv(path)
+    return df if given is None else df.select(*map(named, given.fieldNames()))
 
 
 def is_csv(path: str) -> bool:
@@ -93,9 +107,9 @@ def read_table(
     path: str,
     schema: T.StructType | str | None = None,
     header: bool = True,
-    infer_rows: int = INFER_ROWS,
     recognise: bool = True,
     fmt: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A CSV or Parquet table with ``<column>_parsed`` dates added.
 
@@ -105,7 +119,7 @@ def read_table(
     if fmt is None:
         fmt = "csv" if is_csv(path) else "parquet"
     if fmt == "csv":
-        df = read_csv(spark, path, schema, header, infer_rows)
+        df = read_csv(spark, path, schema, header, multi_line=multi_line)
     elif fmt == "parquet":
         reader = spark.read if schema is None else spark.read.schema(schema)
         df = reader.parquet(path)

@@ -8,6 +8,7 @@ from conftest import DATA
 from plans import final_plan, summary
 
 import __spark_entry__ as entry_points
+from workload import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def con():
     return connect(DATA)
 
 
-@pytest.mark.parametrize("key", entry_points.queries())
+@pytest.mark.parametrize("key", QUERIES)
 def test_query_equals_sql(spark, con, key):
     assert differences(spark, con, DATA, key) == []
 
@@ -27,7 +28,10 @@ def test_query_equals_sql_at_scale(spark, con, scale_out, key):
 
 
 def test_each_query_has_sql():
-    assert entry_points.queries().keys() == entry_points.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLE_SQL.keys()
+    assert QUERIES.keys() <= entry_points.queries().keys()
+    assert ORACLE_SQL.keys() <= entry_points.oracle_sql().keys()
+    assert entry_points.oracle_sql().keys() <= entry_points.queries().keys()
 
 
 def test_entry(spark):

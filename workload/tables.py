@@ -52,6 +52,62 @@ def csv_scan_noheader(spark, sf_dir):
     return rows.groupBy("_c4").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("_c3"), 2).alias("balance"))
 
 
+@query(
+    "csv_quotes",
+    """
+    SELECT doc_id, md5('say "' || text || '", ' || chr(10) || ' ok ') AS noted, CAST(length(text) AS BIGINT) AS n
+    FROM documents
+    """,
+)
+def csv_quotes(spark, sf_dir):
+    """Texts with quotes, commas and line breaks through a CSV file."""
+    path = scratch(spark, "quotes.csv")
+    noted = F.concat(F.lit('say "'), "text", F.lit('", \n ok '))
+    docs = table(spark, sf_dir, "documents")
+    cm.write_dataset(docs.select("doc_id", noted.alias("noted"), F.length("text").alias("n")), path, "csv")
+    schema = "doc_id BIGINT, noted STRING, n BIGINT"
+    rows = cm.read_csv(spark, path, schema=schema, multi_line=True)
+    return rows.withColumn("noted", F.md5(F.col("noted").cast("binary")))
+
+
+@query(
+    "csv_schema_header",
+    """
+    SELECT c_mktsegment, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS ids, CAST(sum(c_nationkey) AS BIGINT) AS nations
+    FROM customer GROUP BY 1
+    """,
+)
+def csv_schema_header(spark, sf_dir):
+    """A schema that names some of a file's columns, in another order."""
+    path = scratch(spark, "named.csv")
+    cm.write_dataset(table(spark, sf_dir, "customer"), path, "csv")
+    rows = cm.read_csv(spark, path, schema="c_nationkey BIGINT, c_mktsegment STRING, c_custkey BIGINT")
+    return rows.groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("ids"), F.sum("c_nationkey").alias("nations")
+    )
+
+
+@query(
+    "csv_late_types",
+    """
+    SELECT o_orderstatus, count(*) AS n, min(lpad(CAST(o_custkey AS VARCHAR), 9, '0')) AS first_code,
+           CAST(sum(2 * o_orderkey + CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 1 ELSE 0 END) AS DOUBLE) AS twice
+    FROM orders GROUP BY 1
+    """,
+)
+def csv_late_types(spark, sf_dir):
+    """Whole numbers but for the last row's, and numbers that begin with zeros."""
+    path = scratch(spark, "late.csv")
+    orders = table(spark, sf_dir, "orders")
+    last = orders.agg(F.max("o_orderkey")).scalar()
+    spelt = F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") == last, ".5").otherwise(""))
+    code = F.lpad(F.col("o_custkey").cast("string"), 9, "0")
+    cm.write_dataset(orders.orderBy("o_orderkey").select("o_orderstatus", spelt.alias("n"), code.alias("code")), path, "csv")
+    return cm.read_csv(spark, path).groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.min("code").alias("first_code"), F.sum(2 * F.col("n")).alias("twice")
+    )
+
+
 @query(
     "parse_dates",
     """
