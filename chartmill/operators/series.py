@@ -55,7 +55,7 @@ def _stacked(cells: DataFrame, normalize: bool) -> DataFrame:
         cells = settled(cells)
         if axis(cells, "series", "y").count() > running.MAX_WINDOW_ROWS:
             total = ranged_total
-    dense = dense_grid(cells, "x", "series", "y")
+    dense = dense_grid(cells, "x", "series", "y", by_row=total is windowed_total)
     if normalize:
         dense = _with_share(dense, cells)
     stack = total(dense, ["x"], ["series"], "share_pct" if normalize else "y")

@@ -281,6 +281,9 @@ def test_retention_absolute_and_wide(cohort_rows):
     assert wide.columns == ["cohort"] + [f"period_{n}" for n in range(5)]
     assert tuples(wide)[3] == (dt.date(2024, 1, 22), 1300.0, 950.0, 0.0, 0.0, 0.0)
     assert cm.retention_table(counts, "users", periods=[0, 1]).columns == ["cohort", "period_0", "period_1"]
+    with pytest.raises(Exception, match="no column for period"):
+        cm.retention_table(counts, "users", periods=[0, 1]).collect()
+    assert tuples(cm.retention_table(counts, "users", periods=range(5))) == tuples(wide)
 
 
 def test_baseline_is_the_earliest_period_present(spark):
@@ -296,6 +299,8 @@ def test_retention_intensity(cohort_rows):
     shaded = cm.with_retention_intensity(cm.retention(cohort_rows, "cohort_date", "period_number", "users"))
     values = [row["intensity"] for row in shaded.collect()]
     assert max(values) == 1.0 and min(values) == 0.0
+    at_once = cm.retention(cohort_rows, "cohort_date", "period_number", "users", intensity=True)
+    assert tuples(at_once) == tuples(shaded)
 
 
 def test_missing_period_is_an_error(spark):

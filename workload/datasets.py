@@ -382,9 +382,9 @@ _GRID_SQL = """,
             FROM grid JOIN base USING (cohort))"""
 
 
-def _matrix(spark, sf_dir, grain, percentage=True):
+def _matrix(spark, sf_dir, grain, percentage=True, intensity=False):
     cells = cm.cohorts(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", grain)
-    return cm.retention(cells, "cohort", "period_number", "users", percentage)
+    return cm.retention(cells, "cohort", "period_number", "users", percentage, intensity)
 
 
 @query(
@@ -421,7 +421,7 @@ def retention_absolute(spark, sf_dir):
     """,
 )
 def retention_intensity(spark, sf_dir):
-    shaded = cm.with_retention_intensity(_matrix(spark, sf_dir, "year"))
+    shaded = _matrix(spark, sf_dir, "year", intensity=True)
     return shaded.select(
         "cohort",
         "period",
@@ -442,8 +442,9 @@ _PERIODS = range(7)
     + " FROM pct GROUP BY cohort",
 )
 def retention_pivot(spark, sf_dir):
-    wide = cm.retention_table(_matrix(spark, sf_dir, "year"), periods=_PERIODS)
-    return wide.withColumns({f"period_{p}": steady(f"period_{p}") for p in _PERIODS})
+    """The periods are those of the data; a year more or less than the SQL lists would show."""
+    wide = cm.retention_table(_matrix(spark, sf_dir, "year"))
+    return wide.withColumns({name: steady(name) for name in wide.columns if name != "cohort"})
 
 
 # --- feeders -----------------------------------------------------------------
