@@ -31,6 +31,36 @@ def register_functions(spark: SparkSession) -> None:
     setattr(spark, _REGISTERED, True)
 
 
+def documented_concat(spark: SparkSession, text: str) -> str:
+    """An expression of a spec with its ``concat(a, b, 'sep')`` as what that means there: a and b joined by sep.
+
+    Spark's own concat would put the separator last. The documented call stands alone, with a text as third
+    argument; a three-argument concat that cannot be told from Spark's is an error.
+    """
+    if "concat" not in text.lower():
+        return text
+    parsed = spark._jsparkSession.sessionState().sqlParser().parseExpression(text)
+    if _is_join(parsed):
+        parts = [parsed.arguments().apply(i).sql() for i in range(3)]
+        if parsed.arguments().apply(2).getClass().getSimpleName() == "Literal":
+            return f"concat_sep({', '.join(parts)})"
+    if _holds_join(parsed):
+        raise ValueError(f"in '{text}', write concat_sep(a, b, sep) to join with a separator, or a || b || c")
+    return text
+
+
+def _is_join(node) -> bool:
+    if node.getClass().getSimpleName() != "UnresolvedFunction":
+        return False
+    name = node.nameParts()
+    return name.apply(name.size() - 1).lower() == "concat" and node.arguments().size() == 3
+
+
+def _holds_join(node) -> bool:
+    children = node.children()
+    return _is_join(node) or any(_holds_join(children.apply(i)) for i in range(children.size()))
+
+
 def derive(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Add columns from SQL expressions, in the order given.
 

@@ -36,11 +36,14 @@ def _key_list(keys: str | Sequence[str]) -> list[str]:
     return listed
 
 
-def aggregate(df: DataFrame, keys: str | Sequence[str], value: str, agg: str | None = "sum") -> DataFrame:
+def aggregate(
+    df: DataFrame, keys: str | Sequence[str], value: str, agg: str | None = "sum", large: bool | None = None
+) -> DataFrame:
     """One row per key combination; the result keeps the value column's name.
 
     Without an aggregation function the rows pass through. NULL values are
-    skipped, and ``count`` counts the others.
+    skipped, and ``count`` counts the others. ``large`` chooses the plan of medians in place of the
+    measured size.
     """
     if agg is None:
         return df
@@ -51,14 +54,15 @@ def aggregate(df: DataFrame, keys: str | Sequence[str], value: str, agg: str | N
     if agg in NUMERIC_ONLY:
         require_numeric(df, value)
     if agg == "median":
-        return grouped_median(df, keys, value)
+        return grouped_median(df, keys, value, large)
     return df.groupBy(*map(named, keys)).agg(AGGREGATES[agg](named(value)).alias(value))
 
 
-def aggregate_all(df: DataFrame, key: str, agg: str) -> DataFrame:
+def aggregate_all(df: DataFrame, key: str, agg: str, large: bool | None = None) -> DataFrame:
     """Aggregate every column but the key with one function.
 
-    Sum, mean and median apply to the numeric columns only.
+    Sum, mean and median apply to the numeric columns only. ``large`` chooses the plan of medians in place of
+    the measured size.
     """
     check_aggregate(agg)
     values = [
@@ -70,13 +74,13 @@ def aggregate_all(df: DataFrame, key: str, agg: str) -> DataFrame:
         raise ValueError(f"no column left to aggregate by '{key}'")
     if agg in ("min", "max"):
         return _extremes(df, key, values, agg)
-    if agg != "median" or is_small(df):
+    if agg != "median" or is_small(df, large):
         return _each(df, key, values, agg)
     # Long form, so that all columns share the passes of the rank selection.
     long = df.select(
         named(key), F.explode(F.create_map(*_name_value_pairs(values))).alias("_column", "_value")
     )
-    medians = grouped_median(long, [key, "_column"], "_value")
+    medians = grouped_median(long, [key, "_column"], "_value", large)
     wide = medians.groupBy(named(key)).pivot("_column", values).agg(F.first("_value"))
     return wide.select(named(key), *[named(name) for name in values])
 

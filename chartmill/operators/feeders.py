@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chartmill.columns import named
 from chartmill.functions.grains import period_start, periods_between
@@ -17,18 +16,18 @@ from chartmill.operators.series import line_series
 def cohorts(events: DataFrame, user: str, ts: str, grain: str = "week") -> DataFrame:
     """cohort, period_number, users: distinct active users by first-seen period.
 
-    Events are first reduced to the distinct (user, period) pairs, map-side as
-    well, so a user with very many events weighs as little as one with few. A
-    user's group is then at most one row per period.
+    Events are reduced to each user's set of periods, map-side as well, so a user
+    with very many events weighs as little as one with few. The set has at most one entry per
+    period of the calendar.
     """
     active = (
         events.select(named(user).alias("_user"), period_start(named(ts), grain).alias("_period"))
         .filter("_user IS NOT NULL AND _period IS NOT NULL")
-        .distinct()
+        .groupBy("_user")
+        .agg(F.collect_set("_period").alias("_periods"))
     )
-    first = F.min("_period").over(Window.partitionBy("_user"))
     return (
-        active.withColumn("cohort", first)
+        active.select(F.array_min("_periods").alias("cohort"), F.explode("_periods").alias("_period"))
         .withColumn("period_number", periods_between(F.col("cohort"), F.col("_period"), grain))
         .groupBy("cohort", "period_number")
         .agg(F.count(F.lit(1)).alias("users"))

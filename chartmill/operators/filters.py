@@ -40,7 +40,7 @@ def _drop(df: DataFrame, column: str, values: list[str]) -> Column:
         literal = F.lit(value).try_cast(kind)
         # Folded by the optimizer: an unfitting value excludes nothing.
         kept = kept & F.when(literal.isNull(), True).otherwise(named(column) != literal)
-    return kept
+    return kept & named(column).isNotNull()
 
 
 def apply_filters(

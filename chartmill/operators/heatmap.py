@@ -12,12 +12,14 @@ MIN_BINS = 2
 MAX_BINS = 100
 
 
-def heatmap_cells(df: DataFrame, x: str, y: str, z: str, agg: str = "sum") -> DataFrame:
+def heatmap_cells(
+    df: DataFrame, x: str, y: str, z: str, agg: str = "sum", large: bool | None = None
+) -> DataFrame:
     """One cell (x, y, z) per pair; cells without any z are left out."""
     if agg != "count":
         require_numeric(df, z)
     picked = df.select(named(x).alias("x"), named(y).alias("y"), named(z).alias("z")).filter("z IS NOT NULL")
-    cells = aggregate(picked, ["x", "y"], "z", agg)
+    cells = aggregate(picked, ["x", "y"], "z", agg, large)
     return cells.select("x", "y", F.col("z").cast("double").alias("z"))
 
 
@@ -43,6 +45,8 @@ def with_bins(cells: DataFrame, bins: int = 10) -> DataFrame:
     return cells.withColumn("bin", F.least(slot, F.lit(bins)).cast("int"))
 
 
-def heatmap(df: DataFrame, x: str, y: str, z: str, bins: int = 10, agg: str = "sum") -> DataFrame:
+def heatmap(
+    df: DataFrame, x: str, y: str, z: str, bins: int = 10, agg: str = "sum", large: bool | None = None
+) -> DataFrame:
     """x, y, z, intensity, bin."""
-    return with_bins(with_intensity(heatmap_cells(df, x, y, z, agg)), bins)
+    return with_bins(with_intensity(heatmap_cells(df, x, y, z, agg, large)), bins)

@@ -19,14 +19,15 @@ BELOW, INSIDE, ABOVE = 0, 1, 2
 TARGET_COLUMNS = ("_first_zone", "_first_rank", "_second_zone", "_second_rank")
 
 
-def grouped_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def grouped_median(df: DataFrame, keys: list[str], value: str, large: bool | None = None) -> DataFrame:
     """keys + ``value``: the interpolated median of the non-null values per group.
 
     Spark's own ``median`` keeps every distinct value of a group in one task. It
     is used while the whole input is small; beyond that the median is selected
-    by rank (see ``_selected``).
+    by rank (see ``_selected``), which runs jobs. ``large`` chooses the plan in place of the
+    measured size.
     """
-    if is_small(df):
+    if is_small(df, large):
         return df.groupBy(*map(named, keys)).agg(F.median(named(value)).alias(value))
     return _selected(df, keys, value)
 

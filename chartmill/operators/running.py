@@ -22,14 +22,19 @@ def windowed_total(df: DataFrame, partition: list[str], order: list[str], value:
     )
 
 
-def running_total(df: DataFrame, partition: list[str], order: list[str], value: str) -> DataFrame:
+def running_total(
+    df: DataFrame, partition: list[str], order: list[str], value: str, large: bool | None = None
+) -> DataFrame:
     """Add ``before`` and ``until``: the total of ``value`` without and with the row.
 
     Small inputs use a window. A large input is settled and its largest group
-    counted; a group that is too big for a window is cut into ranges.
+    counted; a group that is too big for a window is cut into ranges. ``large`` chooses in place of the
+    measured size: False for one window, True for ranges.
     """
-    if is_small(df):
+    if is_small(df, large):
         return windowed_total(df, partition, order, value)
+    if large:
+        return ranged_total(df, partition, order, value)
     df = settled(df)
     sizes = df.groupBy(*map(named, partition)).agg(F.count(F.lit(1)).alias("_size"))
     largest = sizes.agg(F.max("_size")).first()[0] or 0

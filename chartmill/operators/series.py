@@ -1,4 +1,9 @@
-"""Line, area and bar datasets: plain, grouped, stacked and normalised."""
+"""Line, area and bar datasets: plain, grouped, stacked and normalised.
+
+``large`` chooses the plan of medians and stacks in place of the measured size: False for
+windows and built-in medians, which run nothing while they are planned; True for ranges
+and rank selection, which run jobs.
+"""
 
 from __future__ import annotations
 
@@ -13,14 +18,14 @@ from chartmill.operators.running import ranged_total, running_total, windowed_to
 from chartmill.sizing import is_small, settled
 
 
-def chart_cells(df: DataFrame, keys: dict[str, str], y: str, agg: str) -> DataFrame:
+def chart_cells(df: DataFrame, keys: dict[str, str], y: str, agg: str, large: bool | None = None) -> DataFrame:
     """One row per key combination under the names in ``keys``, with a double ``y``.
 
     A group without any value gets 0.
     """
     check_aggregate(agg)
     picked = df.select(*[named(column).alias(name) for name, column in keys.items()], named(y).alias("y"))
-    cells = aggregate(picked, list(keys), "y", agg)
+    cells = aggregate(picked, list(keys), "y", agg, large)
     return cells.select(*keys, chart_value(F.col("y")).alias("y"))
 
 
@@ -44,16 +49,16 @@ def _with_share(rows: DataFrame, cells: DataFrame) -> DataFrame:
     return join_on(rows, axis(cells, "x", "y"), ["x"]).withColumn("share_pct", share).drop("total")
 
 
-def _stacked(cells: DataFrame, normalize: bool) -> DataFrame:
+def _stacked(cells: DataFrame, normalize: bool, large: bool | None) -> DataFrame:
     """Running stacks per x over the dense grid, series in natural order.
 
     In the grid every x holds each series exactly once, so the number of series
     is the size of all windows. It is measured when the input is large.
     """
     total = windowed_total
-    if not is_small(cells):
+    if not is_small(cells, large):
         cells = settled(cells)
-        if axis(cells, "series", "y").count() > running.MAX_WINDOW_ROWS:
+        if large or axis(cells, "series", "y").count() > running.MAX_WINDOW_ROWS:
             total = ranged_total
     dense = dense_grid(cells, "x", "series", "y", by_row=total is windowed_total)
     if normalize:
@@ -72,12 +77,13 @@ def _series(
     stacked: bool,
     normalize: bool,
     max_points: int | None,
+    large: bool | None,
 ) -> DataFrame:
     if group is None:
-        return _capped(chart_cells(df, {"x": x}, y, agg), ["x"], max_points)
-    cells = chart_cells(df, {"x": x, "series": group}, y, agg)
+        return _capped(chart_cells(df, {"x": x}, y, agg, large), ["x"], max_points)
+    cells = chart_cells(df, {"x": x, "series": group}, y, agg, large)
     if stacked:
-        cells = _stacked(cells, normalize)
+        cells = _stacked(cells, normalize, large)
     elif normalize:
         cells = _with_share(cells, cells)
     return _capped(cells, ["x", "series"], max_points)
@@ -90,9 +96,10 @@ def line_series(
     group: str | None = None,
     agg: str = "sum",
     max_points: int | None = None,
+    large: bool | None = None,
 ) -> DataFrame:
     """x, y - or x, series, y with a group - in order of x."""
-    return _series(df, x, y, group, agg, False, False, max_points)
+    return _series(df, x, y, group, agg, False, False, max_points, large)
 
 
 def area_series(
@@ -104,6 +111,7 @@ def area_series(
     stacked: bool = False,
     normalize: bool = False,
     max_points: int | None = None,
+    large: bool | None = None,
 ) -> DataFrame:
     """As ``line_series``; with a group optionally stacked and/or normalised.
 
@@ -111,7 +119,7 @@ def area_series(
     ``normalize`` adds share_pct, the percentage of all y at that x; stacks are
     then built from the shares.
     """
-    return _series(df, x, y, group, agg, stacked, normalize, max_points)
+    return _series(df, x, y, group, agg, stacked, normalize, max_points, large)
 
 
 def bar_series(
@@ -123,21 +131,23 @@ def bar_series(
     stacked: bool = False,
     normalize: bool = False,
     max_points: int | None = None,
+    large: bool | None = None,
 ) -> DataFrame:
     """One bar per x, per (x, series), or one stack per x."""
-    return _series(df, x, y, group, agg, stacked, normalize, max_points)
+    return _series(df, x, y, group, agg, stacked, normalize, max_points, large)
 
 
 def stacked_bar(
-    df: DataFrame, y: str, group: str, x: str | None = None, agg: str = "sum", max_points: int | None = None
+    df: DataFrame, y: str, group: str, x: str | None = None, agg: str = "sum", max_points: int | None = None,
+    large: bool | None = None,
 ) -> DataFrame:
     """x, series, y, y_start, y_end; without x a single stack over the groups.
 
     Empty when no stack is higher than 0.
     """
     if x is not None:
-        return _series(df, x, y, group, agg, True, False, max_points)
-    stack = running_total(chart_cells(df, {"series": group}, y, agg), [], ["series"], "y")
+        return _series(df, x, y, group, agg, True, False, max_points, large)
+    stack = running_total(chart_cells(df, {"series": group}, y, agg, large), [], ["series"], "y", large)
     # The height comes from the totals' own input, settled or not: no second scan.
     stack = stack.filter(stack.agg(F.sum("y")).scalar() > 0)
     stack = stack.select("series", "y", F.col("before").alias("y_start"), F.col("until").alias("y_end"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -14,10 +15,12 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from chartmill.columns import named
 from chartmill.plans.charts import build_chart
 from chartmill.plans.spec import check_spec
 from chartmill.session import shared_dir
 from chartmill.sizing import input_bytes
+from chartmill.sources.dates import PARSED_SUFFIX
 from chartmill.sources.resolve import Sources
 from chartmill.sources.sinks import delete_table, slug, write_dataset
 
@@ -25,15 +28,75 @@ CACHE_BYTES = 512 * 1024 * 1024
 POOL = "spark.scheduler.pool"
 
 
+class SharedSource:
+    """A source of several charts: read with the columns they use, and a text file only once.
+
+    Nothing runs before the first chart is built. Then a text file is cached if its size allows, and
+    otherwise copied to a Parquet table in the shared folder.
+    """
+
+    def __init__(self, df: DataFrame, is_text: bool, batch: Batch) -> None:
+        self.df = df
+        self._is_text, self._batch = is_text, batch
+        self._uses: list[set[str]] = []
+        self._lock = threading.Lock()
+        self._shared: DataFrame | None = None
+        self._broken: Exception | None = None
+
+    def plan(self, chart: Mapping[str, Any]) -> DataFrame:
+        """The chart's dataset as a plan that runs nothing; notes the columns it reads."""
+        dataset = build_chart(self.df, chart, large=False)
+        if self._is_text:
+            self._uses.append(columns_read(dataset))
+        return dataset
+
+    def build(self, chart: Mapping[str, Any]) -> DataFrame:
+        """The chart's dataset, planned for the size of its input; may run jobs."""
+        with self._lock:
+            if self._broken is not None:
+                raise self._broken
+            if self._shared is None:
+                try:
+                    self._shared = self._share()
+                except Exception as problem:  # tried once, however many charts use it
+                    self._broken = problem
+                    raise
+        return build_chart(self._shared, chart)
+
+    def _share(self) -> DataFrame:
+        if not self._is_text or len(self._uses) < 2:
+            return self.df
+        used = set().union(*self._uses)
+        needed = [name for name in self.df.columns if name in used or name.removesuffix(PARSED_SUFFIX) in used]
+        df = self.df.select(*map(named, needed))
+        if input_bytes(df) <= CACHE_BYTES:
+            df = df.persist()
+            self._batch.cached.append(df)
+            return df
+        path = f"{shared_dir(self._batch.spark)}/chartmill-{uuid.uuid4().hex}"
+        self._batch.staged.append(path)
+        write_dataset(df, path)
+        return self._batch.spark.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class Batch:
-    """The datasets of a spec by name, and why the other charts failed."""
+    """The charts of a spec by name, and why the other ones failed.
+
+    ``datasets`` are plans that have run nothing; ``build`` gives the dataset that counts and writes use,
+    planned for the size of its input.
+    """
 
     spark: SparkSession
     datasets: dict[str, DataFrame] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
     cached: list[DataFrame] = field(default_factory=list)
     staged: list[str] = field(default_factory=list)
+    charts: dict[str, tuple[SharedSource, Mapping[str, Any]]] = field(default_factory=dict)
+
+    def build(self, name: str) -> DataFrame:
+        source, chart = self.charts[name]
+        return source.build(chart)
 
     def __enter__(self) -> Batch:
         return self
@@ -70,18 +133,15 @@ def chart_batch(
     noted in ``errors`` and leaves the others alone. ``data`` replaces the
     spec's default source; ``tables`` offers DataFrames as named sources.
 
-    Each source is opened once. Columnar sources are scanned per chart with only
-    the columns needed. A CSV used by several charts would be read and parsed
-    whole for each of them: it is cached when its size allows, and otherwise
-    copied once, here, to a Parquet table in the shared folder.
+    Each source is opened once, and scanned with only the columns the charts
+    need. A CSV used by several charts is not parsed for each of them: see ``SharedSource``.
     """
     check_spec(spec)
     block = spec.get("data") or {}
     sources = Sources(spark, block.get("default"), block.get("sources"), data, tables)
     batch = Batch(spark)
     taken: Counter = Counter()
-    uses = Counter(chart.get("data") or data or block.get("default") for chart in spec["charts"])
-    shared: dict[str, DataFrame] = {}
+    shared: dict[str, SharedSource] = {}
     broken: dict[str, Exception] = {}
     for number, chart in enumerate(spec["charts"], start=1):
         name = _chart_name(chart, number, taken)
@@ -91,32 +151,36 @@ def chart_batch(
                 raise broken[source]
             if source not in shared:
                 try:
-                    shared[source] = _share(sources, source, uses[source], batch)
+                    shared[source] = SharedSource(sources.open(source), sources.is_text_file(source), batch)
                 except Exception as problem:
                     broken[source] = problem
                     raise
-            batch.datasets[name] = build_chart(shared[source], chart)
+            batch.datasets[name] = shared[source].plan(chart)
+            batch.charts[name] = (shared[source], chart)
         except Exception as problem:  # one bad chart must not stop the others
             batch.errors[name] = _reason(problem)
     return batch
 
 
-def _share(sources: Sources, source: str, uses: int, batch: Batch) -> DataFrame:
-    df = sources.open(source)
-    if uses < 2 or not sources.is_text_file(source):
-        return df
-    if input_bytes(df) <= CACHE_BYTES:
-        df = df.persist()
-        batch.cached.append(df)
-        return df
-    path = f"{shared_dir(batch.spark)}/chartmill-{uuid.uuid4().hex}"
-    batch.staged.append(path)
-    write_dataset(df, path)
-    return batch.spark.read.schema(df.schema).parquet(path)
+def columns_read(df: DataFrame) -> set[str]:
+    """The columns that a plan's scans read, after pruning."""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    outputs = [leaves.apply(i).output() for i in range(leaves.size())]
+    return {output.apply(i).name() for output in outputs for i in range(output.size())}
 
 
 def _reason(problem: Exception) -> str:
-    return str(problem).split("\n")[0]
+    """The first line of what went wrong in the end; Java wraps its causes."""
+    text = str(problem)
+    cause = getattr(problem, "java_exception", None) or getattr(problem, "_origin", None)
+    for _ in range(20):
+        inner = cause.getCause() if cause is not None else None
+        if inner is None:
+            break
+        cause = inner
+    if cause is not None and cause.getMessage():
+        text = cause.getMessage()
+    return next((line for line in text.split("\n") if line.strip()), type(problem).__name__)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -124,32 +188,31 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def row_counts(batch: Batch) -> DataFrame:
-    """chart, n_rows for every planned chart, as one query."""
+    """chart, n_rows for every planned chart, as one query; large medians and stacks run their jobs here."""
     counts = [
-        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("chart"), "n_rows")
-        for name, df in batch.datasets.items()
+        batch.build(name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("chart"), "n_rows")
+        for name in batch.datasets
     ]
     return _union(counts)
 
 
-def batch_status(batch: Batch) -> DataFrame:
-    """chart, ok, n_rows: planned charts with their size, failed ones with NULL."""
-    parts = []
-    if batch.datasets:
-        parts.append(row_counts(batch).select("chart", F.lit("ok").alias("status"), "n_rows"))
-    failed = F.lit(None).cast("long").alias("n_rows")
-    for name in batch.errors:
-        row = batch.spark.range(1)
-        parts.append(row.select(F.lit(name).alias("chart"), F.lit("failed").alias("status"), failed))
-    return _union(parts)
+def batch_status(batch: Batch, parallel: int = 4) -> DataFrame:
+    """chart, status, n_rows: 'ok' with the number of rows, or 'failed' with NULL, whenever a chart failed.
+
+    Every chart is computed, on its own; one row per chart comes to the driver.
+    """
+    outcomes = _each_chart(batch, parallel, lambda name, df: Written(name, rows=df.count()))
+    rows = [(outcome.name, "ok" if outcome.ok else "failed", outcome.rows) for outcome in outcomes]
+    return batch.spark.createDataFrame(rows, "chart string, status string, n_rows long")
 
 
 def long_form(batch: Batch) -> DataFrame:
     """All charts with x and y as one table: chart, x, series, y."""
     parts = []
-    for name, df in batch.datasets.items():
-        if not {"x", "y"} <= set(df.columns):
+    for name, planned in batch.datasets.items():
+        if not {"x", "y"} <= set(planned.columns):
             continue
+        df = batch.build(name)
         series = F.col("series").cast("string") if "series" in df.columns else F.lit(None).cast("string")
         parts.append(
             df.select(
@@ -178,26 +241,35 @@ class Written:
         return self.error is None
 
 
-def write_batch(batch: Batch, out: str, fmt: str = "parquet", parallel: int = 4) -> list[Written]:
-    """Write each dataset to ``out/<name>``, several at a time; report all outcomes.
-
-    The charts run as concurrent Spark jobs from ``parallel`` driver threads,
-    each in its own scheduler pool (fair where the session says so). Rows are
-    counted while they are written.
-    """
+def _each_chart(batch: Batch, parallel: int, work: Callable[[str, DataFrame], Written]) -> list[Written]:
+    """Build each chart and do ``work`` on it, several at a time; one that fails leaves the others alone."""
 
-    def write(name: str) -> Written:
+    def attempt(name: str) -> Written:
         batch.spark.sparkContext.setLocalProperty(POOL, name)
-        seen = Observation(name)
         try:
-            observed = batch.datasets[name].observe(seen, F.count(F.lit(1)).alias("rows"))
-            write_dataset(observed, f"{out}/{name}", fmt)
-            return Written(name, f"{out}/{name}", seen.get["rows"])
+            return work(name, batch.build(name))
         except Exception as problem:  # reported, the other charts go on
             return Written(name, error=_reason(problem))
         finally:
             batch.spark.sparkContext.setLocalProperty(POOL, None)
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as threads:
-        outcomes = list(threads.map(inheritable_thread_target(batch.spark)(write), batch.datasets))
+        outcomes = list(threads.map(inheritable_thread_target(batch.spark)(attempt), batch.datasets))
     return outcomes + [Written(name, error=reason) for name, reason in batch.errors.items()]
+
+
+def write_batch(batch: Batch, out: str, fmt: str = "parquet", parallel: int = 4) -> list[Written]:
+    """Write each dataset to ``out/<name>``, several at a time; report all outcomes.
+
+    The charts run as concurrent Spark jobs from ``parallel`` driver threads,
+    each in its own scheduler pool (fair where the session says so); that includes the
+    jobs which large medians and stacks need before they can be planned. Rows are
+    counted while they are written.
+    """
+
+    def write(name: str, df: DataFrame) -> Written:
+        seen = Observation(name)
+        write_dataset(df.observe(seen, F.count(F.lit(1)).alias("rows")), f"{out}/{name}", fmt)
+        return Written(name, f"{out}/{name}", seen.get["rows"])
+
+    return _each_chart(batch, parallel, write)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartmill.functions.derive import documented_concat
 from chartmill.operators import funnel as funnels
 from chartmill.operators.heatmap import heatmap
 from chartmill.operators.ordering import sort_limit
@@ -49,28 +50,36 @@ def _step_column(df: DataFrame, chart: Chart) -> str:
     return texts[0]
 
 
-def _dataset(df: DataFrame, chart: Chart) -> DataFrame:
+def _prepared(df: DataFrame, chart: Chart) -> DataFrame:
+    """Filters, then derived columns; expressions of a spec may use its documented concat."""
+    derived = {
+        name: documented_concat(df.sparkSession, text) for name, text in (chart.get("derive") or {}).items()
+    }
+    return prepare(df, chart.get("filter"), derived)
+
+
+def _dataset(df: DataFrame, chart: Chart, large: bool | None) -> DataFrame:
     kind = chart["type"]
     x, y, group = chart.get("x"), chart.get("y"), chart.get("group_by")
     agg = chart.get("agg") or DEFAULT_AGG
     normalize = bool(chart.get("normalize"))
     cap = chart.get("max_points")
     if kind == "line":
-        return line_series(df, x, y, group, agg, cap)
+        return line_series(df, x, y, group, agg, cap, large)
     if kind == "area":
         stacked = chart.get("stacked")
-        return area_series(df, x, y, group, agg, True if stacked is None else stacked, normalize, cap)
+        return area_series(df, x, y, group, agg, True if stacked is None else stacked, normalize, cap, large)
     if kind == "bar":
-        return bar_series(df, x, y, group, agg, bool(chart.get("stacked")), normalize, cap)
+        return bar_series(df, x, y, group, agg, bool(chart.get("stacked")), normalize, cap, large)
     if kind == "bar-stacked":
-        return stacked_bar(df, y, group, x, agg, cap)
+        return stacked_bar(df, y, group, x, agg, cap, large)
     if kind == "heatmap":
-        return heatmap(df, x, y, chart["z"], chart.get("bins") or DEFAULT_BINS, agg)
+        return heatmap(df, x, y, chart["z"], chart.get("bins") or DEFAULT_BINS, agg, large)
     if kind == "scatter":
         if chart.get("agg") is None:
             return scatter_points(df, x, y, group, cap)
         keys = {"x": x} if group is None else {"x": x, "series": group}
-        return scatter_points(chart_cells(df, keys, y, agg), "x", "y", "series" if group else None, cap)
+        return scatter_points(chart_cells(df, keys, y, agg, large), "x", "y", "series" if group else None, cap)
     if kind == "funnel":
         build = funnels.funnel_conversion if chart.get("conversion_rates") else funnels.funnel
         return build(df, chart["steps"], _step_column(df, chart), chart["values"], chart.get("step_order"))
@@ -84,13 +93,14 @@ def _dataset(df: DataFrame, chart: Chart) -> DataFrame:
     )
 
 
-def build_chart(df: DataFrame, chart: Chart) -> DataFrame:
+def build_chart(df: DataFrame, chart: Chart, large: bool | None = None) -> DataFrame:
     """Filter and derive, build the chart's dataset, then sort and limit that.
 
-    Sort entries may use the source column names or the dataset's own.
+    Sort entries may use the source column names or the dataset's own. ``large`` chooses the plan of
+    medians and stacks in place of the measured size; with False nothing runs here.
     """
     check_chart(chart)
-    dataset = _dataset(prepare(df, chart.get("filter"), chart.get("derive")), chart)
+    dataset = _dataset(_prepared(df, chart), chart, large)
     renamed = {chart[field]: name for field, name in DATASET_NAMES.items() if chart.get(field)}
     return sort_limit(dataset, sort_keys(chart.get("sort"), renamed), chart.get("limit"))
 
@@ -104,7 +114,7 @@ def legend(df: DataFrame, chart: Chart) -> DataFrame:
     check_chart(chart)
     kind = chart["type"]
     if chart.get("group_by") and kind in GROUPED_CHARTS:
-        keys = series_keys(prepare(df, chart.get("filter"), chart.get("derive")), chart["group_by"])
+        keys = series_keys(_prepared(df, chart), chart["group_by"])
         return keys.select(F.col("series").cast("string").alias("series"))
     if kind == "funnel":
         return build_chart(df, {**chart, "conversion_rates": False}).select(F.col("step").alias("series"))

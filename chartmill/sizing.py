@@ -19,15 +19,28 @@ def input_bytes(df: DataFrame) -> int:
     the exception: their number is unknown, and so is the size.
     """
     plan = df._jdf.queryExecution().optimizedPlan()
-    if "Generate" in plan.treeString():
+    if _has_generator(plan):
         return UNKNOWN_BYTES
     leaves = plan.collectLeaves()
     scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return max(scanned, int(str(plan.stats().sizeInBytes())))
 
 
-def is_small(df: DataFrame) -> bool:
-    """True when all distinct values of the input would fit one task."""
+def _has_generator(plan) -> bool:
+    """True when a plan explodes arrays or maps; told by its nodes, not by names that columns may have as well."""
+    if plan.getClass().getSimpleName() == "Generate":
+        return True
+    children = plan.children()
+    return any(_has_generator(children.apply(i)) for i in range(children.size()))
+
+
+def is_small(df: DataFrame, large: bool | None = None) -> bool:
+    """True when all distinct values of the input would fit one task.
+
+    ``large`` answers in place of the estimate, for callers that know or want a certain plan.
+    """
+    if large is not None:
+        return not large
     bound = int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_BYTES)))
     return input_bytes(df) <= bound
 

@@ -144,8 +144,9 @@ def test_a_shared_csv_is_read_once_and_released(spark, tmp_path):
     (tmp_path / "u.csv").write_text("channel,users\na,1\nb,2\n")
     chart = {"type": "bar", "x": "channel", "y": "users"}
     with cm.chart_batch(spark, spec(chart, chart, default=str(tmp_path / "u.csv"))) as batch:
-        assert len(batch.cached) == 1
+        assert batch.cached == []
         assert [row[1] for row in tuples(cm.row_counts(batch))] == [2, 2]
+        assert len(batch.cached) == 1
         source = batch.cached[0]
         assert source.storageLevel.useMemory
     assert not source.storageLevel.useMemory
@@ -158,9 +159,11 @@ def test_a_large_shared_csv_is_copied_once(spark, tmp_path, monkeypatch):
     day = {"type": "line", "x": "created_parsed", "y": "users"}
     bar = {"type": "bar", "x": "channel", "y": "users"}
     with cm.chart_batch(spark, spec(day, bar, default=str(tmp_path / "u.csv"))) as batch:
+        assert batch.cached == [] and batch.staged == []
+        built = [batch.build(name) for name in batch.datasets]
         assert batch.cached == [] and len(batch.staged) == 1
         path = batch.staged[0]
-        assert all(path in df.inputFiles()[0] for df in batch.datasets.values())
+        assert all(path in df.inputFiles()[0] for df in built)
         assert [row[1] for row in tuples(cm.row_counts(batch))] == [2, 2]
     assert not os.path.exists(path)
 
@@ -171,11 +174,68 @@ def test_a_broken_source_is_tried_once(spark, tmp_path, monkeypatch):
     bar = {"type": "bar", "x": "x", "y": "y"}
     good = {**BAR, "data": f"{DATA}/events.parquet"}
     batch = cm.chart_batch(spark, spec(bar, bar, good, default=str(tmp_path / "bad.csv")))
-    assert list(batch.datasets) == ["chart-3-bar"]
-    assert len(batch.errors) == 2 and len(batch.staged) == 1
+    outcomes = cm.write_batch(batch, str(tmp_path / "out"))
+    assert [outcome.name for outcome in outcomes if outcome.ok] == ["chart-3-bar"]
+    assert all("MALFORMED" in outcome.error or "malformed" in outcome.error.lower() for outcome in outcomes if not outcome.ok)
+    assert len(batch.staged) == 1
     batch.close()
 
 
+@pytest.mark.parametrize("uses", [1, 2])
+def test_cells_of_unused_columns_do_not_matter(spark, tmp_path, uses):
+    (tmp_path / "bad.csv").write_text("x,y,unused\na,1,5\nb,2,x\n")
+    source = {"path": str(tmp_path / "bad.csv"), "schema": "x STRING, y BIGINT, unused BIGINT"}
+    bar = {"type": "bar", "x": "x", "y": "y", "data": "s"}
+    with cm.chart_batch(spark, spec(*[bar] * uses, sources={"s": source})) as batch:
+        outcomes = cm.write_batch(batch, str(tmp_path / "out"))
+    assert [outcome.rows for outcome in outcomes] == [2] * uses
+
+
+def test_planning_a_batch_runs_no_job(spark, scale_out):
+    stack = {"type": "bar-stacked", "x": "event_type", "y": "value", "group_by": "user_id"}
+    median = {"type": "bar", "title": "Median", "x": "event_type", "y": "value", "agg": "median"}
+    tables = {"events": spark.read.parquet(f"{DATA}/events.parquet")}  # Spark reads the schema in a job
+    spark.sparkContext.setJobGroup("planning", "")
+    batch = cm.chart_batch(spark, spec(stack, median, default="events"), tables=tables)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    assert len(batch.datasets) == 2 and list(jobs) == []
+    assert [row[1] for row in tuples(cm.batch_status(batch))] == ["ok", "ok"]
+
+
+def test_failures_while_rows_are_read_leave_the_status_of_others(spark):
+    late = {**BAR, "title": "late", "filter": {"expression": "value > 0 AND raise_error('boom') IS NULL"}}
+    batch = cm.chart_batch(spark, spec(late, BAR, BROKEN))
+    status = {row[0]: row[1:] for row in tuples(cm.batch_status(batch))}
+    assert status == {"late-bar": ("failed", None), "chart-2-bar": ("ok", 5), "broken-bar": ("failed", None)}
+    outcome = next(o for o in cm.write_batch(batch, "/tmp/chartmill-none") if o.name == "late-bar")
+    assert "boom" in outcome.error and "o4" not in outcome.error
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("concat(event_type, props, ' - ')", "join"),
+        ("CONCAT(upper(event_type), 'b', '/')", "join"),
+        ("concat(event_type, props)", "spark"),
+        ("concat(event_type, props, '-', 'x')", "spark"),
+        ("upper(concat(event_type, props, ' - '))", "refused"),
+        ("concat(event_type, props, event_type)", "refused"),
+    ],
+)
+def test_concat_in_a_spec(spark, text, label):
+    chart = {"type": "bar", "x": "label", "y": "value", "agg": "count", "derive": {"label": text}}
+    batch = cm.chart_batch(spark, spec(chart))
+    if label == "refused":
+        assert "concat_sep" in batch.errors["chart-1-bar"]
+        return
+    expected = text if label == "spark" else {"concat(event_type, props, ' - ')": "event_type || ' - ' || props"}.get(text, "upper(event_type) || '/b'")
+    rows = spark.read.parquet(f"{DATA}/events.parquet").selectExpr(f"{expected} AS label").distinct().count()
+    assert batch.build("chart-1-bar").count() == rows
+    assert {row.x for row in batch.build("chart-1-bar").collect()} == {
+        row.label for row in spark.read.parquet(f"{DATA}/events.parquet").selectExpr(f"{expected} AS label").collect()
+    }
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
 def test_written_batch(spark, tmp_path, fmt):
     late = {**BAR, "title": "late", "filter": {"expression": "raise_error('boom') IS NULL"}}
@@ -235,8 +295,8 @@ def test_a_source_with_a_schema(spark, tmp_path):
     source = {"path": str(tmp_path / "export"), "fmt": "csv", "header": False, "schema": "kind STRING, n BIGINT"}
     chart = {"type": "bar", "data": "export", "x": "kind", "y": "n"}
     with cm.chart_batch(spark, spec(chart, chart, sources={"export": source})) as batch:
+        assert tuples(batch.build("chart-1-bar")) == [("a", 1.0), ("b", 2.0)]
         assert len(batch.cached) == 1
-        assert tuples(batch.datasets["chart-1-bar"]) == [("a", 1.0), ("b", 2.0)]
 
 
 def test_unknown_table_format(spark):

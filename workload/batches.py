@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 import chartmill as cm
 from chartmill.streaming.period_stream import open_stream, stream_period_series, write_available
 from workload.registry import query, rounded, scratch, steady, steady_sql, table
@@ -80,7 +85,8 @@ _CHARTS_SQL = """
 
 @query("batch_run", f"WITH {_CHARTS_SQL} SELECT chart, count(*) AS n_rows FROM charts GROUP BY 1")
 def batch_run(spark, sf_dir):
-    return cm.row_counts(cm.chart_batch(spark, _spec(sf_dir)))
+    with cm.chart_batch(spark, _spec(sf_dir)) as batch:
+        return cm.row_counts(batch)
 
 
 @query(
@@ -89,16 +95,71 @@ def batch_run(spark, sf_dir):
     WITH {_CHARTS_SQL}
     SELECT chart, 'ok' AS status, count(*) AS n_rows FROM charts GROUP BY 1
     UNION ALL SELECT 'broken-bar', 'failed', NULL
+    UNION ALL SELECT 'late-bar', 'failed', NULL
     """,
 )
 def batch_status(spark, sf_dir):
-    return cm.batch_status(cm.chart_batch(spark, _spec(sf_dir)))
+    """One chart names a column that does not exist, another one fails when its rows are read."""
+    with cm.chart_batch(spark, _with_late_failure(_spec(sf_dir))) as batch:
+        return cm.batch_status(batch)
+
+
+def _with_late_failure(spec: dict) -> dict:
+    late = {
+        "type": "bar",
+        "title": "Late",
+        "data": "goods",
+        "x": "p_brand",
+        "y": "p_retailprice",
+        "filter": {"expression": "p_size > 0 AND raise_error('late') IS NULL"},
+    }
+    return {**spec, "charts": [*spec["charts"], late]}
+
+
+@query(
+    "batch_written",
+    f"""
+    WITH {_CHARTS_SQL}
+    SELECT chart, count(*) AS n_rows, count(*) AS n_read, {steady_sql("sum(y)", 2)} AS total FROM charts GROUP BY 1
+    """,
+)
+def batch_written(spark, sf_dir):
+    """Charts written by several threads, and read back; the failing ones leave no table."""
+    with cm.chart_batch(spark, _with_late_failure(_spec(sf_dir))) as batch:
+        outcomes = cm.write_batch(batch, scratch(spark, "charts"), parallel=3)
+    parts = [
+        spark.read.parquet(outcome.path)
+        .agg(F.count(F.lit(1)).alias("n_read"), steady(F.sum("y"), 2).alias("total"))
+        .select(F.lit(outcome.name).alias("chart"), F.lit(outcome.rows).cast("long").alias("n_rows"), "n_read", "total")
+        for outcome in outcomes
+        if outcome.ok
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "spec_concat",
+    """
+    SELECT o_orderstatus || ' - ' || o_orderpriority AS x, round(sum(o_totalprice), 2) AS y FROM orders GROUP BY 1
+    """,
+)
+def spec_concat(spark, sf_dir):
+    """The documented spelling of a join with a separator, in a spec."""
+    chart = {
+        "type": "bar",
+        "title": "Labels",
+        "x": "label",
+        "y": "o_totalprice",
+        "derive": {"label": "concat(o_orderstatus, o_orderpriority, ' - ')"},
+    }
+    with cm.chart_batch(spark, {"data": {"default": f"{sf_dir}/orders.parquet"}, "charts": [chart]}) as batch:
+        return batch.build("labels-bar").withColumn("y", rounded("y", 2))
 
 
 @query("batch_long", f"WITH {_CHARTS_SQL} SELECT chart, x, series, {steady_sql('y', 2)} AS y FROM charts")
 def batch_long(spark, sf_dir):
-    long = cm.long_form(cm.chart_batch(spark, _spec(sf_dir)))
-    return long.withColumn("y", steady("y", 2))
+    with cm.chart_batch(spark, _spec(sf_dir)) as batch:
+        return cm.long_form(batch).withColumn("y", steady("y", 2))
 
 
 @query(
@@ -127,11 +188,9 @@ def batch_sources(spark, sf_dir):
             {"type": "bar", "title": "frame", "data": "clicks", "x": "event_type", "y": "value"},
         ],
     }
-    batch = cm.chart_batch(
-        spark, spec, data=f"{sf_dir}/customer.parquet", tables={"clicks": table(spark, sf_dir, "events")}
-    )
-    long = cm.long_form(batch).select("chart", "x", "y")
-    return long.withColumn("y", rounded("y", 2))
+    tables = {"clicks": table(spark, sf_dir, "events")}
+    with cm.chart_batch(spark, spec, data=f"{sf_dir}/customer.parquet", tables=tables) as batch:
+        return cm.long_form(batch).select("chart", "x", "y").withColumn("y", rounded("y", 2))
 
 
 @query(

@@ -96,6 +96,56 @@ def area_stacked(spark, sf_dir):
     return _round_all(stack, "y", "y_start", "y_end", digits=2)
 
 
+@query(
+    "area_stacked_many_series",
+    _STACK_SQL.format(
+        cells="SELECT l_returnflag AS x, l_partkey AS series, sum(l_quantity) AS y FROM lineitem GROUP BY 1, 2"
+    ),
+)
+def area_stacked_many_series(spark, sf_dir):
+    """Few x, each with a stack of many series."""
+    stack = cm.area_series(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "l_partkey", stacked=True)
+    return _round_all(stack, "y", "y_start", "y_end", digits=2)
+
+
+@query(
+    "area_stacked_ranged",
+    _STACK_SQL.format(
+        cells="SELECT l_linestatus AS x, l_suppkey AS series, sum(l_quantity) AS y FROM lineitem GROUP BY 1, 2"
+    ),
+)
+def area_stacked_ranged(spark, sf_dir):
+    """The plan for large tables: stacks summed over sorted ranges, no stack in one task."""
+    stack = cm.area_series(
+        table(spark, sf_dir, "lineitem"), "l_linestatus", "l_quantity", "l_suppkey", stacked=True, large=True
+    )
+    return _round_all(stack, "y", "y_start", "y_end", digits=2)
+
+
+@query(
+    "area_stacked_normalized",
+    f"""
+    WITH cells AS (SELECT CAST(ts AS DATE) AS x, event_type AS series, sum(value) AS y FROM events GROUP BY 1, 2),
+    grid AS (
+        SELECT a.x, b.series, coalesce(c.y, 0) AS y
+        FROM (SELECT DISTINCT x FROM cells) a CROSS JOIN (SELECT DISTINCT series FROM cells) b
+        LEFT JOIN cells c ON c.x = a.x AND c.series = b.series),
+    shares AS (SELECT *, CASE WHEN sum(y) OVER (PARTITION BY x) <> 0
+                              THEN 100 * y / sum(y) OVER (PARTITION BY x) ELSE 0 END AS share FROM grid)
+    SELECT x, series, round(y, 4) AS y, {steady_sql("share")} AS share_pct,
+           {steady_sql("coalesce(sum(share) OVER (PARTITION BY x ORDER BY series ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")}
+           AS y_start,
+           {steady_sql("sum(share) OVER (PARTITION BY x ORDER BY series ROWS UNBOUNDED PRECEDING)")} AS y_end
+    FROM shares
+    """,
+)
+def area_stacked_normalized(spark, sf_dir):
+    stack = cm.area_series(
+        _daily_events(spark, sf_dir), "day", "value", "event_type", stacked=True, normalize=True
+    )
+    return _round_all(stack, "y").withColumns({name: steady(name) for name in ("share_pct", "y_start", "y_end")})
+
+
 @query(
     "area_normalized",
     f"""
@@ -151,6 +201,23 @@ def bar_stacked_total(spark, sf_dir):
     return _round_all(stack, "y", "y_start", "y_end", digits=2)
 
 
+@query(
+    "bar_stacked_total_ranged",
+    """
+    WITH cells AS (SELECT l_partkey AS series, sum(l_quantity) AS y FROM lineitem GROUP BY 1)
+    SELECT series, round(y, 2) AS y,
+           round(coalesce(sum(y) OVER (ORDER BY series ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2)
+           AS y_start,
+           round(sum(y) OVER (ORDER BY series ROWS UNBOUNDED PRECEDING), 2) AS y_end
+    FROM cells
+    """,
+)
+def bar_stacked_total_ranged(spark, sf_dir):
+    """The plan for large tables: one stack of many series, summed over sorted ranges."""
+    stack = cm.stacked_bar(table(spark, sf_dir, "lineitem"), "l_quantity", "l_partkey", large=True)
+    return _round_all(stack, "y", "y_start", "y_end", digits=2)
+
+
 @query(
     "extent_zero_based",
     """
@@ -348,6 +415,18 @@ def funnel_dropoff(spark, sf_dir):
     )
 
 
+@query(
+    "legend_funnel",
+    """
+    SELECT event_type AS series FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase') GROUP BY 1
+    """,
+)
+def legend_funnel(spark, sf_dir):
+    """The steps of a funnel as its legend names them."""
+    chart = {"type": "funnel", "steps": STEPS, "step_col": "event_type", "values": "value"}
+    return cm.legend(table(spark, sf_dir, "events"), chart)
+
+
 @query(
     "funnel_from_events",
     """

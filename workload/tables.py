@@ -418,6 +418,20 @@ def agg_median(spark, sf_dir):
     return medians.withColumn("l_extendedprice", steady("l_extendedprice"))
 
 
+@query(
+    "agg_median_selected",
+    f"""
+    SELECT l_suppkey, l_linestatus, {steady_sql("median(l_extendedprice)")} AS l_extendedprice
+    FROM lineitem GROUP BY 1, 2
+    """,
+)
+def agg_median_selected(spark, sf_dir):
+    """The plan for large tables: ranks selected from counts, no group in one task."""
+    keys = ["l_suppkey", "l_linestatus"]
+    medians = cm.aggregate(table(spark, sf_dir, "lineitem"), keys, "l_extendedprice", "median", large=True)
+    return medians.withColumn("l_extendedprice", steady("l_extendedprice"))
+
+
 def _orders_by(spark, sf_dir, **columns):
     rows = cm.transform(table(spark, sf_dir, "orders"), y="o_totalprice", agg="sum", **columns)
     return rows.withColumn("o_totalprice", rounded("o_totalprice", 2))
@@ -464,6 +478,78 @@ def agg_all_columns(spark, sf_dir):
     return cm.aggregate_all(table(spark, sf_dir, "lineitem"), "l_linestatus", "max")
 
 
+_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _all_numbers_sql(function: str) -> str:
+    columns = ", ".join(f"{steady_sql(f'{function}({name})')} AS {name}" for name in _NUMBERS)
+    return f"SELECT l_returnflag, {columns} FROM lineitem GROUP BY 1"
+
+
+def _steady_numbers(df):
+    return df.withColumns({name: steady(name) for name in _NUMBERS})
+
+
+@query("agg_all_mean", _all_numbers_sql("avg"))
+def agg_all_mean(spark, sf_dir):
+    return _steady_numbers(cm.aggregate_all(table(spark, sf_dir, "lineitem"), "l_returnflag", "mean"))
+
+
+@query("agg_all_median", _all_numbers_sql("median"))
+def agg_all_median(spark, sf_dir):
+    return _steady_numbers(cm.aggregate_all(table(spark, sf_dir, "lineitem"), "l_returnflag", "median", large=False))
+
+
+@query("agg_all_median_selected", _all_numbers_sql("median"))
+def agg_all_median_selected(spark, sf_dir):
+    return _steady_numbers(cm.aggregate_all(table(spark, sf_dir, "lineitem"), "l_returnflag", "median", large=True))
+
+
+@query(
+    "agg_all_min",
+    """
+    SELECT o_orderstatus, min(o_orderkey) AS o_orderkey, min(o_custkey) AS o_custkey, min(o_totalprice) AS o_totalprice,
+           min(o_orderdate) AS o_orderdate, min(o_orderpriority) AS o_orderpriority
+    FROM orders GROUP BY 1
+    """,
+)
+def agg_all_min(spark, sf_dir):
+    return cm.aggregate_all(table(spark, sf_dir, "orders"), "o_orderstatus", "min")
+
+
+@query(
+    "agg_all_count",
+    """
+    SELECT n_regionkey, count(n_nationkey) AS n_nationkey, count(n_name) AS n_name FROM nation GROUP BY 1
+    """,
+)
+def agg_all_count(spark, sf_dir):
+    return cm.aggregate_all(table(spark, sf_dir, "nation"), "n_regionkey", "count")
+
+
+@query(
+    "pipeline_all_stages",
+    """
+    SELECT CAST(year(o_orderdate) AS INTEGER) AS order_year, o_orderpriority, round(sum(o_totalprice), 2) AS o_totalprice
+    FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_orderpriority <> '5-LOW' AND o_totalprice > 1000
+    GROUP BY 1, 2 ORDER BY 3 DESC LIMIT 10
+    """,
+)
+def pipeline_all_stages(spark, sf_dir):
+    """Filter, derive, aggregate, sort and limit in one call."""
+    rows = cm.transform(
+        table(spark, sf_dir, "orders"),
+        filter={"include": {"o_orderstatus": ["O", "F"]}, "exclude": {"o_orderpriority": "5-LOW"}, "expression": "o_totalprice > 1000"},
+        derive={"order_year": "to_year(o_orderdate)"},
+        y="o_totalprice",
+        group_by=["order_year", "o_orderpriority"],
+        agg="sum",
+        sort=[{"column": "o_totalprice", "ascending": False}],
+        limit=10,
+    )
+    return rows.withColumn("o_totalprice", rounded("o_totalprice", 2))
+
+
 @query("group_passthrough", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer")
 def group_passthrough(spark, sf_dir):
     rows = cm.transform(table(spark, sf_dir, "customer"), y="c_acctbal", group_by="c_nationkey")
