@@ -29,7 +29,7 @@ def chart_cells(df: DataFrame, keys: dict[str, str], y: str, agg: str, large: bo
     return cells.select(*keys, chart_value(F.col("y")).alias("y"))
 
 
-def _capped(df: DataFrame, order: list[str], max_points: int | None) -> DataFrame:
+def capped(df: DataFrame, order: list[str], max_points: int | None) -> DataFrame:
     ordered = df.orderBy(*order)
     return ordered if max_points is None else ordered.limit(max_points)
 
@@ -80,13 +80,13 @@ def _series(
     large: bool | None,
 ) -> DataFrame:
     if group is None:
-        return _capped(chart_cells(df, {"x": x}, y, agg, large), ["x"], max_points)
+        return capped(chart_cells(df, {"x": x}, y, agg, large), ["x"], max_points)
     cells = chart_cells(df, {"x": x, "series": group}, y, agg, large)
     if stacked:
         cells = _stacked(cells, normalize, large)
     elif normalize:
         cells = _with_share(cells, cells)
-    return _capped(cells, ["x", "series"], max_points)
+    return capped(cells, ["x", "series"], max_points)
 
 
 def line_series(
@@ -151,7 +151,7 @@ def stacked_bar(
     # The height comes from the totals' own input, settled or not: no second scan.
     stack = stack.filter(stack.agg(F.sum("y")).scalar() > 0)
     stack = stack.select("series", "y", F.col("before").alias("y_start"), F.col("until").alias("y_end"))
-    return _capped(stack, ["series"], max_points)
+    return capped(stack, ["series"], max_points)
 
 
 def series_keys(df: DataFrame, group: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import threading
 import uuid
 from collections import Counter
@@ -16,10 +17,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chartmill.columns import named
-from chartmill.plans.charts import build_chart
+from chartmill.plans.charts import build_chart, from_cells, prepared
+from chartmill.plans.fused import fused_cells, is_plain
 from chartmill.plans.spec import check_spec
 from chartmill.session import shared_dir
-from chartmill.sizing import input_bytes
+from chartmill.sizing import input_bytes, settled
 from chartmill.sources.dates import PARSED_SUFFIX
 from chartmill.sources.resolve import Sources
 from chartmill.sources.sinks import delete_table, slug, write_dataset
@@ -32,7 +34,8 @@ class SharedSource:
     """A source of several charts: read with the columns they use, and a text file only once.
 
     Nothing runs before the first chart is built. Then a text file is cached if its size allows, and
-    otherwise copied to a Parquet table in the shared folder.
+    otherwise copied to a Parquet table in the shared folder. Plain charts with the same
+    filters and derived columns are aggregated together, in one scan.
     """
 
     def __init__(self, df: DataFrame, is_text: bool, batch: Batch) -> None:
@@ -42,12 +45,19 @@ class SharedSource:
         self._lock = threading.Lock()
         self._shared: DataFrame | None = None
         self._broken: Exception | None = None
+        self._plain: dict[str, list[Mapping[str, Any]]] = {}
+        self._others = 0
+        self._cells: dict[str, list[DataFrame] | None] = {}
 
     def plan(self, chart: Mapping[str, Any]) -> DataFrame:
         """The chart's dataset as a plan that runs nothing; notes the columns it reads."""
         dataset = build_chart(self.df, chart, large=False)
         if self._is_text:
             self._uses.append(columns_read(dataset))
+        if is_plain(chart):
+            self._plain.setdefault(_rows_of(chart), []).append(chart)
+        else:
+            self._others += 1
         return dataset
 
     def build(self, chart: Mapping[str, Any]) -> DataFrame:
@@ -61,10 +71,26 @@ class SharedSource:
                 except Exception as problem:  # tried once, however many charts use it
                     self._broken = problem
                     raise
-        return build_chart(self._shared, chart)
+            rows = _rows_of(chart)
+            alike = self._plain.get(rows, []) if is_plain(chart) else []
+            if len(alike) > 1 and rows not in self._cells:
+                self._cells[rows] = self._aggregated(alike)
+        cells = self._cells.get(rows) if len(alike) > 1 else None
+        if cells is None:
+            return build_chart(self._shared, chart)
+        return from_cells(cells[next(i for i, other in enumerate(alike) if other is chart)], chart)
+
+    def _aggregated(self, charts: list[Mapping[str, Any]]) -> list[DataFrame] | None:
+        """The cells of charts that read the same rows; None if their aggregation fails, so that each fails or works alone."""
+        try:
+            grouped, takers = fused_cells(prepared(self._shared, charts[0]), charts)
+            table = settled(grouped)
+            return [take(table) for take in takers]
+        except Exception:
+            return None
 
     def _share(self) -> DataFrame:
-        if not self._is_text or len(self._uses) < 2:
+        if not self._is_text or len(self._plain) + self._others < 2:  # one scan
             return self.df
         used = set().union(*self._uses)
         needed = [name for name in self.df.columns if name in used or name.removesuffix(PARSED_SUFFIX) in used]
@@ -162,6 +188,11 @@ def chart_batch(
     return batch
 
 
+def _rows_of(chart: Mapping[str, Any]) -> str:
+    """What decides which rows and columns a chart sees: equal for charts that can share a scan."""
+    return json.dumps([chart.get("filter"), chart.get("derive")], sort_keys=True, default=str)
+
+
 def columns_read(df: DataFrame) -> set[str]:
     """The columns that a plan's scans read, after pruning."""
     leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()

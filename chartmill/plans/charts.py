@@ -15,6 +15,7 @@ from chartmill.operators.scatter import scatter_points
 from chartmill.operators.series import (
     area_series,
     bar_series,
+    capped,
     chart_cells,
     line_series,
     series_keys,
@@ -50,7 +51,7 @@ def _step_column(df: DataFrame, chart: Chart) -> str:
     return texts[0]
 
 
-def _prepared(df: DataFrame, chart: Chart) -> DataFrame:
+def prepared(df: DataFrame, chart: Chart) -> DataFrame:
     """Filters, then derived columns; expressions of a spec may use its documented concat."""
     derived = {
         name: documented_concat(df.sparkSession, text) for name, text in (chart.get("derive") or {}).items()
@@ -100,7 +101,17 @@ def build_chart(df: DataFrame, chart: Chart, large: bool | None = None) -> DataF
     medians and stacks in place of the measured size; with False nothing runs here.
     """
     check_chart(chart)
-    dataset = _dataset(_prepared(df, chart), chart, large)
+    dataset = _dataset(prepared(df, chart), chart, large)
+    return finished(dataset, chart)
+
+
+def from_cells(cells: DataFrame, chart: Chart) -> DataFrame:
+    """The dataset of a plain chart whose cells (x, [series,] y) are at hand."""
+    return finished(capped(cells, [name for name in cells.columns if name != "y"], chart.get("max_points")), chart)
+
+
+def finished(dataset: DataFrame, chart: Chart) -> DataFrame:
+    """Sorted and limited as the chart says."""
     renamed = {chart[field]: name for field, name in DATASET_NAMES.items() if chart.get(field)}
     return sort_limit(dataset, sort_keys(chart.get("sort"), renamed), chart.get("limit"))
 
@@ -114,7 +125,7 @@ def legend(df: DataFrame, chart: Chart) -> DataFrame:
     check_chart(chart)
     kind = chart["type"]
     if chart.get("group_by") and kind in GROUPED_CHARTS:
-        keys = series_keys(_prepared(df, chart), chart["group_by"])
+        keys = series_keys(prepared(df, chart), chart["group_by"])
         return keys.select(F.col("series").cast("string").alias("series"))
     if kind == "funnel":
         return build_chart(df, {**chart, "conversion_rates": False}).select(F.col("step").alias("series"))

@@ -144,6 +144,9 @@ def test_a_shared_csv_is_read_once_and_released(spark, tmp_path):
     (tmp_path / "u.csv").write_text("channel,users\na,1\nb,2\n")
     chart = {"type": "bar", "x": "channel", "y": "users"}
     with cm.chart_batch(spark, spec(chart, chart, default=str(tmp_path / "u.csv"))) as batch:
+        assert [row[1] for row in tuples(cm.row_counts(batch))] == [2, 2] and batch.cached == []
+    other = {**chart, "filter": {"expression": "users > 0"}}
+    with cm.chart_batch(spark, spec(chart, other, default=str(tmp_path / "u.csv"))) as batch:
         assert batch.cached == []
         assert [row[1] for row in tuples(cm.row_counts(batch))] == [2, 2]
         assert len(batch.cached) == 1
@@ -156,7 +159,7 @@ def test_a_shared_csv_is_read_once_and_released(spark, tmp_path):
 def test_a_large_shared_csv_is_copied_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(batches, "CACHE_BYTES", 0)
     (tmp_path / "u.csv").write_text("channel,users,created\na,1,12/01/2023\nb,2,12/02/2023\n")
-    day = {"type": "line", "x": "created_parsed", "y": "users"}
+    day = {"type": "line", "x": "created_parsed", "y": "users", "filter": {"expression": "users > 0"}}
     bar = {"type": "bar", "x": "channel", "y": "users"}
     with cm.chart_batch(spark, spec(day, bar, default=str(tmp_path / "u.csv"))) as batch:
         assert batch.cached == [] and batch.staged == []
@@ -171,7 +174,7 @@ def test_a_large_shared_csv_is_copied_once(spark, tmp_path, monkeypatch):
 def test_a_broken_source_is_tried_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(batches, "CACHE_BYTES", 0)
     (tmp_path / "bad.csv").write_text("x,y\na,1\nb,2,3\n")
-    bar = {"type": "bar", "x": "x", "y": "y"}
+    bar = {"type": "bar", "x": "x", "y": "y", "agg": "median"}
     good = {**BAR, "data": f"{DATA}/events.parquet"}
     batch = cm.chart_batch(spark, spec(bar, bar, good, default=str(tmp_path / "bad.csv")))
     outcomes = cm.write_batch(batch, str(tmp_path / "out"))
@@ -294,7 +297,7 @@ def test_a_source_with_a_schema(spark, tmp_path):
     (tmp_path / "export" / "part-0").write_text("a,1\nb,2\n")
     source = {"path": str(tmp_path / "export"), "fmt": "csv", "header": False, "schema": "kind STRING, n BIGINT"}
     chart = {"type": "bar", "data": "export", "x": "kind", "y": "n"}
-    with cm.chart_batch(spark, spec(chart, chart, sources={"export": source})) as batch:
+    with cm.chart_batch(spark, spec(chart, {**chart, "agg": "median"}, sources={"export": source})) as batch:
         assert tuples(batch.build("chart-1-bar")) == [("a", 1.0), ("b", 2.0)]
         assert len(batch.cached) == 1
 
@@ -302,3 +305,36 @@ def test_a_source_with_a_schema(spark, tmp_path):
 def test_unknown_table_format(spark):
     with pytest.raises(ValueError, match="orc"):
         cm.read_table(spark, "/tmp/none", fmt="orc")
+
+
+def test_plain_charts_over_the_same_rows_share_one_scan(spark, tmp_path):
+    charts = [
+        {"type": "bar", "x": "event_type", "y": "value"},
+        {"type": "bar", "x": "event_type", "y": "value", "agg": "mean", "sort": [{"column": "value", "ascending": False}], "limit": 2},
+        {"type": "line", "x": "user_id", "y": "value", "group_by": "event_type", "agg": "count", "max_points": 7},
+        {"type": "bar", "x": "event_type", "y": "value", "group_by": "event_type", "agg": "max"},
+        {"type": "bar", "x": "event_type", "y": "value", "filter": {"include": {"event_type": "view"}}},
+    ]
+    batch = cm.chart_batch(spark, spec(*charts))
+    source = spark.read.parquet(f"{DATA}/events.parquet")
+    for name, chart in zip(batch.datasets, charts):
+        built = batch.build(name)
+        assert tuples(built) == tuples(cm.build_chart(source, chart))
+        shared = chart.get("filter") is None
+        assert ("FileScan" not in built._jdf.queryExecution().executedPlan().toString()) == shared
+
+
+def test_null_keys_and_values_in_a_shared_scan(spark):
+    rows = spark.createDataFrame([("a", None, 1), (None, "p", None), (None, None, 4), ("a", "p", 2)], "x STRING, g STRING, y INT")
+    charts = [{"type": "bar", "x": "x", "y": "y"}, {"type": "line", "x": "x", "y": "y", "group_by": "g"}, {"type": "bar", "x": "g", "y": "y", "agg": "count"}]
+    batch = cm.chart_batch(spark, spec(*charts, default="t"), tables={"t": rows})
+    for name, chart in zip(batch.datasets, charts):
+        assert tuples(batch.build(name)) == tuples(cm.build_chart(rows, chart))
+
+
+def test_one_failing_chart_of_a_shared_scan_fails_alone(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 2**62), ("a", 2**62), ("b", 1)], "x STRING, y BIGINT")
+    charts = [{"type": "bar", "x": "x", "y": "y"}, {"type": "bar", "x": "x", "y": "y", "agg": "max"}]
+    batch = cm.chart_batch(spark, spec(*charts, default="t"), tables={"t": rows})
+    outcomes = cm.write_batch(batch, str(tmp_path))
+    assert [outcome.ok for outcome in outcomes] == [False, True]

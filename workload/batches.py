@@ -137,6 +137,34 @@ def batch_written(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query(
+    "batch_one_scan",
+    """
+    SELECT 'by-status-bar' AS chart, o_orderstatus AS x, CAST(NULL AS VARCHAR) AS series, round(sum(o_totalprice), 2) AS y
+    FROM orders WHERE o_totalprice > 500 GROUP BY 2
+    UNION ALL
+    SELECT 'by-year-line', CAST(year(o_orderdate) AS VARCHAR), o_orderstatus, CAST(count(o_orderkey) AS DOUBLE)
+    FROM orders WHERE o_totalprice > 500 GROUP BY 2, 3
+    UNION ALL
+    SELECT 'top-bar', o_orderstatus, NULL, max(o_totalprice) FROM orders WHERE o_totalprice > 500 GROUP BY 2
+    UNION ALL
+    SELECT 'areas-area', o_orderpriority, o_orderstatus, min(o_totalprice) FROM orders WHERE o_totalprice > 500 GROUP BY 2, 3
+    """,
+)
+def batch_one_scan(spark, sf_dir):
+    """Four charts over the same rows, aggregated in one scan."""
+    same = {"derive": {"order_year": "to_year(o_orderdate)"}, "filter": {"expression": "o_totalprice > 500"}}
+    charts = [
+        {"type": "bar", "title": "By status", "x": "o_orderstatus", "y": "o_totalprice"},
+        {"type": "line", "title": "By year", "x": "order_year", "y": "o_orderkey", "group_by": "o_orderstatus", "agg": "count"},
+        {"type": "bar", "title": "Top", "x": "o_orderstatus", "y": "o_totalprice", "agg": "max"},
+        {"type": "area", "title": "Areas", "x": "o_orderpriority", "y": "o_totalprice", "group_by": "o_orderstatus", "agg": "min", "stacked": False},
+    ]
+    spec = {"data": {"default": f"{sf_dir}/orders.parquet"}, "charts": [{**chart, **same} for chart in charts]}
+    with cm.chart_batch(spark, spec) as batch:
+        return cm.long_form(batch).withColumn("y", rounded("y", 2))
+
+
 @query(
     "spec_concat",
     """
