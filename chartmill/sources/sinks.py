@@ -34,3 +34,12 @@ def delete_table(spark: SparkSession, path: str) -> None:
     """Remove a table's folder from whatever file system holds it."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of whatever file system, sorted; none if there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    return sorted(entry.getPath().getName() for entry in system.listStatus(folder))

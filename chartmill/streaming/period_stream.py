@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from chartmill.columns import named
 from chartmill.functions.grains import period_start
 from chartmill.operators.aggregates import AGGREGATES, check_aggregate
-from chartmill.sources.sinks import write_dataset
+from chartmill.sources.sinks import delete_table, folder_names, write_dataset
 
 
 def open_stream(
@@ -40,21 +40,42 @@ def stream_period_series(
     return events.groupBy(*keys).agg(y.alias("y"))
 
 
+PREFIX = "batch-"
+#: Results left in place: the latest, and the one before for readers that have begun with it.
+KEPT = 2
+
+
+def _published(spark: SparkSession, out: str) -> list[str]:
+    """The folders of whole results, oldest first; Spark marks a folder when all its files are in place."""
+    return [name for name in folder_names(spark, out) if name.startswith(PREFIX) and "_SUCCESS" in folder_names(spark, f"{out}/{name}")]
+
+
+def read_latest(spark: SparkSession, out: str, schema: T.StructType | str, fmt: str = "parquet") -> DataFrame:
+    """The last whole result that ``write_available`` has published."""
+    published = _published(spark, out)
+    if not published:
+        raise FileNotFoundError(f"no result in {out} yet")
+    return spark.read.schema(schema).format(fmt).load(f"{out}/{published[-1]}")
+
+
 def write_available(result: DataFrame, out: str, checkpoint: str, fmt: str = "parquet") -> None:
     """Work through everything that is available, batch by batch, then stop.
 
-    ``out`` holds the complete result after every batch. A restart with the same
-    ``checkpoint`` goes on where the last run ended.
+    Every batch writes the complete result to a fresh folder under ``out``, so readers always find a whole
+    one (``read_latest``) and a crash leaves the one before; then all but the last two are removed. A restart
+    with the same ``checkpoint`` goes on where the last run ended.
     """
 
-    def replace(batch: DataFrame, _: int) -> None:
-        write_dataset(batch, out, fmt)
+    def publish(batch: DataFrame, number: int) -> None:
+        write_dataset(batch, f"{out}/{PREFIX}{number:012d}", fmt)
+        for name in _published(batch.sparkSession, out)[:-KEPT]:
+            delete_table(batch.sparkSession, f"{out}/{name}")
 
     query = (
         result.writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(replace)
+        .foreachBatch(publish)
         .start()
     )
     query.awaitTermination()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import chartmill as cm
-from chartmill.streaming.period_stream import open_stream, stream_period_series, write_available
+from chartmill.streaming.period_stream import open_stream, read_latest, stream_period_series, write_available
 from workload.registry import query, rounded, scratch, steady, steady_sql, table
 
 
@@ -230,11 +230,13 @@ def batch_sources(spark, sf_dir):
 )
 def stream_weekly_series(spark, sf_dir):
     """The weekly series from a file stream, worked off in batches."""
-    schema = table(spark, sf_dir, "events").schema
-    events = open_stream(spark, f"{sf_dir}/events*.parquet", schema)
+    rows = table(spark, sf_dir, "events")
+    arriving = scratch(spark, "arriving")
+    rows.repartition(4, "event_id").write.parquet(arriving)
+    events = open_stream(spark, arriving, rows.schema, files_per_batch=1)
     out = scratch(spark, "weekly")
     write_available(
         stream_period_series(events, "ts", "value", "week", "event_type"), out, scratch(spark, "progress")
     )
-    line = spark.read.schema("x DATE, series STRING, y DOUBLE").parquet(out)
+    line = read_latest(spark, out, "x DATE, series STRING, y DOUBLE")
     return line.withColumn("y", rounded("y"))
