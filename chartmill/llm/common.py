@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartmill.session import shared_dir
 
+#: The folder that holds the package ``chartmill``.
+PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 BATCH_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of text handed to a Python worker at once; long texts make larger batches than short ones.
 BATCH_ROWS = 500
@@ -38,9 +42,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Hand texts to Python workers in small batches, so that long ones fit in memory."""
+    """Ready the session for Python tasks: small batches, so that long texts fit in memory, and this package on their path.
+
+    The package's place is handed to the workers as the driver knows it; where executors
+    have it elsewhere, ship it with the application (``--py-files``).
+    """
     if int(spark.conf.get(BATCH_ROWS_CONF, "10000")) != rows:
         spark.conf.set(BATCH_ROWS_CONF, str(rows))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if PACKAGE_ROOT not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, known)])
 
 
 def work_dir(spark: SparkSession, name: str) -> str:

@@ -9,7 +9,9 @@ model has at most 64^4 entries; its size is bounded, and it is broadcast.
 Perplexities are judged within each language: documents outside the band around the language's
 middle, as wide as a multiple of its spread, are rejected, the too surprising as well
 as the too predictable ones. Short texts scatter more, so the band widens with
-1 / length. The model, the middles and the spreads come from all documents.
+1 / length. What is common junk would teach the model to expect it; so the model is
+counted again, over the documents near the middle of their language under the model before.
+Every round's middles and spreads come from all documents.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartmill.llm.common import col, sized_broadcast, small_batches, text_of, written
+from chartmill.llm.common import BROADCAST_ROWS, col, sized_broadcast, small_batches, text_of, written
 from chartmill.llm.textscan import chunks, windows, word_hashes
 
 ORDER = 4
@@ -33,6 +35,11 @@ SYMBOLS = 1 << SYMBOL_BITS
 BAND = 6.0
 #: A text of this many bytes has a variance twice as large as that of an endless one.
 SHORT_BYTES = 1000.0
+#: Documents within so many deviations of their language's middle are counted for the next model.
+CORE = 1.5
+REFITS = 2
+#: Least deviation of a language's log-perplexities, for languages with few documents.
+MIN_SPREAD = 0.02
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOL_CHARACTERS = b"#*$%&|<>"
@@ -80,32 +87,6 @@ def packed_ngrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return code
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(code, n): how often each packed n-gram occurs in the column text of all documents."""
-    small_batches(docs.sparkSession)
-
-    def merged(codes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-        code, place = np.unique(np.concatenate(codes), return_inverse=True)
-        return code, np.bincount(place, np.concatenate(counts)).astype(np.int64)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        for batch in batches:
-            for _, data, offsets in chunks(batch.column(0)):
-                code, n = np.unique(packed_ngrams(data, offsets), return_counts=True)
-                codes.append(code)
-                counts.append(n)
-            if len(codes) > 64:
-                codes, counts = ([x] for x in merged(codes, counts))
-        if codes:
-            code, n = merged(codes, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(n)], names=["code", "n"])
-
-    partial = docs.select("text").mapInArrow(work, "code int, n long")
-    return partial.groupBy("code").agg(F.sum("n").alias("n"))
-
-
 @dataclass
 class KneserNey:
     """Per order n (1 to ``ORDER``): sorted n-grams, their probabilities, sorted contexts, their back-off weights."""
@@ -114,6 +95,18 @@ class KneserNey:
     probabilities: list[np.ndarray]
     contexts: list[np.ndarray]
     backoffs: list[np.ndarray]
+    table: np.ndarray | None = None
+
+    def surprise(self, codes: np.ndarray) -> np.ndarray:
+        """Negative log-probabilities; a worker spreads the highest order's array out once, at most 64 MB, to look codes up."""
+        if self.table is None:
+            self.table = np.full(1 << (SYMBOL_BITS * ORDER), np.nan, np.float32)
+            self.table[self.grams[-1]] = -np.log(self.probabilities[-1])
+        out = self.table[codes].astype(np.float64)
+        unseen = np.flatnonzero(np.isnan(out))
+        if len(unseen):
+            out[unseen] = -np.log(self.probability(codes[unseen]))
+        return out
 
     def probability(self, codes: np.ndarray, order: int = ORDER) -> np.ndarray:
         """Probability of each packed n-gram's last symbol after the others."""
@@ -135,6 +128,51 @@ class KneserNey:
         return out
 
 
+@dataclass
+class Core:
+    """Which documents count: those near their language's middle under a model. Languages not listed count whole."""
+
+    model: KneserNey
+    limits: dict[str | None, tuple[float, float]]
+
+    def chosen(self, languages: list[str | None], codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        mean, size = mean_surprise(self.model, codes, offsets)
+        middle, spread = np.array([self.limits.get(lang, (0.0, np.inf)) for lang in languages]).reshape(-1, 2).T
+        return np.abs(mean - middle) <= CORE * spread * np.sqrt(1 + SHORT_BYTES / np.maximum(size, 1))
+
+
+def ngram_counts(docs: DataFrame, core: Core | None = None) -> DataFrame:
+    """(code, n): how often each packed n-gram occurs in all documents (lang, text), or in those of the core."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(core)
+
+    def merged(codes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+        code, place = np.unique(np.concatenate(codes), return_inverse=True)
+        return code, np.bincount(place, np.concatenate(counts)).astype(np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        for batch in batches:
+            languages = batch.column(0).to_pylist()
+            for first, data, offsets in chunks(batch.column(1)):
+                found = packed_ngrams(data, offsets)
+                if shared.value is not None:
+                    keep = shared.value.chosen(languages[first : first + len(offsets) - 1], found, offsets)
+                    found = found[np.repeat(keep, np.diff(offsets))]
+                code, n = np.unique(found, return_counts=True)
+                codes.append(code)
+                counts.append(n)
+            if len(codes) > 64:
+                codes, counts = ([x] for x in merged(codes, counts))
+        if codes:
+            code, n = merged(codes, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(n)], names=["code", "n"])
+
+    partial = docs.select("lang", "text").mapInArrow(work, "code int, n long")
+    return partial.groupBy("code").agg(F.sum("n").alias("n"))
+
+
 def discounts(counts: np.ndarray) -> np.ndarray:
     """The discounts of modified Kneser-Ney for counts of 0, 1, 2 and 3 or more."""
     ones, twos, threes, fours = (int((counts == n).sum()) for n in (1, 2, 3, 4))
@@ -167,12 +205,51 @@ def fit(codes: np.ndarray, counts: np.ndarray) -> KneserNey:
     return model
 
 
-def fit_corpus(docs: DataFrame) -> KneserNey:
+def mean_surprise(model: KneserNey, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text of a chunk: the mean negative log-probability of its bytes (0 for none), and their number."""
+    size = np.diff(offsets)
+    total = np.concatenate([[0.0], np.cumsum(model.surprise(codes))])
+    return (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(size, 1), size
+
+
+def count_model(docs: DataFrame, core: Core | None = None) -> KneserNey:
     """Count with Spark; the at most 64^4 distinct n-grams then make the model on the driver."""
-    table = ngram_counts(docs).toArrow()
+    table = ngram_counts(docs, core).toArrow()
     return fit(table.column("code").to_numpy().astype(np.uint32), table.column("n").to_numpy())
 
 
+def log_perplexities(docs: DataFrame, model: KneserNey) -> DataFrame:
+    """(lang, log_perplexity) of all documents (lang, text) that are not empty."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in chunks(batch.column(1)):
+                mean, size = mean_surprise(shared.value, packed_ngrams(data, offsets), offsets)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(size)), pa.array(mean, mask=size == 0)], names=["lang", "log_perplexity"]
+                )
+
+    scores = docs.select("lang", "text").mapInArrow(work, "lang string, log_perplexity double")
+    return scores.filter("log_perplexity IS NOT NULL")
+
+
+def fit_corpus(docs: DataFrame, refits: int = REFITS) -> KneserNey:
+    """The model of a corpus (lang, text): counted over all documents, then over the core, ``refits`` times.
+
+    At most ``BROADCAST_ROWS`` languages, those with most documents, are narrowed to their core.
+    """
+    model = count_model(docs)
+    for _ in range(refits):
+        rows = bands(log_perplexities(docs, model)).orderBy(F.desc("n"), "lang").limit(BROADCAST_ROWS).collect()
+        refitted = count_model(docs, Core(model, {row["lang"]: (row["middle"], row["spread"]) for row in rows}))
+        if not len(refitted.grams[-1]):
+            break
+        model = refitted
+    return model
+
+
 def text_statistics(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Per text of a chunk: words, code points in words, symbol characters, repeated lines, repeated words."""
     count = len(offsets) - 1
@@ -228,10 +305,7 @@ def scored(rows: DataFrame, model: KneserNey, text_field: int | None = None) ->
         for batch in batches:
             texts = batch.column(len(carried)) if text_field is None else batch.column(0).field(text_field)
             for first, data, offsets in chunks(texts):
-                size = np.diff(offsets)
-                surprise = -np.log(shared.value.probability(packed_ngrams(data, offsets)))
-                total = np.concatenate([[0.0], np.cumsum(surprise)])
-                mean = (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(size, 1)
+                mean, size = mean_surprise(shared.value, packed_ngrams(data, offsets), offsets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(first, len(size)) for i in range(len(carried))]
                     + [pa.array(column.astype(np.int64)) for column in text_statistics(data, offsets)]
@@ -245,19 +319,18 @@ def scored(rows: DataFrame, model: KneserNey, text_field: int | None = None) ->
     return rows.mapInArrow(work, schema.add("log_perplexity", "double")).withColumn("base_failed", F.expr(BASE_FAILED))
 
 
-def bands(scores: DataFrame, band: float = BAND) -> DataFrame:
-    """(lang, middle, width) for each language, NULL being one: its median log-perplexity and allowed deviation.
+def bands(scores: DataFrame) -> DataFrame:
+    """(lang, n, middle, spread) for each language, NULL being one: median log-perplexity and robust deviation.
 
-    Only documents that pass the base rules count. Quantiles are sketched, so a
-    language with most of the rows is summed up by every task, not gathered in one.
+    Quantiles are sketched, so a language with most of the rows is summed up by every task, not gathered in one.
     """
-    good = scores.filter("NOT base_failed AND log_perplexity IS NOT NULL")
-    quantiles = good.groupBy("lang").agg(
-        F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias("q")
+    quantiles = scores.groupBy("lang").agg(
+        F.count("*").alias("n"),
+        F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias("q"),
     )
     # a quarter of a normal distribution lies beyond 0.6745 standard deviations on either side
-    spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / (2 * 0.6745), F.lit(1e-3))
-    return quantiles.select("lang", F.col("q")[1].alias("middle"), (spread * band).alias("width"))
+    spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / (2 * 0.6745), F.lit(MIN_SPREAD))
+    return quantiles.select("lang", "n", F.col("q")[1].alias("middle"), spread.alias("spread"))
 
 
 def judge(
@@ -287,10 +360,11 @@ def judge(
 
 
 def with_verdicts(scores: DataFrame, band: float = BAND) -> DataFrame:
-    """Adds ``kept`` to a written table of scores with a column lang."""
-    limits = written(bands(scores, band).withColumnRenamed("lang", "band_lang"), "bands")
+    """Adds ``kept`` to a written table of scores with a column lang; only what passes the base rules shapes the bands."""
+    good = scores.filter("NOT base_failed AND log_perplexity IS NOT NULL")
+    limits = written(bands(good).select(F.col("lang").alias("band_lang"), "middle", "spread"), "bands")
     wider = F.sqrt(1 + SHORT_BYTES / F.greatest(F.col("n_bytes"), F.lit(1)))
-    inside = F.abs(F.col("log_perplexity") - F.col("middle")) <= F.col("width") * wider
+    inside = F.abs(F.col("log_perplexity") - F.col("middle")) <= F.lit(band) * F.col("spread") * wider
     joined = scores.join(sized_broadcast(limits), F.col("lang").eqNullSafe(F.col("band_lang")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
@@ -303,7 +377,7 @@ def reject(
     Rows travel through the scoring whole and wait in the shared folder for their language's band: texts are
     not shuffled, and rows that share an id are judged apart.
     """
-    model = model or fit_corpus(docs.select(text_of(text_col).alias("text")))
+    model = model or fit_corpus(docs.select(col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text")))
     rows = docs.select(F.struct(*[col(name) for name in docs.columns]).alias("row"))
     scores = written(scored(rows, model, docs.columns.index(text_col)), "scored_rows")
     judged = with_verdicts(scores.withColumn("lang", F.col("row")[lang_col].cast("string")), band)

@@ -336,7 +336,7 @@ def kneser_ney_by_brute_force(texts, order):
 def test_kneser_ney_matches_brute_force(spark):
     texts = ["the cat sat on the mat", "a dog, a cat; and THE mat 42", "öde Wörter"]
     docs = documents(spark, texts)
-    model = kn_quality.fit_corpus(docs.select("text"))
+    model = kn_quality.count_model(docs.select("lang", "text"))
     exact = kneser_ney_by_brute_force(texts, kn_quality.ORDER)
     seen = "the dog sat on a zzz 7é"
     data = np.frombuffer(seen.encode(), np.uint8)
@@ -344,6 +344,8 @@ def test_kneser_ney_matches_brute_force(spark):
     symbols = [0] * (kn_quality.ORDER - 1) + kn_quality.FOLD[data].tolist()
     want = [exact(tuple(symbols[i : i + kn_quality.ORDER])) for i in range(len(data))]
     np.testing.assert_allclose(got, want, rtol=1e-9)
+    surprise = model.surprise(kn_quality.packed_ngrams(data, np.array([0, len(data)])))
+    np.testing.assert_allclose(surprise, -np.log(want), rtol=1e-6)
     context = symbols[5 : 5 + kn_quality.ORDER - 1]
     total = sum(exact((*context, symbol)) for symbol in range(kn_quality.SYMBOLS))
     assert total == pytest.approx(1.0)
