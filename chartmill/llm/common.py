@@ -41,6 +41,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[col(name) for name in df.columns if name.lower() not in taken])
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Ready the session for Python tasks: small batches, so that long texts fit in memory, and this package on their path.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartmill.llm.common import col, sized_broadcast, small_batches, text_of, written
+from chartmill.llm.common import col, fresh, sized_broadcast, small_batches, text_of, written
 from chartmill.llm.components import connected_components
 from chartmill.llm.textscan import chunks, mix, shingle_sets
 
@@ -364,5 +364,6 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """``docs`` with one document of each near-duplicate class, all columns as they are."""
     found = near_duplicates(docs, id_col, text_col, percent)
-    dropped = written(found.filter("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    return docs.join(sized_broadcast(dropped), col(id_col).cast("long") == F.col("_dropped"), "left_anti")
+    name = fresh("_dropped", docs)
+    dropped = written(found.filter("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "dropped")
+    return docs.join(sized_broadcast(dropped), col(id_col).cast("long") == F.col(name), "left_anti")

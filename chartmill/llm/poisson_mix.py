@@ -18,13 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartmill.llm.common import col, sized_broadcast, text_of, without, written
+from chartmill.llm.common import col, fresh, sized_broadcast, text_of, without, written
 
 SEED = "mix-1"
 #: Target weights are the sources' sizes to this power, if none are given: large sources give way to small ones.
 TEMPERATURE = 0.5
-#: The highest repetition rate; a Poisson distribution's terms underflow beyond it.
-MAX_RATE = 500.0
+#: A higher rate is split into equal parts, each looked up with a hash of its own: terms would underflow
+#: beyond 700, and the sum of independent Poisson numbers is one with the sum of their means.
+PART_RATE = 500.0
 ADDED = ("n_copies", "copy", "shuffle_key")
 #: Counts up to here are looked up: rate + 12 standard deviations + 25 leaves out less than 2^-52.
 _TAIL_DEVIATIONS, _TAIL_EXTRA = 12.0, 25
@@ -99,18 +100,29 @@ def mix(
     partition: a global shuffle that is the same for every run. Columns of ``docs`` named like the added
     ones give way to them. A NULL source is a source; a NULL id and
     repeated rows are mixed like any other row, the repeated ones alike; a NULL text counts
-    as one character. An empty table gives no rows. Rates beyond ``MAX_RATE`` are refused.
+    as one character. An empty table gives no rows.
     """
     rates = written(source_rates(docs, source_col, text_col, weights, size, temperature), "rates")
-    checked = F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(
-        F.raise_error(F.concat(F.lit("repetition rate too high for source "), F.coalesce("source", F.lit("NULL")))).cast("double")
+    kept = without(docs, *ADDED)
+    u, origin, cumulated, parts = (fresh(name, kept) for name in ("_u", "_origin", "_cumulated", "_parts"))
+    pieces = F.greatest(F.ceil(F.col("rate") / PART_RATE), F.lit(1)).cast("int")
+    steps = rates.select(F.col("source").alias(origin), "rate", pieces.alias(parts)).select(
+        origin, parts, poisson_steps(F.col("rate") / F.col(parts)).alias(cumulated)
     )
-    steps = sized_broadcast(written(rates.select(F.col("source").alias("_mix_source"), poisson_steps(checked).alias("_mix_steps")), "steps"))
     name = F.coalesce(col(id_col).cast("string"), F.lit(""))
-    kept = without(docs, *ADDED, "_mix_u").withColumn("_mix_u", uniform(F.lit(seed), name))
-    drawn = kept.join(steps, col(source_col).cast("string").eqNullSafe(F.col("_mix_source"))).withColumn(
-        "n_copies", F.size(F.filter("_mix_steps", lambda step: step <= F.col("_mix_u")))
+    placed = kept.withColumn(u, uniform(F.lit(seed), name))
+
+    def count(at: Column) -> Column:
+        return F.size(F.filter(cumulated, lambda step: step <= at))
+
+    more = F.aggregate(
+        F.sequence(F.lit(1), F.col(parts) - 1),
+        count(F.col(u)),
+        lambda total, part: total + count(uniform(F.lit(seed), name, part.cast("string"))),
     )
+    drawn = placed.join(
+        sized_broadcast(written(steps, "steps")), col(source_col).cast("string").eqNullSafe(F.col(origin))
+    ).withColumn("n_copies", F.when(F.col(parts) == 1, count(F.col(u))).otherwise(more))
     copies = drawn.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.encode(F.concat_ws(":", F.lit(seed), name, F.col("copy")), "UTF-8")))
-    return keyed.drop("_mix_source", "_mix_steps", "_mix_u").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return keyed.drop(origin, cumulated, parts, u).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -96,16 +96,20 @@ weighted AS (SELECT source, chars, round(pow(chars::DOUBLE, 0.5) * 1000)::BIGINT
 rates AS (
   SELECT source, weight::DOUBLE / (SELECT sum(weight)::DOUBLE FROM weighted) * (SELECT sum(chars)::DOUBLE FROM weighted)
     / chars::DOUBLE AS rate FROM weighted),
+parted AS (SELECT source, rate / greatest(ceil(rate / 500), 1) AS rate, greatest(ceil(rate / 500), 1)::BIGINT AS parts FROM rates),
 steps AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
+  SELECT source, rate, parts, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM parted
   UNION ALL
-  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM steps
+  SELECT source, rate, parts, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM steps
   WHERE k < ceil(rate + 12 * sqrt(rate) + 25)),
-listed AS (SELECT source, list(c ORDER BY k) AS steps FROM steps GROUP BY source),
+listed AS (SELECT source, parts, list(c ORDER BY k) AS steps FROM steps GROUP BY source, parts),
 drawn AS (
-  SELECT d.*, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u, l.steps
+  SELECT d.*, list_transform(range(parts), lambda part: ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')
+      || CASE WHEN part > 0 THEN ':' || part ELSE '' END), 1, 12))::BIGINT / 281474976710656.0::DOUBLE) AS u, l.steps
   FROM documents d JOIN listed l ON d.source IS NOT DISTINCT FROM l.source),
-counted AS (SELECT * EXCLUDE (u, steps), len(list_filter(steps, lambda c: c <= u))::INTEGER AS n_copies FROM drawn),
+counted AS (
+  SELECT * EXCLUDE (u, steps), list_sum(list_transform(u, lambda one: len(list_filter(steps, lambda c: c <= one))))::INTEGER AS n_copies
+  FROM drawn),
 copies AS (SELECT *, unnest(range(1, n_copies + 1))::INTEGER AS copy FROM counted)
 SELECT *, md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key FROM copies"""
 

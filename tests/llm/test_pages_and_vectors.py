@@ -180,14 +180,18 @@ def mixed_by_hand(rows, weights=None, size=1.0):
     out = collections.Counter()
     for doc_id, source, _ in rows:
         rate = weight[source] / total * (size * sum(chars.values())) / chars[source] if total else 0.0
-        digest = hashlib.md5(f"{poisson_mix.SEED}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
-        u, k, p = int(digest[:12], 16) / 2**48, 0, math.exp(-rate)
-        c = p
-        while c <= u and k < 1000:
-            k += 1
-            p = p * rate / k
-            c += p
-        out.update({(doc_id, source, copy): 1 for copy in range(1, k + 1)})
+        parts, copies = max(1, math.ceil(rate / poisson_mix.PART_RATE)), 0
+        for part in range(parts):
+            key = f"{poisson_mix.SEED}:{'' if doc_id is None else doc_id}" + (f":{part}" if part else "")
+            u = int(hashlib.md5(key.encode()).hexdigest()[:12], 16) / 2**48
+            k, p = 0, math.exp(-rate / parts)
+            c = p
+            while c <= u and k < 1000:
+                k += 1
+                p = p * (rate / parts) / k
+                c += p
+            copies += k
+        out.update({(doc_id, source, copy): 1 for copy in range(1, copies + 1)})
     return out
 
 
@@ -197,12 +201,23 @@ def test_mix_matches_the_inverse_distribution(spark, weights):
     rows = [(i, rng.choice(("a", "a", "b", None)), "x" * rng.randint(0, 50)) for i in range(300)]
     rows += [(None, "a", None), (7, "a", "again"), (7, "a", "again")]
     docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, source string, text string, Copy int, shuffle_key string")
+    docs = docs.withColumn("_u", F.lit("own"))
     got = poisson_mix.mix(docs, weights=weights, size=2.0)
     assert collections.Counter((r.doc_id, r.source, r.copy) for r in got.collect()) == mixed_by_hand(rows, weights, 2.0)
-    assert got.columns == ["doc_id", "source", "text", "n_copies", "copy", "shuffle_key"]
+    assert got.columns == ["doc_id", "source", "text", "_u", "n_copies", "copy", "shuffle_key"]
     assert poisson_mix.mix(docs.filter("false"), weights=weights).count() == 0
 
 
+def test_rates_beyond_any_table_are_split(spark):
+    rows = [(0, "tiny", ""), (1, "big", "x" * 4000), (2, "none", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    weights = {"tiny": 0.5, "big": 0.5}
+    got = poisson_mix.mix(docs, weights=weights)
+    want = mixed_by_hand(rows, weights)
+    assert collections.Counter((r.doc_id, r.source, r.copy) for r in got.collect()) == want
+    assert 1800 < sum(key[1] == "tiny" for key in want) < 2200
+
+
 def test_mix_reaches_the_target_shares(spark):
     docs = spark.range(20_000).select(
         F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 8, "big").otherwise("small").alias("source"), F.lit("0123456789").alias("text")

@@ -8,11 +8,13 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import __spark_entry__  # noqa: E402
 import corpus_pipeline  # noqa: E402
+from chartmill.llm import packing, poisson_mix  # noqa: E402
 from chartmill.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
 from chartmill.llm.tokens import default_vocabulary, token_ids  # noqa: E402
 
@@ -53,6 +55,19 @@ def test_stages(spark, tmp_path):
     assert sum(r.length for r in kept["packing"]) == tokens
 
 
+def test_extra_columns_with_names_used_inside(spark):
+    extra = ["_dropped", "_u", "row", "lang_2", "kept", "node", "label", "Shuffle_Key", "spans"]
+    docs = planted(spark)
+    for name in extra:
+        docs = docs.withColumn(name, F.lit("own"))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        assert stage(spark, docs, SF).columns == docs.columns
+        assert stage(spark, docs, SF).filter("kept = 'own' AND node = 'own'").count() > 50
+    mixed = poisson_mix.mix(docs)
+    assert mixed.columns == [c for c in docs.columns if c != "Shuffle_Key"] + ["n_copies", "copy", "shuffle_key"]
+    assert packing.pack(docs).count() > 0
+
+
 def test_empty_and_odd_tables(spark):
     docs = planted(spark)
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "", "", 0), (1, "", "", "", 0)], SCHEMA)
