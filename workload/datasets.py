@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 import chartmill as cm
 from workload.registry import query, rounded, steady, steady_sql, table
