@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import chartmill as cm
 from workload.registry import query, rounded, steady, steady_sql, table
 
