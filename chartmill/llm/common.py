@@ -14,8 +14,10 @@ from chartmill.session import shared_dir
 #: The folder that holds the package ``chartmill``.
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 BATCH_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows of text handed to a Python worker at once; long texts make larger batches than short ones.
+BATCH_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows, and bytes, handed to a Python worker at once; whichever is reached first.
 BATCH_ROWS = 500
+BATCH_BYTES = 8 * 1024 * 1024
 #: A side of a join is broadcast only when it was counted and holds no more rows than this.
 BROADCAST_ROWS = 100_000
 
@@ -55,8 +57,9 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     The package's place is handed to the workers as the driver knows it; where executors
     have it elsewhere, ship it with the application (``--py-files``).
     """
-    if int(spark.conf.get(BATCH_ROWS_CONF, "10000")) != rows:
-        spark.conf.set(BATCH_ROWS_CONF, str(rows))
+    for key, value in ((BATCH_ROWS_CONF, str(rows)), (BATCH_BYTES_CONF, str(BATCH_BYTES))):
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if PACKAGE_ROOT not in known:
