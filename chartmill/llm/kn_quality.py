@@ -12,10 +12,13 @@ as the too predictable ones. Short texts scatter more, so the band widens with
 1 / length. What is common junk would teach the model to expect it; so the model is
 counted again, over the documents near the middle of their language under the model before.
 Every round's middles and spreads come from all documents.
+
+Copies weigh once: n-grams, middles and spreads are those of the distinct texts, though every row is judged.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +46,8 @@ MIN_SPREAD = 0.02
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOL_CHARACTERS = b"#*$%&|<>"
+#: Digests of texts with copies that are broadcast to weigh rows; beyond it, texts are shuffled and reduced to distinct ones.
+BROADCAST_DIGESTS = 1_000_000
 
 _MASK = [(1 << (SYMBOL_BITS * n)) - 1 for n in range(ORDER + 1)]
 
@@ -141,36 +146,56 @@ class Core:
         return np.abs(mean - middle) <= CORE * spread * np.sqrt(1 + SHORT_BYTES / np.maximum(size, 1))
 
 
+def weighed_texts(docs: DataFrame) -> DataFrame:
+    """(lang, text, copies): in the sum of 1 / copies, each distinct text of a language of documents (lang, text) counts once.
+
+    Texts stay where they are read, with the number of their copies, if those with copies are few enough to broadcast
+    their digests. Else they are reduced to distinct ones, by each task before the shuffle, with 1 as the number.
+    """
+    docs = docs.select("lang", "text")
+    named = docs.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    copied = named.groupBy("lang", "digest").agg(F.count("*").alias("copies")).filter("copies > 1")
+    copied = written(copied.select(F.col("lang").alias("copied_lang"), F.col("digest").alias("copied_digest"), "copies"), "copied")
+    if copied.count() > BROADCAST_DIGESTS:
+        return docs.distinct().withColumn("copies", F.lit(1).cast("long"))
+    same = (F.col("digest") == F.col("copied_digest")) & F.col("lang").eqNullSafe(F.col("copied_lang"))
+    return named.join(F.broadcast(copied), same, "left").select("lang", "text", F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
 def ngram_counts(docs: DataFrame, core: Core | None = None) -> DataFrame:
-    """(code, n): how often each packed n-gram occurs in all documents (lang, text), or in those of the core."""
+    """(code, n): how often each packed n-gram occurs in the distinct texts of all documents (lang, text), or of the core."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(core)
 
     def merged(codes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
         code, place = np.unique(np.concatenate(codes), return_inverse=True)
-        return code, np.bincount(place, np.concatenate(counts)).astype(np.int64)
+        return code, np.bincount(place, np.concatenate(counts))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         for batch in batches:
             languages = batch.column(0).to_pylist()
+            copies = batch.column(2).to_numpy()
             for first, data, offsets in chunks(batch.column(1)):
                 found = packed_ngrams(data, offsets)
+                own = copies[first : first + len(offsets) - 1]
                 if shared.value is not None:
-                    keep = shared.value.chosen(languages[first : first + len(offsets) - 1], found, offsets)
-                    found = found[np.repeat(keep, np.diff(offsets))]
-                code, n = np.unique(found, return_counts=True)
-                codes.append(code)
-                counts.append(n)
+                    own = np.where(shared.value.chosen(languages[first : first + len(offsets) - 1], found, offsets), own, 0)
+                own = np.repeat(own, np.diff(offsets))
+                for number in np.unique(own[own > 0]):
+                    code, n = np.unique(found[own == number], return_counts=True)
+                    codes.append(code)
+                    counts.append(n / number)
             if len(codes) > 64:
                 codes, counts = ([x] for x in merged(codes, counts))
         if codes:
             code, n = merged(codes, counts)
             yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(n)], names=["code", "n"])
 
-    partial = docs.select("lang", "text").mapInArrow(work, "code int, n long")
-    return partial.groupBy("code").agg(F.sum("n").alias("n"))
+    partial = weighed_texts(docs).mapInArrow(work, "code int, n double")
+    # shares of copies add up to whole numbers but for the last bits
+    return partial.groupBy("code").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -219,7 +244,7 @@ def count_model(docs: DataFrame, core: Core | None = None) -> KneserNey:
 
 
 def log_perplexities(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """(lang, log_perplexity) of all documents (lang, text) that are not empty."""
+    """(lang, digest, log_perplexity) of all documents (lang, text) that are not empty."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -228,17 +253,18 @@ def log_perplexities(docs: DataFrame, model: KneserNey) -> DataFrame:
             for first, data, offsets in chunks(batch.column(1)):
                 mean, size = mean_surprise(shared.value, packed_ngrams(data, offsets), offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(size)), pa.array(mean, mask=size == 0)], names=["lang", "log_perplexity"]
+                    [batch.column(0).slice(first, len(size)), digests(data, offsets), pa.array(mean, mask=size == 0)],
+                    names=["lang", "digest", "log_perplexity"],
                 )
 
-    scores = docs.select("lang", "text").mapInArrow(work, "lang string, log_perplexity double")
+    scores = docs.select("lang", "text").mapInArrow(work, "lang string, digest binary, log_perplexity double")
     return scores.filter("log_perplexity IS NOT NULL")
 
 
 def fit_corpus(docs: DataFrame, refits: int = REFITS) -> KneserNey:
     """The model of a corpus (lang, text): counted over all documents, then over the core, ``refits`` times.
 
-    At most ``BROADCAST_ROWS`` languages, those with most documents, are narrowed to their core.
+    At most ``BROADCAST_ROWS`` languages, those with most distinct texts, are narrowed to their core.
     """
     model = count_model(docs)
     for _ in range(refits):
@@ -250,6 +276,12 @@ def fit_corpus(docs: DataFrame, refits: int = REFITS) -> KneserNey:
     return model
 
 
+def digests(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Digest of each text of a chunk."""
+    cuts = offsets.tolist()
+    return pa.array([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(cuts, cuts[1:])], pa.binary())
+
+
 def text_statistics(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Per text of a chunk: words, code points in words, symbol characters, repeated lines, repeated words."""
     count = len(offsets) - 1
@@ -292,7 +324,7 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 
 
 def scored(rows: DataFrame, model: KneserNey, text_field: int | None = None) -> DataFrame:
-    """Adds to each row the text statistics, n_bytes and log_perplexity.
+    """Adds to each row the text statistics, n_bytes, the text's digest and log_perplexity.
 
     The text is the last column and is not returned; or, with ``text_field``, that field of the
     only column, a struct. log_perplexity is the mean negative log-probability per byte; NULL for empty texts.
@@ -309,22 +341,24 @@ def scored(rows: DataFrame, model: KneserNey, text_field: int | None = None) ->
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(first, len(size)) for i in range(len(carried))]
                     + [pa.array(column.astype(np.int64)) for column in text_statistics(data, offsets)]
-                    + [pa.array(size.astype(np.int64)), pa.array(mean, mask=size == 0)],
-                    names=[*carried, *STATISTICS, "n_bytes", "log_perplexity"],
+                    + [pa.array(size.astype(np.int64)), digests(data, offsets), pa.array(mean, mask=size == 0)],
+                    names=[*carried, *STATISTICS, "n_bytes", "digest", "log_perplexity"],
                 )
 
     schema = T.StructType([rows.schema[name] for name in carried])
     for name in (*STATISTICS, "n_bytes"):
         schema = schema.add(name, "long")
-    return rows.mapInArrow(work, schema.add("log_perplexity", "double")).withColumn("base_failed", F.expr(BASE_FAILED))
+    schema = schema.add("digest", "binary").add("log_perplexity", "double")
+    return rows.mapInArrow(work, schema).withColumn("base_failed", F.expr(BASE_FAILED))
 
 
 def bands(scores: DataFrame) -> DataFrame:
     """(lang, n, middle, spread) for each language, NULL being one: median log-perplexity and robust deviation.
 
-    Quantiles are sketched, so a language with most of the rows is summed up by every task, not gathered in one.
+    They are those of the distinct texts of the scores (lang, digest, log_perplexity), n being their number. Quantiles are sketched, so a language with most of the rows is summed up by every task, not gathered in one.
     """
-    quantiles = scores.groupBy("lang").agg(
+    texts = scores.groupBy("lang", "digest").agg(F.min("log_perplexity").alias("log_perplexity"))
+    quantiles = texts.groupBy("lang").agg(
         F.count("*").alias("n"),
         F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias("q"),
     )
@@ -350,7 +384,7 @@ def judge(
     it is kept if it passes them and its log-perplexity lies in its language's band.
     NULL text counts as empty, NULL as a language of its own; repeated rows get equal
     results; other columns are not read; an empty table gives no rows.
-    Without a ``model``, one is fitted on all of ``docs``.
+    Without a ``model``, one is fitted on all of ``docs``. Copies of a text shape model and bands like one row.
     """
     source = docs.select(
         col(id_col).cast("long").alias("doc_id"), col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text")

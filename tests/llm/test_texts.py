@@ -369,3 +369,25 @@ def test_quality_of_odd_tables(spark):
     assert kn_quality.reject(docs.filter("false")).count() == 0
     plain = documents(spark, [" ".join(f"w{i}{j}" for i in range(80)) for j in range(3)]).withColumn("log_perplexity", F.lit("clash"))
     assert kn_quality.reject(plain).count() == 3
+
+
+@pytest.mark.parametrize("share", [50, 80])
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_copies_of_one_text_leave_all_verdicts_as_they_are(spark, monkeypatch, share, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(kn_quality, "BROADCAST_DIGESTS", 0)
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(60, 400))) for _ in range(60)]
+    texts += [" ".join("".join(rng.choice("QXZJ#|%9") for _ in range(6)) for _ in range(200))]
+    copies = [texts[0]] * (len(texts) * share // (100 - share))
+    judged = []
+    for rows in (texts, texts + copies):
+        docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(rows)], "doc_id long, text string, lang string")
+        judged.append({r.doc_id: r for r in kn_quality.judge(docs).collect()})
+    alone, among = judged
+    assert len(among) == len(texts) + len(copies)
+    assert [i for i in alone if not alone[i].kept] == [60]
+    for i, row in among.items():
+        one = alone[i if i < len(texts) else 0]
+        assert row.kept == one.kept and row.log_perplexity == pytest.approx(one.log_perplexity, rel=1e-9)
