@@ -9,9 +9,8 @@ model has at most 64^4 entries; its size is bounded, and it is broadcast.
 Perplexities are judged within each language: documents outside the band around the language's
 middle, as wide as a multiple of its spread, are rejected, the too surprising as well
 as the too predictable ones. Short texts scatter more, so the band widens with
-1 / length. What is common junk would teach the model to expect it; so the model is
-counted again, over the documents near the middle of their language under the model before.
-Every round's middles and spreads come from all documents.
+1 / length. What is common junk would teach the model to expect it by sheer repetition; so the model of
+a corpus counts in how many texts an n-gram occurs, over all texts.
 
 Copies weigh once: n-grams, middles and spreads are those of the distinct texts, though every row is judged.
 """
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartmill.llm.common import BROADCAST_ROWS, col, sized_broadcast, small_batches, text_of, written
+from chartmill.llm.common import col, sized_broadcast, small_batches, text_of, written
 from chartmill.llm.textscan import chunks, windows, word_hashes
 
 ORDER = 4
@@ -38,9 +37,6 @@ SYMBOLS = 1 << SYMBOL_BITS
 BAND = 6.0
 #: A text of this many bytes has a variance twice as large as that of an endless one.
 SHORT_BYTES = 1000.0
-#: Documents within so many deviations of their language's middle are counted for the next model.
-CORE = 1.5
-REFITS = 2
 #: Least deviation of a language's log-perplexities, for languages with few documents.
 MIN_SPREAD = 0.02
 MIN_WORDS = 50
@@ -133,39 +129,23 @@ class KneserNey:
         return out
 
 
-@dataclass
-class Core:
-    """Which documents count: those near their language's middle under a model. Languages not listed count whole."""
-
-    model: KneserNey
-    limits: dict[str | None, tuple[float, float]]
-
-    def chosen(self, languages: list[str | None], codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        mean, size = mean_surprise(self.model, codes, offsets)
-        middle, spread = np.array([self.limits.get(lang, (0.0, np.inf)) for lang in languages]).reshape(-1, 2).T
-        return np.abs(mean - middle) <= CORE * spread * np.sqrt(1 + SHORT_BYTES / np.maximum(size, 1))
-
-
 def weighed_texts(docs: DataFrame) -> DataFrame:
-    """(lang, text, copies): in the sum of 1 / copies, each distinct text of a language of documents (lang, text) counts once.
+    """(text, copies): in the sum of 1 / copies, each distinct text of documents (text) counts once.
 
     Texts stay where they are read, with the number of their copies, if those with copies are few enough to broadcast
     their digests. Else they are reduced to distinct ones, by each task before the shuffle, with 1 as the number.
     """
-    docs = docs.select("lang", "text")
+    docs = docs.select("text")
     named = docs.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    copied = named.groupBy("lang", "digest").agg(F.count("*").alias("copies")).filter("copies > 1")
-    copied = written(copied.select(F.col("lang").alias("copied_lang"), F.col("digest").alias("copied_digest"), "copies"), "copied")
+    copied = written(named.groupBy("digest").agg(F.count("*").alias("copies")).filter("copies > 1"), "copied")
     if copied.count() > BROADCAST_DIGESTS:
         return docs.distinct().withColumn("copies", F.lit(1).cast("long"))
-    same = (F.col("digest") == F.col("copied_digest")) & F.col("lang").eqNullSafe(F.col("copied_lang"))
-    return named.join(F.broadcast(copied), same, "left").select("lang", "text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    return named.join(F.broadcast(copied), "digest", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
-def ngram_counts(docs: DataFrame, core: Core | None = None) -> DataFrame:
-    """(code, n): how often each packed n-gram occurs in the distinct texts of all documents (lang, text), or of the core."""
+def ngram_counts(docs: DataFrame, by_text: bool = False) -> DataFrame:
+    """(code, n): how often each packed n-gram occurs in the distinct texts of all documents (text), or in how many of them."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(core)
 
     def merged(codes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
         code, place = np.unique(np.concatenate(codes), return_inverse=True)
@@ -175,15 +155,16 @@ def ngram_counts(docs: DataFrame, core: Core | None = None) -> DataFrame:
         codes: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         for batch in batches:
-            languages = batch.column(0).to_pylist()
-            copies = batch.column(2).to_numpy()
-            for first, data, offsets in chunks(batch.column(1)):
+            copies = batch.column(1).to_numpy()
+            for first, data, offsets in chunks(batch.column(0)):
                 found = packed_ngrams(data, offsets)
                 own = copies[first : first + len(offsets) - 1]
-                if shared.value is not None:
-                    own = np.where(shared.value.chosen(languages[first : first + len(offsets) - 1], found, offsets), own, 0)
-                own = np.repeat(own, np.diff(offsets))
-                for number in np.unique(own[own > 0]):
+                text = np.repeat(np.arange(len(own)), np.diff(offsets))
+                if by_text:
+                    once = np.unique((text << (SYMBOL_BITS * ORDER)) | found)
+                    text, found = once >> (SYMBOL_BITS * ORDER), (once & _MASK[ORDER]).astype(np.uint32)
+                own = own[text]
+                for number in np.unique(own):
                     code, n = np.unique(found[own == number], return_counts=True)
                     codes.append(code)
                     counts.append(n / number)
@@ -237,43 +218,15 @@ def mean_surprise(model: KneserNey, codes: np.ndarray, offsets: np.ndarray) -> t
     return (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(size, 1), size
 
 
-def count_model(docs: DataFrame, core: Core | None = None) -> KneserNey:
+def count_model(docs: DataFrame, by_text: bool = False) -> KneserNey:
     """Count with Spark; the at most 64^4 distinct n-grams then make the model on the driver."""
-    table = ngram_counts(docs, core).toArrow()
+    table = ngram_counts(docs, by_text).toArrow()
     return fit(table.column("code").to_numpy().astype(np.uint32), table.column("n").to_numpy())
 
 
-def log_perplexities(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """(lang, digest, log_perplexity) of all documents (lang, text) that are not empty."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, data, offsets in chunks(batch.column(1)):
-                mean, size = mean_surprise(shared.value, packed_ngrams(data, offsets), offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(size)), digests(data, offsets), pa.array(mean, mask=size == 0)],
-                    names=["lang", "digest", "log_perplexity"],
-                )
-
-    scores = docs.select("lang", "text").mapInArrow(work, "lang string, digest binary, log_perplexity double")
-    return scores.filter("log_perplexity IS NOT NULL")
-
-
-def fit_corpus(docs: DataFrame, refits: int = REFITS) -> KneserNey:
-    """The model of a corpus (lang, text): counted over all documents, then over the core, ``refits`` times.
-
-    At most ``BROADCAST_ROWS`` languages, those with most distinct texts, are narrowed to their core.
-    """
-    model = count_model(docs)
-    for _ in range(refits):
-        rows = bands(log_perplexities(docs, model)).orderBy(F.desc("n"), "lang").limit(BROADCAST_ROWS).collect()
-        refitted = count_model(docs, Core(model, {row["lang"]: (row["middle"], row["spread"]) for row in rows}))
-        if not len(refitted.grams[-1]):
-            break
-        model = refitted
-    return model
+def fit_corpus(docs: DataFrame) -> KneserNey:
+    """The model of a corpus (text): in how many of all its distinct texts each n-gram occurs."""
+    return count_model(docs, by_text=True)
 
 
 def digests(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -353,18 +306,17 @@ def scored(rows: DataFrame, model: KneserNey, text_field: int | None = None) ->
 
 
 def bands(scores: DataFrame) -> DataFrame:
-    """(lang, n, middle, spread) for each language, NULL being one: median log-perplexity and robust deviation.
+    """(lang, middle, spread) for each language, NULL being one: median log-perplexity and robust deviation.
 
-    They are those of the distinct texts of the scores (lang, digest, log_perplexity), n being their number. Quantiles are sketched, so a language with most of the rows is summed up by every task, not gathered in one.
+    They are those of the distinct texts of the scores (lang, digest, log_perplexity). Quantiles are sketched, so a language with most of the rows is summed up by every task, not gathered in one.
     """
     texts = scores.groupBy("lang", "digest").agg(F.min("log_perplexity").alias("log_perplexity"))
     quantiles = texts.groupBy("lang").agg(
-        F.count("*").alias("n"),
         F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias("q"),
     )
     # a quarter of a normal distribution lies beyond 0.6745 standard deviations on either side
     spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / (2 * 0.6745), F.lit(MIN_SPREAD))
-    return quantiles.select("lang", "n", F.col("q")[1].alias("middle"), spread.alias("spread"))
+    return quantiles.select("lang", F.col("q")[1].alias("middle"), spread.alias("spread"))
 
 
 def judge(
@@ -411,7 +363,7 @@ def reject(
     Rows travel through the scoring whole and wait in the shared folder for their language's band: texts are
     not shuffled, and rows that share an id are judged apart.
     """
-    model = model or fit_corpus(docs.select(col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text")))
+    model = model or fit_corpus(docs.select(text_of(text_col).alias("text")))
     rows = docs.select(F.struct(*[col(name) for name in docs.columns]).alias("row"))
     scores = written(scored(rows, model, docs.columns.index(text_col)), "scored_rows")
     judged = with_verdicts(scores.withColumn("lang", F.col("row")[lang_col].cast("string")), band)

@@ -391,3 +391,16 @@ def test_copies_of_one_text_leave_all_verdicts_as_they_are(spark, monkeypatch, s
     for i, row in among.items():
         one = alone[i if i < len(texts) else 0]
         assert row.kept == one.kept and row.log_perplexity == pytest.approx(one.log_perplexity, rel=1e-9)
+
+
+def test_corpus_model_counts_texts_and_leaves_none_out(spark):
+    common = ["the cat sat on the mat", "the cat ran to the mat", "the cat lay by the mat"] * 3
+    texts = [f"{text} {i}" for i, text in enumerate(common)] + ["QXZJ #|% QXZJ #|%", "QXZJ #|% QXZJ #|%", "", "é"]
+    rows = kn_quality.ngram_counts(documents(spark, texts), by_text=True).collect()
+    want = collections.Counter()
+    for text in set(texts):
+        data = np.frombuffer(text.encode(), np.uint8)
+        want.update(set(kn_quality.packed_ngrams(data, np.array([0, len(data)])).tolist()))
+    assert {r.code: r.n for r in rows} == want
+    model = kn_quality.fit_corpus(documents(spark, texts))
+    assert set(model.grams[-1].tolist()) == want.keys()
