@@ -1,11 +1,11 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit minhash signatures.
 
 1. Every document becomes its set of word shingles; equal sets are one node from here on.
-2. A set's signature is ``SLOTS`` minhashes of ``b`` = 8 bits. At the linking
-   similarity a pair differs in a binomial number of slots; ``DISTANCE`` lies so far in its tail
-   that about one linked pair in 100,000 would differ more.
-3. A signature is split into ``CHUNKS`` chunks. Two signatures within ``DISTANCE``
-   = 2 * CHUNKS - 1 differing slots have, by the pigeonhole principle, a chunk
+2. A set's signature is a number of minhashes (slots) of 8 bits. At the linking
+   similarity a pair differs in a binomial number of slots; the distance lies so far in its tail
+   that about one linked pair in 100,000 would differ more. ``LAYOUTS`` has one layout per least similarity.
+3. A signature is split into chunks. Two signatures within a distance of
+   2 * chunks - 1 differing slots have, by the pigeonhole principle, a chunk
    with at most one differing slot. All such errors are enumerated: a chunk is filed
    once per slot, with that slot left out. So the pair shares a key, always.
 4. Nodes that share a key are confirmed on their full sets - not all pairs of
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,32 +34,62 @@ from chartmill.llm.textscan import chunks, mix, shingle_sets
 
 SHINGLE_WORDS = 5
 PERCENT = 85
-CHUNK_SLOTS = 6
-CHUNKS = 16
-SLOTS = CHUNK_SLOTS * CHUNKS
-DISTANCE = 2 * CHUNKS - 1
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How signatures are cut into chunks; there is room for 256 slots in a key."""
+
+    chunk_slots: int
+    chunks: int
+
+    @property
+    def slots(self) -> int:
+        return self.chunk_slots * self.chunks
+
+    @property
+    def distance(self) -> int:
+        return 2 * self.chunks - 1
+
+
+#: By the least percentage: the probability that a pair at it differs in more slots is 5.4e-6 at 85 and 9.9e-6 at 80.
+LAYOUTS = {85: Layout(6, 16), 80: Layout(5, 18)}
+DEFAULT_LAYOUT = LAYOUTS[PERCENT]
+SLOTS = DEFAULT_LAYOUT.slots
+DISTANCE = DEFAULT_LAYOUT.distance
 #: Members of a key compared with one another in one piece of work.
 BLOCK_MEMBERS = 1024
 #: Node ids broadcast to pick texts for confirmation; beyond it, they are joined.
 BROADCAST_IDS = 1_000_000
 
-_FACTORS = np.random.default_rng(7).integers(1, 2**63, SLOTS, dtype=np.uint64) | np.uint64(1)
-_SALTS = mix(np.arange(1, SLOTS + 1, dtype=np.uint64))
+_MOST_SLOTS = max(layout.slots for layout in LAYOUTS.values())
+_FACTORS = np.random.default_rng(7).integers(1, 2**63, _MOST_SLOTS, dtype=np.uint64) | np.uint64(1)
+_SALTS = mix(np.arange(1, _MOST_SLOTS + 1, dtype=np.uint64))
+
+
+def layout_for(percent: int) -> Layout:
+    """The layout for links at ``percent`` and more."""
+    fitting = [least for least in LAYOUTS if least <= percent]
+    if not fitting:
+        raise ValueError(f"signatures are laid out for at least {min(LAYOUTS)} percent")
+    return LAYOUTS[max(fitting)]
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of ``SLOTS`` bytes per non-empty set."""
+def signatures(sets: list[np.ndarray], layout: Layout = DEFAULT_LAYOUT) -> np.ndarray:
+    """One row with a byte per slot for each non-empty set."""
     flat = np.concatenate(sets)
     begins = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    out = np.empty((len(sets), SLOTS), np.uint8)
+    out = np.empty((len(sets), layout.slots), np.uint8)
     work = np.empty_like(flat)
-    for slot in range(SLOTS):
+    for slot in range(layout.slots):
         np.multiply(flat, _FACTORS[slot], out=work)
         out[:, slot] = (mix(np.minimum.reduceat(work, begins) ^ _SALTS[slot]) >> np.uint64(56)).astype(np.uint8)
     return out
 
 
-def document_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_signatures(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout: Layout = DEFAULT_LAYOUT
+) -> DataFrame:
     """(doc_id, n_shingles, digest, sig) of every document; digest and sig are NULL for empty sets."""
     small_batches(docs.sparkSession)
 
@@ -67,7 +98,7 @@ def document_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for first, data, offsets in chunks(batch.column(1)):
                 sets = shingle_sets(data, offsets, SHINGLE_WORDS)
                 some = [s for s in sets if len(s)]
-                rows = iter(signatures(some) if some else ())
+                rows = iter(signatures(some, layout) if some else ())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(sets)),
@@ -82,40 +113,40 @@ def document_signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return source.mapInArrow(work, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SLOTS)
+def _matrix(column: pa.Array, layout: Layout) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, layout.slots)
 
 
-def signature_keys(nodes: DataFrame) -> DataFrame:
+def signature_keys(nodes: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """(key, node): each chunk of a signature, once for every slot left out. Keys are exact, not hashed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            parts = _matrix(batch.column(1)).reshape(-1, CHUNKS, CHUNK_SLOTS).astype(np.int64)
-            keys = np.empty((len(parts), CHUNKS, CHUNK_SLOTS), np.int64)
-            for gap in range(CHUNK_SLOTS):
+            parts = _matrix(batch.column(1), layout).reshape(-1, layout.chunks, layout.chunk_slots).astype(np.int64)
+            keys = np.empty((len(parts), layout.chunks, layout.chunk_slots), np.int64)
+            for gap in range(layout.chunk_slots):
                 packed = np.zeros(parts.shape[:2], np.int64)
-                for slot in range(CHUNK_SLOTS):
+                for slot in range(layout.chunk_slots):
                     if slot != gap:
                         packed = (packed << 8) | parts[:, :, slot]
-                keys[:, :, gap] = (packed << 8) | (np.arange(CHUNKS) * CHUNK_SLOTS + gap)
+                keys[:, :, gap] = (packed << 8) | (np.arange(layout.chunks) * layout.chunk_slots + gap)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), SLOTS))], names=["key", "node"]
+                [pa.array(keys.reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), layout.slots))], names=["key", "node"]
             )
 
     return nodes.select("node", "sig").mapInArrow(work, "key long, node long")
 
 
-def within_distance(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most ``DISTANCE`` slots."""
+def within_distance(pairs: DataFrame, nodes: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
+    """The pairs (a, b) whose signatures lie within the layout's distance."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                differ = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(1)
-                yield batch.select(["a", "b"]).filter(pa.array(differ <= DISTANCE))
+                differ = (_matrix(batch.column(2), layout) != _matrix(batch.column(3), layout)).sum(1)
+                yield batch.select(["a", "b"]).filter(pa.array(differ <= layout.distance))
 
     left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
@@ -165,16 +196,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(work, "a long, b long")
 
 
-def _first_shared_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _first_shared_key(left: np.ndarray, right: np.ndarray, layout: Layout) -> np.ndarray:
     """Place of the first key two rows of signatures share; compares rows pairwise."""
-    differ = (left != right).reshape(len(left), CHUNKS, CHUNK_SLOTS)
+    differ = (left != right).reshape(len(left), layout.chunks, layout.chunk_slots)
     errors = differ.sum(2)
     chunk = np.argmax(errors <= 1, axis=1)
     part = differ[np.arange(len(left)), chunk]
-    return chunk * CHUNK_SLOTS + np.where(part.any(1), part.argmax(1), 0)
+    return chunk * layout.chunk_slots + np.where(part.any(1), part.argmax(1), 0)
 
 
-def _block_pairs(key: int, own: np.ndarray, other: np.ndarray | None, nodes, labels, sigs, size, shared, percent) -> np.ndarray:
+def _block_pairs(key: int, own: np.ndarray, other: np.ndarray | None, nodes, labels, sigs, size, shared, percent, layout) -> np.ndarray:
     """Pairs of one key that can be linked but are not connected yet, and whose first shared key this is."""
     place = key & 0xFF
     found = []
@@ -185,9 +216,9 @@ def _block_pairs(key: int, own: np.ndarray, other: np.ndarray | None, nodes, lab
         most = np.minimum(shared[js], shared[i])
         js = js[100 * most >= percent * (size[js] + size[i] - most)]
         if len(js):
-            js = js[(sigs[js] != sigs[i]).sum(1) <= DISTANCE]
+            js = js[(sigs[js] != sigs[i]).sum(1) <= layout.distance]
         if len(js):
-            js = js[_first_shared_key(np.broadcast_to(sigs[i], (len(js), SLOTS)), sigs[js]) == place]
+            js = js[_first_shared_key(np.broadcast_to(sigs[i], (len(js), layout.slots)), sigs[js], layout) == place]
         if len(js):
             found.append(np.stack([np.full(len(js), nodes[i]), nodes[js]]))
     return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
@@ -236,7 +267,9 @@ def shared_sizes(sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def unconnected_pairs(members: DataFrame, nodes: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def unconnected_pairs(
+    members: DataFrame, nodes: DataFrame, sizes: DataFrame, percent: int, layout: Layout = DEFAULT_LAYOUT
+) -> DataFrame:
     """Pairs (a, b) within the distance whose labels differ and whose sizes allow a link, each once.
 
     A key with many members is cut into blocks of about ``BLOCK_MEMBERS``; a
@@ -282,11 +315,11 @@ def unconnected_pairs(members: DataFrame, nodes: DataFrame, sizes: DataFrame, pe
             key, first, second = (group.column(i)[0].as_py() for i in range(3))
             far = group.column("far").to_numpy()
             node, label = group.column("node").to_numpy(), group.column("label").to_numpy()
-            sigs = _matrix(group.column("sig"))
+            sigs = _matrix(group.column("sig"), layout)
             near = np.flatnonzero(~far)
             size, shared = group.column("size").to_numpy(), group.column("shared").to_numpy()
             other = None if first == second else np.flatnonzero(far)
-            pairs = _block_pairs(key, near, other, node, label, sigs, size, shared, percent)
+            pairs = _block_pairs(key, near, other, node, label, sigs, size, shared, percent, layout)
             if pairs.shape[1]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(pairs.min(0)), pa.array(pairs.max(0))], names=["a", "b"]
@@ -308,11 +341,10 @@ def near_duplicates(
     empty text) have n_shingles 0, are linked with nothing and kept. A row with a NULL
     id is linked with nothing, has a NULL component_id and is kept. Repeated rows get
     equal results. Other columns are not read; an empty table gives no rows.
-    The distance and chunks are laid out for similarities of ``PERCENT`` and more.
+    Distance and chunks are those of ``LAYOUTS`` for ``percent``; less than 80 is refused.
     """
-    if percent < PERCENT:
-        raise ValueError(f"signatures are laid out for at least {PERCENT} percent")
-    described = written(document_signatures(docs, id_col, text_col), "signatures")
+    layout = layout_for(percent)
+    described = written(document_signatures(docs, id_col, text_col, layout), "signatures")
     ones = described.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     # the least id of each set stands for it, with a signature that is the same for all of them
     nodes = written(
@@ -321,12 +353,12 @@ def near_duplicates(
         ),
         "nodes",
     )
-    keys = signature_keys(nodes)
+    keys = signature_keys(nodes, layout)
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last")
     members = written(keys.join(shared.select("key", "first"), "key"), "members")
 
     to_first = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    near = written(within_distance(to_first, nodes), "near")
+    near = written(within_distance(to_first, nodes, layout), "near")
     ids = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     stars = written(confirmed(near, written(full_sets(docs, ids, id_col, text_col), "sets"), percent), "stars")
 
@@ -340,7 +372,7 @@ def near_duplicates(
     mixed = written(unconnected_members(members.select("key", "node"), labels), "mixed")
     sets = written(full_sets(docs, mixed.select("node").distinct(), id_col, text_col), "sets")
     sizes = written(shared_sizes(sets, percent), "sizes")
-    rest = written(unconnected_pairs(mixed, nodes, sizes, percent), "rest")
+    rest = written(unconnected_pairs(mixed, nodes, sizes, percent, layout), "rest")
     links = confirmed(rest, sets, percent)
 
     found = connected_components(stars.union(links))

@@ -95,3 +95,12 @@ def test_queries_match_their_sql(spark, key):
     assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(
         map(str, want.select(*[f'"{c}"' for c in columns]).fetchall())
     )
+
+
+def test_near_duplicates_between_80_and_85_percent_go(spark):
+    words = [f"w{i}" for i in range(400)]
+    near = list(words)
+    for at in (50, 120, 190, 260, 330, 370, 20, 90):  # 8 edits x 5 of 396 windows: similarity 356 / 436, 0.817
+        near[at] = f"other{at}"
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "s", 1), (2, " ".join(near), "en", "s", 1)], SCHEMA)
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [1]

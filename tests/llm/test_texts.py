@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import math
 import random
 import re
 import zlib
@@ -404,3 +405,20 @@ def test_corpus_model_counts_texts_and_leaves_none_out(spark):
     assert {r.code: r.n for r in rows} == want
     model = kn_quality.fit_corpus(documents(spark, texts))
     assert set(model.grams[-1].tolist()) == want.keys()
+
+
+def test_near_duplicates_at_80_percent_match_brute_force(spark):
+    texts = varied_texts(seed=8, count=260)
+    got = {r.doc_id: r for r in hamming_join.near_duplicates(documents(spark, texts), percent=80).collect()}
+    classes, _ = classes_by_brute_force(texts, 80)
+    assert classes != classes_by_brute_force(texts)[0]
+    assert [got[i].component_id for i in range(len(texts))] == classes
+    with pytest.raises(ValueError):
+        hamming_join.near_duplicates(documents(spark, texts), percent=79)
+
+
+def test_layouts_miss_one_pair_in_100_000_at_most():
+    for percent, layout in hamming_join.LAYOUTS.items():
+        p = (1 - percent / 100) * 255 / 256
+        within = sum(math.comb(layout.slots, k) * p**k * (1 - p) ** (layout.slots - k) for k in range(layout.distance + 1))
+        assert 1 - within < 1e-5 and layout.slots <= 256
