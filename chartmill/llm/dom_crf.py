@@ -56,12 +56,31 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+[^>]*+)>|<[!?][^>]*+>|<(?=/?[A-Za-z!?])[^>]*+\Z",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(?i)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?+|=")
+_NAMING = ("class", "id", "role", "aria-label")
+_CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_NO_DISPLAY = re.compile(r"(?i)\s*display\s*:\s*none\s*(?:!\s*important\s*)?")
 _NAME_WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def attributes_of(markup: str) -> dict[str, str]:
+    """The attributes of a start tag, names in small letters; of a repeated one the first counts, as in browsers."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(markup):
+        if name:
+            found.setdefault(name.lower(), html.unescape("".join(values)))
+    return found
+
+
+def hides(attributes: dict[str, str]) -> bool:
+    """Whether the attributes themselves hide an element; what others say about hiding is text."""
+    if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    style = attributes.get("style", "")
+    return bool(style) and any(_NO_DISPLAY.fullmatch(part) for part in _CSS_COMMENT.sub(" ", style).split(";"))
+
+
 @dataclass
 class Block:
     """A leaf block: its text, the share of it inside links, and the features of its ancestors."""
@@ -151,11 +170,12 @@ def leaf_blocks(page: str) -> list[Block]:
             at = end.end() if end else len(page)
             continue
         names = [f"in {tag}"] if tag in BLOCK_TAGS else []
-        if attributes and tag in BLOCK_TAGS:
-            for _, *values in _ATTRIBUTE.findall(attributes):
-                for value in values:
+        given = attributes_of(attributes) if attributes else {}
+        if tag in BLOCK_TAGS:
+            for name, value in given.items():
+                if name in _NAMING:
                     names += [f"name {word}" for word in _NAME_WORD.findall(value.lower())]
-        covered = hidden or tag in HIDDEN_TAGS or bool(attributes and _HIDDEN.search(attributes))
+        covered = hidden or tag in HIDDEN_TAGS or hides(given)
         inner = context + tuple(name for name in names if name not in context) if names else context
         stack.append((tag, inner, covered))
         in_link += tag == "a"

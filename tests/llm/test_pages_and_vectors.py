@@ -380,3 +380,28 @@ def test_broken_markup_is_read_in_linear_time():
     assert [b.text for b in dom_crf.leaf_blocks("a < b &amp c > d")] == ["a < b & c > d"]
     assert [b.text for b in dom_crf.leaf_blocks("<table><tr><td>1<td>2<tr><td>3</table>x")] == ["1", "2", "3", "x"]
     assert dom_crf.leaf_blocks('<div hidden>x</div><p style="display: none">y</p><noscript>z</noscript>') == []
+
+
+def test_only_attributes_of_their_own_hide_elements():
+    shown = [
+        '<p title="The hidden cost">x</p>',
+        '<article class="wide hidden gems"><p>x</p></article>',
+        "<p data-x='aria-hidden=true'>x</p>",
+        '<p title="style: display:none">x</p>',
+        '<p aria-hidden="false">x</p>',
+        '<p style="--display:none; display:block">x</p>',
+        "<p data-hidden hiddenness=1 alt=hidden>x</p>",
+    ]
+    hidden = [
+        "<p hidden>x</p>",
+        '<p id=a HIDDEN="">x</p>',
+        "<p title='a > b' hidden=until-found>x</p>",
+        "<p Aria-Hidden = ' True '>x</p>",
+        "<div style='color:red; Display : none !important'><p>x</p></div>",
+        "<p style=display:none>x</p>",
+        "<p style='display:/**/none'>x</p>",
+    ]
+    assert [[b.text for b in dom_crf.leaf_blocks(page)] for page in shown] == [["x"]] * len(shown)
+    assert [dom_crf.leaf_blocks(page) for page in hidden] == [[]] * len(hidden)
+    names = dom_crf.leaf_blocks('<p title="class=advert" class="lead text">x</p>')[0].context
+    assert names == ("in p", "name lead", "name text")
