@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chartmill.llm import (
     cas_archive,
     cover_tree,
+    divergence,
     dom_crf,
     hamming_join,
     kn_quality,
@@ -89,6 +90,12 @@ def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn_quality.judge(read(spark, sf_dir, "documents")).drop("lang")
 
 
+@query
+def op13_late_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of every source from the others of its language, and the words it stands out by."""
+    return divergence.audit_sources(read(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL["op5_poisson_mix"] = """
 WITH RECURSIVE sizes AS (
   SELECT source, sum(greatest(length(coalesce(text, '')), 1))::BIGINT AS chars FROM documents GROUP BY source),
@@ -132,3 +139,35 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, rank, vec_id, score FROM (
   SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s) WHERE rank <= 5"""
+
+
+ORACLE_SQL["op13_late_divergence"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang),
+c AS (SELECT w.lang, w.source, w.term, count(*)::HUGEINT AS n FROM w JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+sizes AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM c GROUP BY ALL),
+g AS (
+  SELECT e.lang, e.source, coalesce(s.n, 0)::HUGEINT AS n, coalesce(l.v, 0)::HUGEINT AS v FROM (SELECT DISTINCT lang, source FROM d) e
+  LEFT JOIN sizes s ON e.lang = s.lang AND e.source = s.source LEFT JOIN langs l ON e.lang = l.lang),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (g.n + 5 * g.v) AS p
+  FROM g JOIN kept k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT k.lang, k.term, 1 + (1000000000 * (k.n + 5)) // (l.n + 5 * l.v) AS q FROM kept k JOIN langs l ON k.lang = l.lang),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, (p.p - q.q)::BIGINT
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q)
+SELECT * FROM (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM parts)
+WHERE part = 'pair' OR rank <= 50"""

@@ -56,11 +56,11 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a chunk, and where each text's words begin among them (one entry more)."""
+def spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every run of other bytes than ``separators`` (a flag per byte value); texts end runs."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    space = separators[data]
     begins, ends = ~space, ~space
     begins[1:] &= space[:-1]
     ends[:-1] &= space[1:]
@@ -68,13 +68,30 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     edge = inner[(inner > 0) & (inner < len(data))]
     begins[edge] = ~space[edge]  # a text begins: so does its first word
     ends[edge - 1] = ~space[edge - 1]
-    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    size = 1 << max(20, int(len(data)).bit_length())
-    up, down = _powers(size)
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[_LOWER[data] if lower else data] * up[: len(data)], out=total[1:])
-    hashes = mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
-    return hashes, np.searchsorted(start, offsets).astype(np.int64)
+    np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=total[1:])
+    return mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a chunk, and where each text's words begin among them (one entry more)."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    start, stop = spans(data, offsets)
+    return span_hashes(_LOWER[data] if lower else data, start, stop), np.searchsorted(start, offsets).astype(np.int64)
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:
