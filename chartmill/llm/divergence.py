@@ -292,7 +292,7 @@ def _unit_sums(unit: pd.DataFrame) -> pd.DataFrame:
     term = rows.groupby(["digest", "split"]).ngroup().to_numpy()
     grid = np.tile(absent, (int(term.max()) + 1 if len(term) else 0, 1))
     grid[term, np.searchsorted(numbers, rows["number"].to_numpy())] = rows["p"].to_numpy(np.int64)
-    block = numbers // BLOCK_SOURCES
+    block = blocks["own"].to_numpy()
     out = []
     for at in np.flatnonzero(block == first):
         others = np.flatnonzero(block == second)
