@@ -1,10 +1,11 @@
 """How the sources of a language differ in their words, with strings materialised late.
 
-1. Each batch of documents is reduced, where it is read, to rows (lang, source, term
-   digest, occurrences, documents). The first row of a term in a batch also carries the least and the
-   greatest string that had the digest there.
-2. Only the fixed-width columns are shuffled to count; the terms in enough
-   documents of their language stay. A digest never has fewer documents than any term under it, so no term is lost.
+1. Each batch of documents is reduced, where it is read, to the documents of every term digest; digests in
+   enough documents of a language mark a bitmap of fixed size. A digest never has fewer documents than any
+   term under it, so no term is lost, and most of a corpus's rare terms go before anything else is done.
+2. Each batch is reduced again, for the marked digests, to rows (lang, source, digest, occurrences,
+   documents). The first row of a digest in a batch also carries the least and the greatest
+   string that had it there. Only the fixed-width columns are shuffled to count, exactly.
 3. For the digests kept, the least and greatest strings are brought together. Where
    they differ, several terms share the digest: those terms, and no others, are counted again by their strings.
 4. Shares, divergences and ranks are computed on digests. Text is joined
@@ -34,6 +35,8 @@ TOP_TERMS = 50
 BATCH_ROWS = 20_000
 #: Bits of a term's digest; tests lower them to make digests clash.
 DIGEST_BITS = 64
+#: Digests are marked by so many of their bits: 8 MB for any corpus. A full bitmap costs speed only.
+BITMAP_BITS = 26
 #: A unit of the pairwise sums holds the shares of about so many terms in at most two blocks of sources.
 SLICE_TERMS = 4096
 BLOCK_SOURCES = 128
@@ -62,6 +65,14 @@ def _unequal(data: np.ndarray, a: np.ndarray, a_size: np.ndarray, b: np.ndarray,
     return out
 
 
+def _digest_docs(rows: np.ndarray) -> np.ndarray:
+    """The (digest, doc) columns of ``rows``, sorted so and each once; docs must ascend."""
+    rows = rows[:, np.argsort(rows[0].view(np.uint64), kind="stable")]
+    fresh = np.ones(rows.shape[1], bool)
+    fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+    return rows[:, fresh]
+
+
 def _combined(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """One row per (digest, doc), sorted so: counts added, ``low`` and ``high`` the least and greatest string of the digest.
 
@@ -105,22 +116,32 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, n
         begin = end
 
 
-def batch_terms(texts: pa.Array, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """The lower-cased bytes of a batch, and its rows as in ``_combined``, one per (digest, text)."""
-    data, found, base = [], [np.zeros((7, 0), np.int64)], 0
+def _digested(texts: pa.Array, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of a batch: where they begin in it, lower-cased bytes, and digest, text number, begin, end of their terms."""
+    base = 0
     for number, raw, offsets in chunks(texts):
         raw = lowered(raw)
-        data.append(raw)
         for begin, end, inner in _pieces(raw, offsets):
             part = raw[begin:end]
             start, stop = spans(part, inner, _SEPARATORS)
-            size = stop - start
             doc = number + np.searchsorted(inner, start, "right") - 1
-            digest = _digests(part, start, stop, bits).view(np.int64)
-            rows = _combined(part, np.stack([digest, doc, np.ones_like(doc), start, size, start, size]))
-            rows[[3, 5]] += base + begin
-            found.append(rows)
+            yield base + begin, part, _digests(part, start, stop, bits).view(np.int64), doc, start, stop
         base += len(raw)
+
+
+def batch_terms(texts: pa.Array, bits: int = 64, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-cased bytes of a batch, and its rows as in ``_combined``, one per (digest, text), of the marked digests."""
+    data, found = [], [np.zeros((7, 0), np.int64)]
+    for base, part, digest, doc, start, stop in _digested(texts, bits):
+        data.append(part)
+        if marked is not None:
+            place = digest & (8 * len(marked) - 1)
+            some = np.flatnonzero((marked[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+            digest, doc, start, stop = digest[some], doc[some], start[some], stop[some]
+        size = stop - start
+        rows = _combined(part, np.stack([digest, doc, np.ones_like(doc), start, size, start, size]))
+        rows[[3, 5]] += base
+        found.append(rows)
     whole = np.concatenate(data) if data else np.zeros(0, np.uint8)
     return whole, _combined(whole, np.concatenate(found, axis=1))
 
@@ -143,20 +164,62 @@ def _sorted_by_group(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray,
     return batch, np.cumsum(fresh) - 1, np.flatnonzero(fresh)
 
 
-def term_rows(docs: DataFrame) -> DataFrame:
-    """(lang, source, digest, n, docs, low, high): terms of the columns lang, source, text, reduced batch by batch.
+def document_counts(docs: DataFrame) -> DataFrame:
+    """(lang, digest, docs): in how many rows of a language a digest occurs."""
+    small_batches(docs.sparkSession, BATCH_ROWS)
+    bits = DIGEST_BITS
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            parts = [_digest_docs(np.stack([digest, doc])) for _, _, digest, doc, _, _ in _digested(batch.column("text"), bits)]
+            digest, doc = _digest_docs(np.concatenate(parts, axis=1)) if parts else np.zeros((2, 0), np.int64)
+            langs = batch.column("lang").dictionary_encode()
+            lang = langs.indices.to_numpy()[doc]
+            order = np.lexsort((lang, digest)) if len(langs.dictionary) > 1 else slice(None)
+            digest, lang = digest[order], lang[order]
+            fresh = np.ones(len(digest), bool)
+            fresh[1:] = (digest[1:] != digest[:-1]) | (lang[1:] != lang[:-1])
+            at = np.flatnonzero(fresh)
+            yield pa.RecordBatch.from_arrays(
+                [langs.dictionary.take(pa.array(lang[at])), pa.array(digest[at]), pa.array(np.diff(np.append(at, len(digest))))],
+                names=["lang", "digest", "docs"],
+            )
+
+    return docs.select("lang", "text").mapInArrow(work, "lang string, digest long, docs long").groupBy("lang", "digest").agg(F.sum("docs").alias("docs"))
+
+
+def marked_digests(docs: DataFrame, min_documents: int) -> np.ndarray:
+    """A bitmap, of fixed size, with a bit set for every digest in enough documents of a language."""
+    place = F.col("digest").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    bitmaps = (
+        document_counts(docs)
+        .filter(F.col("docs") >= min_documents)
+        .select(F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit"))
+        .groupBy("bucket")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+    )
+    marked = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+    for row in bitmaps.collect():  # bounded by the bitmap's size
+        marked[row.bucket << 12 : (row.bucket + 1) << 12] = np.frombuffer(row.bits, np.uint8)
+    return marked
+
+
+def term_rows(docs: DataFrame, marked: np.ndarray) -> DataFrame:
+    """(lang, source, digest, n, docs, low, high): marked digests of the columns lang, source, text, reduced batch by batch.
 
     ``low`` and ``high`` are NULL but in one row per language and digest of a batch.
     """
     small_batches(docs.sparkSession, BATCH_ROWS)
-    bits = DIGEST_BITS
+    bits, shared = DIGEST_BITS, docs.sparkSession.sparkContext.broadcast(marked)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             batch, group, first = _sorted_by_group(batch)
-            data, rows = batch_terms(batch.column("text"), bits)
+            data, rows = batch_terms(batch.column("text"), bits, shared.value)
             digest, doc = rows[0], rows[1]
             if not len(digest):
                 continue
@@ -228,7 +291,7 @@ def kept_counts(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> tuple[Da
 
     ``split`` is the term itself where several share a digest, else empty.
     """
-    rows = written(term_rows(docs), "terms")
+    rows = written(term_rows(docs, marked_digests(docs, min_documents)), "terms")
     counts = rows.groupBy(*KEYS).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     enough = counts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_documents)
     kept = written(counts.drop("docs").join(enough.drop("docs"), ["lang", "digest"]).select(*KEYS, "n"), "kept")
