@@ -85,3 +85,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a written table for broadcasting if a count proves it small; else leave the join to Spark."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+#: Groups with more than this part of all rows are joined by broadcast: there are fewer of them than this.
+HEAVY_GROUPS = 10_000
+LIGHT_ROWS = 1_000
+
+
+def join_uneven(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, which has each key once and tells in ``weight`` how many of the rows have it.
+
+    Groups of more than total / HEAVY_GROUPS rows are broadcast: their number is below
+    HEAVY_GROUPS whatever the size. The others are small enough for one task each.
+    """
+    total = groups.agg(F.sum(weight)).first()[0] or 0
+    bound = max(total // HEAVY_GROUPS, LIGHT_ROWS)
+    heavy = groups.filter(F.col(weight) > bound)
+    light = groups.filter(F.col(weight) <= bound)
+    return rows.join(F.broadcast(heavy), keys).unionByName(
+        rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
+    )

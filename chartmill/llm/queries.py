@@ -15,6 +15,7 @@ from chartmill.llm import (
     kn_quality,
     packing,
     poisson_mix,
+    prefix_trie,
     separator_scan,
     skip_chain,
     url_trees,
@@ -90,6 +91,12 @@ def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn_quality.judge(read(spark, sf_dir, "documents")).drop("lang")
 
 
+@query
+def op11_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 @query
 def op13_late_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of every source from the others of its language, and the words it stands out by."""
@@ -171,3 +178,38 @@ parts AS (
 SELECT * FROM (
   SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM parts)
 WHERE part = 'pair' OR rank <= 50"""
+
+ORACLE_SQL["op11_prefix_fingerprints"] = """
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+    xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+      lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda v, z: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+heads AS (SELECT c.conv_id, pos + 1 AS depth, digest, words FROM c JOIN t ON t.conv_id = c.base WHERE pos < c.h),
+lengths AS (SELECT c.conv_id, any_value(h) AS h, count(heads.depth) AS taken FROM c LEFT JOIN heads ON heads.conv_id = c.conv_id GROUP BY 1),
+turns AS (
+  SELECT * FROM heads UNION ALL
+  SELECT t.conv_id, pos - h + taken + 1, digest, words FROM t JOIN lengths l ON t.conv_id = l.conv_id WHERE pos >= h),
+walked AS (
+  SELECT conv_id, depth, words, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) AS prefix,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS above,
+    depth = max(depth) OVER (PARTITION BY conv_id) AS is_end
+  FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '', NULL, conv_id NOT IN (SELECT conv_id FROM turns) FROM c),
+n AS (
+  SELECT depth, sha256(prefix) AS node, sha256(any_value(above)) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+  FROM walked GROUP BY depth, prefix),
+k AS (SELECT n.*, (SELECT count(*) FROM n m WHERE m.depth = n.depth + 1 AND m.parent = n.node) AS n_children FROM n),
+s AS (
+  SELECT w.depth, sha256(w.prefix) AS node, sum(CASE WHEN k.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves,
+    sum((k.n_convs - 1) * k.words)::BIGINT AS saved_tokens
+  FROM k JOIN walked w ON w.conv_id = k.conv_id AND w.depth <= k.depth GROUP BY ALL)
+SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens, k.ends_sha256
+FROM k JOIN s ON k.depth = s.depth AND k.node = s.node LEFT JOIN n p ON p.depth = k.depth - 1 AND p.node = k.parent"""

@@ -87,7 +87,7 @@ def test_registered(spark):
 def test_queries_match_their_sql(spark, key):
     got = QUERIES[key](spark, SF)
     db = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "conversations"):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = db.sql(ORACLE_SQL[key])
     columns = sorted(got.columns)
