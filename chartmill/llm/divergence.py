@@ -293,8 +293,10 @@ def kept_counts(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> tuple[Da
     """
     rows = written(term_rows(docs, marked_digests(docs, min_documents)), "terms")
     counts = rows.groupBy(*KEYS).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    enough = counts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_documents)
-    kept = written(counts.drop("docs").join(enough.drop("docs"), ["lang", "digest"]).select(*KEYS, "n"), "kept")
+    # both sides of the join, and the written table, use all columns of ``counts``: its shuffle is made once
+    enough = counts.groupBy("lang", "digest").agg(F.sum("docs").alias("all_docs"), F.sum("n").alias("all_n"))
+    enough = enough.filter(F.col("all_docs") >= min_documents)
+    kept = written(counts.join(enough, ["lang", "digest"]).select(*KEYS, "n", "docs", "all_n"), "kept")
     texts = (
         rows.filter("low IS NOT NULL")
         .groupBy("lang", "digest")
