@@ -17,6 +17,7 @@ from chartmill.llm import (
     poisson_mix,
     prefix_trie,
     separator_scan,
+    set_join,
     skip_chain,
     url_trees,
 )
@@ -97,6 +98,12 @@ def op11_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(read(spark, sf_dir, "conversations"))
 
 
+@query
+def op12_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by links between sets of four-word shingles."""
+    return set_join.linked_documents(read(spark, sf_dir, "documents"))
+
+
 @query
 def op13_late_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of every source from the others of its language, and the words it stands out by."""
