@@ -9,11 +9,11 @@
    with at most one differing slot. All such errors are enumerated: a chunk is filed
    once per slot, with that slot left out. So the pair shares a key, always.
 4. Nodes that share a key are confirmed on their full sets - not all pairs of
-   them, which a group of n copies would have n * n / 2 of. Each node is compared with the
-   first node of its keys; links found so far give partial components; only
-   pairs of a key that these do not connect yet are then compared with one another, in
-   blocks of bounded size, if enough of their shingles occur in any other set at all. Every pair within the distance is thus linked, or
-   connected anyway, or refuted on its full sets.
+   them, which a group of n copies would have n * n / 2 of. The node of a key that shares keys most often
+   is its hub; each node within the distance of a hub is compared with it. Nodes that are not connected to
+   their hub by then, if enough of their shingles occur in any other set at all, are compared with all nodes
+   of the hub's keys in blocks of bounded size (``set_units``), which give links, not pairs. Every pair
+   within the distance is thus linked, or connected anyway, or refuted on its full sets.
 5. Connected components.
 """
 
@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartmill.llm.common import col, fresh, sized_broadcast, small_batches, text_of, written
+from chartmill.llm.common import col, fresh, join_uneven, sized_broadcast, small_batches, text_of, written
 from chartmill.llm.components import connected_components
+from chartmill.llm.set_units import compared_with_hubs, mixed_units, star_labels, stray_links
 from chartmill.llm.textscan import chunks, mix, shingle_sets
 
 SHINGLE_WORDS = 5
@@ -57,8 +58,6 @@ LAYOUTS = {85: Layout(6, 16), 80: Layout(5, 18)}
 DEFAULT_LAYOUT = LAYOUTS[PERCENT]
 SLOTS = DEFAULT_LAYOUT.slots
 DISTANCE = DEFAULT_LAYOUT.distance
-#: Members of a key compared with one another in one piece of work.
-BLOCK_MEMBERS = 1024
 #: Node ids broadcast to pick texts for confirmation; beyond it, they are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -140,100 +139,46 @@ def signature_keys(nodes: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFra
 
 
 def within_distance(pairs: DataFrame, nodes: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
-    """The pairs (a, b) whose signatures lie within the layout's distance."""
+    """The pairs (hub, node) whose signatures lie within the layout's distance."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 differ = (_matrix(batch.column(2), layout) != _matrix(batch.column(3), layout)).sum(1)
-                yield batch.select(["a", "b"]).filter(pa.array(differ <= layout.distance))
+                yield batch.select(["hub", "node"]).filter(pa.array(differ <= layout.distance))
 
-    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "sig_a", "sig_b")
-    return joined.mapInArrow(work, "a long, b long")
+    hubs = pairs.groupBy("hub").agg(F.count("*").alias("n")).join(nodes.select(F.col("node").alias("hub"), F.col("sig").alias("sig_hub")), "hub")
+    joined = join_uneven(pairs.join(nodes.select("node", "sig"), "node"), written(hubs, "hubs"), ["hub"], "n")
+    return joined.select("hub", "node", "sig_hub", "sig").mapInArrow(work, "hub long, node long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, set): sorted shingle hashes of the wanted documents (column node), eight bytes each."""
-    source = docs.select(col(id_col).cast("long").alias("node"), text_of(text_col).alias("text"))
-    # rows that repeat a doc_id keep apart from it only by their text: one of them stands for the id
-    chosen = source.join(sized_broadcast(wanted, BROADCAST_IDS), "node", "left_semi")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, data, offsets in chunks(batch.column(1)):
-                sets = shingle_sets(data, offsets, SHINGLE_WORDS)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["node", "set"],
-                )
-
-    return chosen.mapInArrow(work, "node long, set binary")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough: 100 * intersection >= percent * union."""
+    """(node, size, set): sorted shingle hashes, eight bytes each, of the wanted (node, doc_id, digest); one row per node."""
+    source = docs.select(col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    chosen = source.join(sized_broadcast(wanted.select("doc_id").distinct(), BROADCAST_IDS), "doc_id", "left_semi")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(side.as_buffer(), np.uint64) for side in (left, right))
-                if len(x) > len(y):
-                    x, y = y, x
-                if 100 * len(x) < percent * len(y):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(y, x)
-                shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(work, "a long, b long")
-
-
-def _first_shared_key(left: np.ndarray, right: np.ndarray, layout: Layout) -> np.ndarray:
-    """Place of the first key two rows of signatures share; compares rows pairwise."""
-    differ = (left != right).reshape(len(left), layout.chunks, layout.chunk_slots)
-    errors = differ.sum(2)
-    chunk = np.argmax(errors <= 1, axis=1)
-    part = differ[np.arange(len(left)), chunk]
-    return chunk * layout.chunk_slots + np.where(part.any(1), part.argmax(1), 0)
-
-
-def _block_pairs(key: int, own: np.ndarray, other: np.ndarray | None, nodes, labels, sigs, size, shared, percent, layout) -> np.ndarray:
-    """Pairs of one key that can be linked but are not connected yet, and whose first shared key this is."""
-    place = key & 0xFF
-    found = []
-    second = own if other is None else other
-    for at, i in enumerate(own):
-        js = second[at + 1 :] if other is None else second
-        js = js[labels[js] != labels[i]]
-        most = np.minimum(shared[js], shared[i])
-        js = js[100 * most >= percent * (size[js] + size[i] - most)]
-        if len(js):
-            js = js[(sigs[js] != sigs[i]).sum(1) <= layout.distance]
-        if len(js):
-            js = js[_first_shared_key(np.broadcast_to(sigs[i], (len(js), layout.slots)), sigs[js], layout) == place]
-        if len(js):
-            found.append(np.stack([np.full(len(js), nodes[i]), nodes[js]]))
-    return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-
-
-def unconnected_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, label, blocks) of the keys whose nodes have different labels; blocks is how many to cut the key into."""
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = (
-        labelled.groupBy("key")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
-        .filter("low <> high")
-        .select("key", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+            for _, data, offsets in chunks(batch.column("text")):
+                raw = [s.tobytes() for s in shingle_sets(data, offsets, SHINGLE_WORDS)]
+                digests = pa.array([hashlib.blake2b(one, digest_size=16).digest() for one in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([digests, pa.array([len(one) // 8 for one in raw], pa.int64()), pa.array(raw, pa.binary())], names=["digest", "size", "set"])
+
+    found = chosen.mapInArrow(work, "digest binary, size long, set binary").join(wanted.select("node", "digest"), "digest")
+    # rows of the table that repeat a document give its set again
+    return found.groupBy("node").agg(F.first("size").alias("size"), F.first("set").alias("set"))
+
+
+def hubs_of_keys(members: DataFrame) -> DataFrame:
+    """(hub, node): for each key the node that shares keys most often, with all nodes of the key; each pair once."""
+    often = members.groupBy("node").agg(F.count("*").alias("often"))
+    hubs = (
+        members.join(often, "node")
+        .groupBy("key")
+        .agg(F.max(F.struct("often", (-F.col("node")).alias("least"))).alias("best"), F.count("*").alias("n"))
+        .select("key", (-F.col("best.least")).alias("hub"), "n")
     )
-    return labelled.join(mixed, "key").select("key", "node", "label", "blocks")
+    return join_uneven(members, written(hubs, "keys"), ["key"], "n").select("hub", "node").distinct()
 
 
 def shared_sizes(sets: DataFrame, percent: int) -> DataFrame:
@@ -246,8 +191,8 @@ def shared_sizes(sets: DataFrame, percent: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                values = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1)]
-                nodes = np.repeat(batch.column(0).to_numpy(), [len(v) for v in values])
+                values = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("set")]
+                nodes = np.repeat(batch.column("node").to_numpy(), [len(v) for v in values])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(nodes)], names=["shingle", "node"])
 
     alone = (
@@ -258,76 +203,14 @@ def shared_sizes(sets: DataFrame, percent: int) -> DataFrame:
         .groupBy("node")
         .agg(F.count("*").alias("alone"))
     )
-    size = F.floor(F.length("set") / 8).cast("long")
     return (
-        sets.select("node", size.alias("size"))
+        sets.select("node", "size")
         .join(alone, "node", "left")
         .select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
         .filter(F.col("shared") * 100 >= F.col("size") * percent)
     )
 
 
-def unconnected_pairs(
-    members: DataFrame, nodes: DataFrame, sizes: DataFrame, percent: int, layout: Layout = DEFAULT_LAYOUT
-) -> DataFrame:
-    """Pairs (a, b) within the distance whose labels differ and whose sizes allow a link, each once.
-
-    A key with many members is cut into blocks of about ``BLOCK_MEMBERS``; a
-    task takes one block, or two blocks against each other.
-    """
-    small_batches(members.sparkSession)
-    placed = members.join(sizes, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    work_rows = (
-        placed.withColumn("other", other)
-        .withColumn("first", F.least("own", "other"))
-        .withColumn("second", F.greatest("own", "other"))
-        .join(nodes.select("node", "sig"), "node")
-        .select("key", "first", "second", (F.col("own") != F.col("first")).alias("far"), "node", "label", "sig", "size", "shared")
-        .repartition("key", "first", "second")
-        .sortWithinPartitions("key", "first", "second")
-    )
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """Whole runs of equal (key, first, second), carried over batch borders."""
-        held: list[pa.RecordBatch] = []
-        held_key = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            ids = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), len(batch)]
-            for begin, end in zip(cuts, cuts[1:]):
-                this = tuple(ids[:, begin].tolist())
-                if held and this != held_key:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held_key = this
-                held.append(batch.slice(begin, end - begin))
-        if held:
-            yield pa.Table.from_batches(held)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches):
-            if len(group) < 2:
-                continue
-            group = group.combine_chunks()
-            key, first, second = (group.column(i)[0].as_py() for i in range(3))
-            far = group.column("far").to_numpy()
-            node, label = group.column("node").to_numpy(), group.column("label").to_numpy()
-            sigs = _matrix(group.column("sig"), layout)
-            near = np.flatnonzero(~far)
-            size, shared = group.column("size").to_numpy(), group.column("shared").to_numpy()
-            other = None if first == second else np.flatnonzero(far)
-            pairs = _block_pairs(key, near, other, node, label, sigs, size, shared, percent, layout)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs.min(0)), pa.array(pairs.max(0))], names=["a", "b"]
-                )
-
-    return work_rows.mapInArrow(work, "a long, b long")
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
 ) -> DataFrame:
@@ -346,51 +229,48 @@ def near_duplicates(
     layout = layout_for(percent)
     described = written(document_signatures(docs, id_col, text_col, layout), "signatures")
     ones = described.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    # the least id of each set stands for it, with a signature that is the same for all of them
+    # one node per set, with its least document and a signature that is the same for all of them
     nodes = written(
-        ones.groupBy("digest").agg(F.min(F.struct("doc_id", "sig")).alias("first")).select(
-            "digest", F.col("first.doc_id").alias("node"), F.col("first.sig").alias("sig")
-        ),
+        ones.groupBy("digest")
+        .agg(F.min(F.struct("doc_id", "sig")).alias("first"), F.count("*").alias("n"))
+        .select(F.monotonically_increasing_id().alias("node"), "digest", F.col("first.doc_id").alias("doc_id"), F.col("first.sig").alias("sig"), "n"),
         "nodes",
     )
     keys = signature_keys(nodes, layout)
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last")
-    members = written(keys.join(shared.select("key", "first"), "key"), "members")
-
-    to_first = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    near = written(within_distance(to_first, nodes, layout), "near")
-    ids = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    stars = written(confirmed(near, written(full_sets(docs, ids, id_col, text_col), "sets"), percent), "stars")
-
-    # partial components: the least node one step away, then that node's, and again; equal labels mean connected
-    labels = stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
-    for _ in range(2):
-        above = labels.select(F.col("node").alias("label"), F.col("label").alias("upper"))
-        labels = labels.join(above, "label", "left").select("node", F.coalesce("upper", "label").alias("label"))
-    labels = written(labels, "labels")
-
-    mixed = written(unconnected_members(members.select("key", "node"), labels), "mixed")
-    sets = written(full_sets(docs, mixed.select("node").distinct(), id_col, text_col), "sets")
-    sizes = written(shared_sizes(sets, percent), "sizes")
-    rest = written(unconnected_pairs(mixed, nodes, sizes, percent, layout), "rest")
-    links = confirmed(rest, sets, percent)
-
-    found = connected_components(stars.union(links))
-    classes = nodes.join(found, "node", "left").select(
-        F.col("digest"), F.coalesce("component", "node").alias("component")
-    )
-    return (
-        described.select("doc_id", "n_shingles", "digest")
-        .join(classes, "digest", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    members = written(keys.join(shared.select("key"), "key"), "members")
+    units = written(hubs_of_keys(members), "units")
+
+    near = written(within_distance(units.filter("hub <> node"), nodes, layout), "near")
+    wanted = near.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
+    sets = written(full_sets(docs, _named(nodes, wanted), id_col, text_col), "sets")
+    stars = written(compared_with_hubs(near, sets, percent), "stars")
+    placed = written(mixed_units(units, written(star_labels(stars), "labels")), "placed")
+
+    sets = written(full_sets(docs, _named(nodes, placed.select("node").distinct()), id_col, text_col), "sets")
+    records = sets.join(written(shared_sizes(sets, percent), "sizes").select("node"), "node", "left_semi")
+    links = written(stray_links(placed.join(records.select("node"), "node", "left_semi"), records, percent), "links")
+
+    found = connected_components(stars.union(links)).withColumnRenamed("component", "cluster")
+    joined = nodes.select("node", "digest", "doc_id", "n").join(found, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    joined = written(joined, "clusters")
+    clusters = joined.groupBy("cluster").agg(F.min("doc_id").alias("component"), F.count("*").alias("sets"))
+    classes = written(join_uneven(joined, clusters, ["cluster"], "sets").select("digest", "component", "n"), "classes")
+    linked = join_uneven(ones.select("doc_id", "n_shingles", "digest"), classes, ["digest"], "n").select("doc_id", "n_shingles", "component")
+    rest = described.filter("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    return linked.unionByName(rest).select(
+        "doc_id",
+        "n_shingles",
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"),
     )
 
 
+def _named(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, doc_id, digest) of the wanted nodes."""
+    return written(nodes.select("node", "doc_id", "digest").join(wanted, "node", "left_semi"), "wanted")
+
+
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
 ) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from chartmill.llm.common import col, join_uneven, sized_broadcast, small_batches, text_of, written
 from chartmill.llm.components import connected_components
-from chartmill.llm.set_units import compared_with_hubs, star_labels, stray_links
+from chartmill.llm.set_units import compared_with_hubs, mixed_units, star_labels, stray_links
 from chartmill.llm.textscan import chunks, shingle_sets
 
 SHINGLE_WORDS = 4
@@ -251,7 +251,8 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     records = records.select("node", "size", "set")
     stars = written(compared_with_hubs(members.filter("hub <> node"), records, percent), "stars")
     labels = written(star_labels(stars), "labels")
-    links = written(stray_links(members, labels, records, percent), "links")
+    placed = mixed_units(members.join(records.select("node"), "node", "left_semi"), labels)
+    links = written(stray_links(written(placed, "placed"), records, percent), "links")
     components = connected_components(stars.union(links)).withColumnRenamed("component", "cluster")
 
     joined = classes.join(components, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))

@@ -108,21 +108,28 @@ class _Strays:
         return found[np.unique(self.label[found], return_index=True)[1]]
 
 
-def stray_links(members: DataFrame, labels: DataFrame, records: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join all members of a unit which are similar enough and not connected yet.
+def mixed_units(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(hub, node, label, stray, n): the members of units whose members are not all connected yet.
 
     ``members`` has the distinct (hub, node) of all units, hubs among their nodes; ``labels`` (node, label), where
-    equal labels mean connected and a missing one stands for the node itself; ``records`` (node, size, set).
-    Of several links between a stray and one label's nodes that meet in a task, one is returned.
+    equal labels mean connected and a missing one stands for the node itself. ``n`` is the size of the unit.
     """
-    small_batches(members.sparkSession)
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = written(labelled.select("hub", "node", "label").join(records.select("node"), "node", "left_semi"), "labelled")
-    sizes = written(labelled.groupBy("hub").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")), "sizes")
+    labelled = written(labelled.select("hub", "node", "label"), "labelled")
+    sizes = labelled.groupBy("hub").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     centers = labels.select(F.col("node").alias("hub"), F.col("label").alias("center"))
     mixed = sizes.filter("low <> high").join(centers, "hub", "left").select("hub", "n", F.coalesce("center", "hub").alias("center"))
-    placed = join_uneven(labelled, mixed, ["hub"], "n").withColumn("stray", F.col("label") != F.col("center"))
-    placed = written(placed, "placed")
+    placed = join_uneven(labelled, written(mixed, "mixed"), ["hub"], "n")
+    return placed.select("hub", "node", "label", (F.col("label") != F.col("center")).alias("stray"), "n")
+
+
+def stray_links(placed: DataFrame, records: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all members of mixed units which are similar enough and not connected yet.
+
+    ``records`` (node, size, set) may leave out members that cannot link with any other.
+    Of several links between a stray and one label's nodes that meet in a task, one is returned.
+    """
+    small_batches(placed.sparkSession)
     strays = placed.groupBy("hub").agg(F.max("n").alias("n"), F.sum(F.col("stray").cast("long")).alias("strays"))
     units = written(
         strays.filter("strays > 0").select(

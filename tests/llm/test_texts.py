@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chartmill.llm import hamming_join, kn_quality, packing, separator_scan
+from chartmill.llm import hamming_join, kn_quality, packing, separator_scan, set_units
 from chartmill.llm.components import connected_components
 from chartmill.llm.textscan import chunks, shingle_sets, word_hashes
 from chartmill.llm.tokens import END_OF_DOCUMENT, default_vocabulary, token_ids
@@ -242,7 +242,8 @@ def classes_by_brute_force(texts, percent=85):
 
 @pytest.mark.parametrize("block_members", [1024, 4])
 def test_near_duplicates_match_brute_force(spark, monkeypatch, block_members):
-    monkeypatch.setattr(hamming_join, "BLOCK_MEMBERS", block_members)
+    for name in ("HUB_MEMBERS", "OWN_STRAYS", "OTHER_MEMBERS"):
+        monkeypatch.setattr(set_units, name, block_members)
     texts = varied_texts(seed=8, count=260)
     got = {r.doc_id: r for r in hamming_join.near_duplicates(documents(spark, texts)).collect()}
     classes, sizes = classes_by_brute_force(texts)
@@ -422,3 +423,39 @@ def test_layouts_miss_one_pair_in_100_000_at_most():
         p = (1 - percent / 100) * 255 / 256
         within = sum(math.comb(layout.slots, k) * p**k * (1 - p) ** (layout.slots - k) for k in range(layout.distance + 1))
         assert 1 - within < 1e-5 and layout.slots <= 256
+
+
+def unlinked_copies(count, edits=7, words=300, seed=9):
+    """Texts of one original that differ from each other in about ``2 * edits`` words."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    texts = []
+    for _ in range(count):
+        own = list(base)
+        for _ in range(edits):
+            own[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("edits", [4, 7])
+def test_work_on_unlinked_near_copies_grows_in_proportion(spark, monkeypatch, edits):
+    """Rows handed to the units' tasks for texts within the signatures' distance that are not linked."""
+    rows = {}
+    for count in (60, 240):
+        seen = []
+        monkeypatch.setattr(hamming_join, "mixed_units", lambda *args: seen.append(set_units.mixed_units(*args)) or seen[-1])
+        texts = unlinked_copies(count, edits)
+        got = {r.doc_id: r.component_id for r in hamming_join.near_duplicates(documents(spark, texts), percent=80).collect()}
+        assert [got[i] for i in range(count)] == classes_by_brute_force(texts, 80)[0]
+        rows[count] = seen[0].count()
+    assert rows[240] <= 5 * max(rows[60], 60)
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Many equal rows of one id weigh as one, and texts that share an id link each for itself."""
+    text = unlinked_copies(1, 0)[0]
+    near, other = text.replace("b100", "changed"), " ".join(f"o{i}" for i in range(50))
+    docs = documents(spark, [text] * 50 + [near] * 50 + [other, other, near], ids=[5] * 50 + [6] * 50 + [5, 7, 2])
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in hamming_join.near_duplicates(docs).collect()}
+    assert got == {(5, 296, 2), (6, 296, 2), (2, 296, 2), (5, 46, 5), (7, 46, 5)}
