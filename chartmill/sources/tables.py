@@ -20,42 +20,62 @@ _MOMENT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d+)?$"
 _DOUBLE_DIGITS, _DECIMAL_DIGITS = 17, 38
 
 
-def _fits(cell: Column) -> dict[T.DataType, Column]:
-    """For each type, in order of preference, whether a cell can be read as it without loss."""
-    whole = cell.rlike(_WHOLE)
-    digits = F.length(F.regexp_replace(F.regexp_replace(cell, "[eE].*$", ""), "[^0-9]", ""))
-    return {
-        T.LongType(): whole & cell.try_cast("long").isNotNull(),
-        T.DecimalType(_DECIMAL_DIGITS, 0): whole & (digits <= _DECIMAL_DIGITS),
-        T.DoubleType(): cell.rlike(_NUMBER) & (digits <= _DOUBLE_DIGITS),
-        T.BooleanType(): cell.isin("true", "false"),
-        T.DateType(): cell.rlike(_DAY) & cell.try_cast("date").isNotNull(),
-        T.TimestampNTZType(): cell.rlike(_MOMENT) & cell.try_cast("timestamp_ntz").isNotNull(),
-    }
+_WHOLE_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
 
+def _tests(guess: T.DataType, cell: Column) -> list[tuple[T.DataType, Column]]:
+    """The types a column of the guessed type can have, in order of preference, each with its test of a cell.
 
-def infer_schema(texts: DataFrame) -> T.StructType:
+    Spark's guess accepts more spellings than these types do, and none that it refuses.
+    """
+    digits = F.length(F.regexp_replace(F.regexp_replace(cell, "[eE].*$", ""), "[^0-9]", ""))
+    few = lambda most: (F.length(cell) <= most) | (digits <= most)
+    double = (T.DoubleType(), cell.rlike(_NUMBER) & few(_DOUBLE_DIGITS))
+    if isinstance(guess, _WHOLE_TYPES):
+        unsigned = F.when(F.substring(cell, 1, 1).isin("+", "-"), F.substring(cell, 2, 2)).otherwise(F.substring(cell, 1, 2))
+        return [(T.LongType(), (F.substring(unsigned, 1, 1) != "0") | (unsigned == "0"))]
+    if isinstance(guess, T.DecimalType):
+        return [(T.DecimalType(_DECIMAL_DIGITS, 0), cell.rlike(_WHOLE) & few(_DECIMAL_DIGITS)), double]
+    if isinstance(guess, T.DoubleType):
+        return [double]
+    boolean = (T.BooleanType(), cell.isin("true", "false"))
+    if isinstance(guess, T.BooleanType):
+        return [boolean]
+    # what Spark took for a day or moment in another spelling
+    if isinstance(guess, T.DateType):
+        return [(T.DateType(), cell.rlike(_DAY))]
+    if isinstance(guess, (T.TimestampType, T.TimestampNTZType)):
+        return [(T.TimestampNTZType(), cell.rlike(_MOMENT))]
+    # text, or files whose headers differ: those are reported when the table is read
+    numeric = F.substring(cell, 1, 1).between("+", "9")
+    return [
+        (T.LongType(), numeric & cell.rlike(_WHOLE) & cell.try_cast("long").isNotNull()),
+        (T.DecimalType(_DECIMAL_DIGITS, 0), numeric & cell.rlike(_WHOLE) & few(_DECIMAL_DIGITS)),
+        (T.DoubleType(), numeric & double[1]),
+        boolean,
+        (T.DateType(), numeric & cell.rlike(_DAY) & cell.try_cast("date").isNotNull()),
+        (T.TimestampNTZType(), numeric & cell.rlike(_MOMENT) & cell.try_cast("timestamp_ntz").isNotNull()),
+    ]
+
+
+def infer_schema(texts: DataFrame, guessed: T.StructType) -> T.StructType:
     """Types for an all-text table: per column the first type that fits every cell, else text.
 
-    One aggregation over all rows, whatever their order; only its flags reach the
-    driver. Empty cells fit any type, a column without others is text. Whole numbers beyond
+    ``guessed`` is what Spark finds in all rows; one aggregation checks it cell by cell, and only its flags reach
+    the driver. Empty cells fit any type, a column without others is text. Whole numbers beyond
     a long are decimals; numbers with leading zeros, or with more digits than a double keeps, stay text.
     """
-    if not texts.columns:
+    names = texts.columns
+    tests = [(place, *test) for place, field in enumerate(guessed.fields) for test in _tests(field.dataType, named(names[place]))]
+    if not tests:
         return T.StructType()
-    flags, kinds = [], []
-    for place, name in enumerate(texts.columns):
-        cell = named(name)
-        for rank, (kind, fits) in enumerate(_fits(cell).items()):
-            # NULL where the column has no cell at all, else whether all of them fit
-            flags.append(F.bool_and(F.when(cell.isNotNull(), fits)).alias(f"c{place}_{rank}"))
-            kinds.append((place, kind))
-    found = texts.agg(*flags).first()
+    # NULL where a column has no cell at all, else whether all of them fit
+    flags = [F.bool_and(F.when(named(names[place]).isNotNull(), fits)).alias(f"c{i}") for i, (place, _, fits) in enumerate(tests)]
     chosen: dict[int, T.DataType] = {}
-    for (place, kind), fits in zip(kinds, found):
+    for (place, kind, _), fits in zip(tests, texts.agg(*flags).first()):
         if fits:
             chosen.setdefault(place, kind)
-    return T.StructType([T.StructField(name, chosen.get(i, T.StringType())) for i, name in enumerate(texts.columns)])
+    return T.StructType([T.StructField(name, chosen.get(i, T.StringType())) for i, name in enumerate(names)])
 
 
 def _in_file_order(given: T.StructType, header: list[str]) -> T.StructType:
@@ -89,7 +109,10 @@ def read_csv(
     given = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if given is None or header:
         texts = spark.read.options(**options).csv(path)
-        full = infer_schema(texts) if given is None else _in_file_order(given, texts.columns)
+        if given is None:
+            full = infer_schema(texts, spark.read.options(inferSchema=True, **options).csv(path).schema)
+        else:
+            full = _in_file_order(given, texts.columns)
         options["enforceSchema"] = False
     else:
         full = given
