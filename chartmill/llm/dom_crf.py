@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -100,6 +101,7 @@ def leaf_blocks(page: str) -> list[Block]:
     context: tuple[str, ...] = ()
     hidden = False
     in_link = 0
+    opened: Counter[str] = Counter()  # so that an end tag without its start costs no walk over the stack
 
     def flush() -> None:
         nonlocal linked, length
@@ -115,6 +117,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if any(tag in BLOCK_TAGS for tag, _, _ in stack[size:]):
             flush()
         in_link -= sum(tag == "a" for tag, _, _ in stack[size:])
+        opened.subtract(tag for tag, _, _ in stack[size:])
         del stack[size:]
         context, hidden = (stack[-1][1], stack[-1][2]) if stack else ((), False)
 
@@ -137,6 +140,8 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         tag = found.group(2).lower()
         if found.group(1):
+            if not opened[tag]:
+                continue
             for place in range(len(stack) - 1, -1, -1):
                 if stack[place][0] == tag:
                     pop_to(place)
@@ -178,6 +183,7 @@ def leaf_blocks(page: str) -> list[Block]:
         covered = hidden or tag in HIDDEN_TAGS or hides(given)
         inner = context + tuple(name for name in names if name not in context) if names else context
         stack.append((tag, inner, covered))
+        opened[tag] += 1
         in_link += tag == "a"
         context, hidden = inner, covered
     flush()

@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -382,6 +383,19 @@ def test_broken_markup_is_read_in_linear_time():
     assert dom_crf.leaf_blocks('<div hidden>x</div><p style="display: none">y</p><noscript>z</noscript>') == []
 
 
+def test_long_inputs_take_linear_time():
+    began = time.perf_counter()
+    assert len(dom_crf.leaf_blocks("<span>" * 40_000 + "</b>" * 40_000 + "x")) == 1
+    assert dom_crf.leaf_blocks("<b>a</i></b>" * 20_000)[0].text == "a" * 20_000
+    assert time.perf_counter() - began < 10
+    began = time.perf_counter()
+    for text in ("1234567890" * 100_000, "1234567890" * 100_000 + ".1.2", "a" * 1_000_000, "@" * 1_000_000, "+1" * 500_000):
+        assert skip_chain.base_spans(text) == []
+    assert time.perf_counter() - began < 20
+    for text in ("12.34.56.78901.2.3.4", "1.2.3.4.5.6.7.8", "1234.5.6.7.8", "01.2.3.4"):
+        assert skip_chain.base_spans(text) == base_by_brute_force(text)
+
+
 def test_only_attributes_of_their_own_hide_elements():
     shown = [
         '<p title="The hidden cost">x</p>',
