@@ -6,9 +6,10 @@ counts become sorted arrays of packed n-grams with their probabilities and
 back-off weights. An n-gram packs into 24 bits, so however large the corpus, the
 model has at most 64^4 entries; its size is bounded, and it is broadcast.
 
-Perplexities are judged within each language: documents outside the band around the language's
+Perplexities are judged within each language, by byte and by word: documents outside a band around the language's
 middle, as wide as a multiple of its spread, are rejected, the too surprising as well
-as the too predictable ones. Short texts scatter more, so the band widens with
+as the too predictable ones. Marks glued to every word are common enough in a corpus with much junk to be predictable
+byte by byte, but make its words far dearer than words are. Short texts scatter more, so the bands widen with
 1 / length. What is common junk would teach the model to expect it by sheer repetition; so the model of
 a corpus counts in how many texts an n-gram occurs, over all texts.
 
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,12 +34,16 @@ from chartmill.llm.textscan import chunks, windows, word_hashes
 ORDER = 4
 SYMBOL_BITS = 6
 SYMBOLS = 1 << SYMBOL_BITS
-#: Half the width of a band in robust standard deviations of the language's log-perplexity.
+#: Half the width of a band in robust standard deviations of the language's log-perplexities.
 BAND = 6.0
 #: A text of this many bytes has a variance twice as large as that of an endless one.
 SHORT_BYTES = 1000.0
-#: Least deviation of a language's log-perplexities, for languages with few documents.
-MIN_SPREAD = 0.02
+#: Least deviation of a language's log-perplexities, as a part of their middle.
+MIN_SPREAD = 0.003
+#: What n distinct texts leave unknown of a language, as a part of the middle: this over the root of n.
+FEW_TEXTS_SPREAD = 0.1
+#: The perplexities that have a band in each language.
+MEASURES = ("log_perplexity", "word_log_perplexity")
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOL_CHARACTERS = b"#*$%&|<>"
@@ -306,17 +311,24 @@ def scored(rows: DataFrame, model: KneserNey, text_field: int | None = None) ->
 
 
 def bands(scores: DataFrame) -> DataFrame:
-    """(lang, middle, spread) for each language, NULL being one: median log-perplexity and robust deviation.
+    """(lang, and for each of ``MEASURES`` its middle_ and spread_) for each language, NULL being one: median and robust deviation.
 
-    They are those of the distinct texts of the scores (lang, digest, log_perplexity). Quantiles are sketched, so a language with most of the rows is summed up by every task, not gathered in one.
+    They are those of the distinct texts of the scores (lang, digest, measures). Quantiles are sketched, so a language with most of the rows is summed up by every task, not gathered in one.
     """
-    texts = scores.groupBy("lang", "digest").agg(F.min("log_perplexity").alias("log_perplexity"))
+    texts = scores.groupBy("lang", "digest").agg(*[F.min(name).alias(name) for name in MEASURES])
+    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     quantiles = texts.groupBy("lang").agg(
-        F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias("q"),
+        F.count("*").alias("texts"), *[F.percentile_approx(name, quarters, 10_000).alias(name) for name in MEASURES]
     )
-    # a quarter of a normal distribution lies beyond 0.6745 standard deviations on either side
-    spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / (2 * 0.6745), F.lit(MIN_SPREAD))
-    return quantiles.select("lang", F.col("q")[1].alias("middle"), spread.alias("spread"))
+
+    def spread(name: str) -> Column:
+        q = F.col(name)
+        # a quarter of a normal distribution lies beyond 0.6745 standard deviations on either side
+        seen = F.greatest((q[2] - q[0]) / (2 * 0.6745), q[1] * MIN_SPREAD)
+        return F.sqrt(seen * seen + q[1] * q[1] * FEW_TEXTS_SPREAD**2 / F.col("texts"))
+
+    limits = [limit for name in MEASURES for limit in (F.col(name)[1].alias(f"middle_{name}"), spread(name).alias(f"spread_{name}"))]
+    return quantiles.select("lang", *limits)
 
 
 def judge(
@@ -330,10 +342,10 @@ def judge(
     """Every document's statistics, perplexity and verdict.
 
     Columns: doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    log_perplexity, base_failed, kept. Words are runs of characters other than space and U+0009 to U+000D.
+    log_perplexity, word_log_perplexity, base_failed, kept. Words are runs of characters other than space and U+0009 to U+000D.
     A document fails the base rules with fewer than ``MIN_WORDS`` words or with more than
     ``MAX_REPEATED_PERCENT`` percent of its words in three-word windows that occur twice;
-    it is kept if it passes them and its log-perplexity lies in its language's band.
+    it is kept if it passes them and its log-perplexities, by byte and by word, lie in its language's bands.
     NULL text counts as empty, NULL as a language of its own; repeated rows get equal
     results; other columns are not read; an empty table gives no rows.
     Without a ``model``, one is fitted on all of ``docs``. Copies of a text shape model and bands like one row.
@@ -342,17 +354,24 @@ def judge(
         col(id_col).cast("long").alias("doc_id"), col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text")
     )
     scores = written(scored(source, model or fit_corpus(source)), "scores")
-    return with_verdicts(scores, band).select("doc_id", "lang", *STATISTICS, "log_perplexity", "base_failed", "kept")
+    return with_verdicts(scores, band).select("doc_id", "lang", *STATISTICS, *MEASURES, "base_failed", "kept")
 
 
 def with_verdicts(scores: DataFrame, band: float = BAND) -> DataFrame:
-    """Adds ``kept`` to a written table of scores with a column lang; only what passes the base rules shapes the bands."""
+    """Adds ``word_log_perplexity`` (NULL without words) and ``kept`` to a written table of scores with a column lang.
+
+    Only what passes the base rules shapes the bands.
+    """
+    by_word = F.col("log_perplexity") * F.col("n_bytes") / F.nullif(F.col("n_words"), F.lit(0))
+    scores = scores.withColumn("word_log_perplexity", by_word)
     good = scores.filter("NOT base_failed AND log_perplexity IS NOT NULL")
-    limits = written(bands(good).select(F.col("lang").alias("band_lang"), "middle", "spread"), "bands")
+    limits = written(bands(good).withColumnRenamed("lang", "band_lang"), "bands")
     wider = F.sqrt(1 + SHORT_BYTES / F.greatest(F.col("n_bytes"), F.lit(1)))
-    inside = F.abs(F.col("log_perplexity") - F.col("middle")) <= F.lit(band) * F.col("spread") * wider
+    inside = [
+        F.abs(F.col(name) - F.col(f"middle_{name}")) <= F.lit(band) * F.col(f"spread_{name}") * wider for name in MEASURES
+    ]
     joined = scores.join(sized_broadcast(limits), F.col("lang").eqNullSafe(F.col("band_lang")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside[0] & inside[1], F.lit(True)))
 
 
 def reject(

@@ -364,6 +364,47 @@ def test_bands_reject_surprising_and_predictable_documents(spark):
     assert {r.doc_id for r in kn_quality.reject(docs).collect()} == kept
 
 
+def test_marks_glued_to_words_are_rejected_even_if_common(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(100, 400))) for _ in range(260)]
+    glued = set(range(0, 260, 7))
+    texts = [" ".join(word + "***" for word in text.split()) if i in glued else text for i, text in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in kn_quality.judge(docs).filter("kept").collect()} == set(range(260)) - glued
+
+
+def test_verdicts_follow_from_the_bands_of_each_language(spark):
+    rng = random.Random(6)
+    rows = []
+    for lang, letters in (("en", "etaoinshr"), ("de", "enisratdhuü"), (None, "xyzw"), ("one", "qrs")):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(200)]
+        for i in range(1 if lang == "one" else 40):
+            text = " ".join(rng.choice(words) + ("!!!!" if i % 13 == 5 else "") for _ in range(rng.randint(20, 300)))
+            rows += [(len(rows), text, lang)] * rng.choice((1, 1, 3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    judged = kn_quality.judge(docs).collect()
+    texts, shapes, kept = {r[0]: r[1] for r in rows}, collections.defaultdict(dict), collections.Counter()
+    for r in judged:
+        if not r.base_failed:
+            shapes[r.lang][texts[r.doc_id]] = (r.log_perplexity, r.word_log_perplexity)
+    for r in judged:
+        size = len(texts[r.doc_id].encode())
+        assert r.word_log_perplexity == pytest.approx(r.log_perplexity * size / r.n_words)
+        inside = not r.base_failed
+        for place, own in enumerate((r.log_perplexity, r.word_log_perplexity)):
+            values = sorted(pair[place] for pair in shapes[r.lang].values())
+            if not values:
+                continue
+            low, middle, high = (values[max(math.ceil(q * len(values)) - 1, 0)] for q in (0.25, 0.5, 0.75))
+            seen = max((high - low) / (2 * 0.6745), kn_quality.MIN_SPREAD * middle)
+            spread = math.hypot(seen, kn_quality.FEW_TEXTS_SPREAD * middle / math.sqrt(len(values)))
+            inside &= abs(own - middle) <= kn_quality.BAND * spread * math.sqrt(1 + kn_quality.SHORT_BYTES / size)
+        assert r.kept == inside
+        kept[inside] += 1
+    assert len(judged) == len(rows) and min(kept[True], kept[False]) > 5
+
+
 def test_quality_of_odd_tables(spark):
     docs = documents(spark, ["w " * 60, None, "x"])
     assert kn_quality.reject(docs).columns == docs.columns
