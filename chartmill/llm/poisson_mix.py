@@ -98,8 +98,8 @@ def mix(
 
     Rows are dealt out by a hash of their shuffle_key and sorted by it within each
     partition: a global shuffle that is the same for every run. Columns of ``docs`` named like the added
-    ones give way to them. A NULL source is a source; a NULL id and
-    repeated rows are mixed like any other row, the repeated ones alike; a NULL text counts
+    ones give way to them. A NULL source is a source; a row with a NULL id is
+    known by a digest of its text instead; repeated rows are mixed like any other row, but alike; a NULL text counts
     as one character. An empty table gives no rows.
     """
     rates = written(source_rates(docs, source_col, text_col, weights, size, temperature), "rates")
@@ -109,7 +109,7 @@ def mix(
     steps = rates.select(F.col("source").alias(origin), "rate", pieces.alias(parts)).select(
         origin, parts, poisson_steps(F.col("rate") / F.col(parts)).alias(cumulated)
     )
-    name = F.coalesce(col(id_col).cast("string"), F.lit(""))
+    name = F.coalesce(col(id_col).cast("string"), F.md5(F.encode(text_of(text_col), "UTF-8")))
     placed = kept.withColumn(u, uniform(F.lit(seed), name))
 
     def count(at: Column) -> Column:

@@ -125,14 +125,14 @@ steps AS (
   WHERE k < ceil(rate + 12 * sqrt(rate) + 25)),
 listed AS (SELECT source, parts, list(c ORDER BY k) AS steps FROM steps GROUP BY source, parts),
 drawn AS (
-  SELECT d.*, list_transform(range(parts), lambda part: ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')
+  SELECT d.*, list_transform(range(parts), lambda part: ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))
       || CASE WHEN part > 0 THEN ':' || part ELSE '' END), 1, 12))::BIGINT / 281474976710656.0::DOUBLE) AS u, l.steps
   FROM documents d JOIN listed l ON d.source IS NOT DISTINCT FROM l.source),
 counted AS (
   SELECT * EXCLUDE (u, steps), list_sum(list_transform(u, lambda one: len(list_filter(steps, lambda c: c <= one))))::INTEGER AS n_copies
   FROM drawn),
 copies AS (SELECT *, unnest(range(1, n_copies + 1))::INTEGER AS copy FROM counted)
-SELECT *, md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key FROM copies"""
+SELECT *, md5('mix-1:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':' || copy) AS shuffle_key FROM copies"""
 
 ORACLE_SQL["op7_content_archive"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

@@ -179,11 +179,12 @@ def mixed_by_hand(rows, weights=None, size=1.0):
     weight = {s: round(n**0.5 * 1000) if weights is None else round(weights.get(s, 0) * 1e9) for s, n in chars.items()}
     total = sum(weight.values())
     out = collections.Counter()
-    for doc_id, source, _ in rows:
+    for doc_id, source, text in rows:
         rate = weight[source] / total * (size * sum(chars.values())) / chars[source] if total else 0.0
         parts, copies = max(1, math.ceil(rate / poisson_mix.PART_RATE)), 0
         for part in range(parts):
-            key = f"{poisson_mix.SEED}:{'' if doc_id is None else doc_id}" + (f":{part}" if part else "")
+            name = hashlib.md5((text or "").encode()).hexdigest() if doc_id is None else doc_id
+            key = f"{poisson_mix.SEED}:{name}" + (f":{part}" if part else "")
             u = int(hashlib.md5(key.encode()).hexdigest()[:12], 16) / 2**48
             k, p = 0, math.exp(-rate / parts)
             c = p
@@ -219,6 +220,17 @@ def test_rates_beyond_any_table_are_split(spark):
     assert 1800 < sum(key[1] == "tiny" for key in want) < 2200
 
 
+def test_rows_without_ids_decide_apart_and_spread(spark):
+    docs = spark.range(6_000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("a").alias("source"), F.concat(F.lit("text "), "id").alias("text")
+    )
+    got = poisson_mix.mix(docs).filter("doc_id IS NULL")
+    assert got.select("n_copies").distinct().count() > 2
+    assert got.groupBy("text").agg(F.countDistinct("shuffle_key").alias("keys"), F.first("n_copies").alias("n")).filter("keys <> n").count() == 0
+    assert got.count() == pytest.approx(2_000, rel=0.1)
+    assert got.select("shuffle_key").distinct().count() == got.count()
+
+
 def test_mix_reaches_the_target_shares(spark):
     docs = spark.range(20_000).select(
         F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 8, "big").otherwise("small").alias("source"), F.lit("0123456789").alias("text")
