@@ -8,6 +8,7 @@ from chartmill.operators.feeders import cohorts, funnel_counts, hour_weekday, pe
 from chartmill.operators.filters import apply_filters
 from chartmill.operators.funnel import funnel, funnel_conversion
 from chartmill.operators.heatmap import heatmap, heatmap_cells, with_bins, with_intensity
+from chartmill.operators.joins import join_sources
 from chartmill.operators.journeys import ordered_funnel, ordered_funnel_conversion, session_hours, sessions, step_reached
 from chartmill.operators.ordering import sort_limit
 from chartmill.operators.retention import retention, retention_table, with_retention_intensity
@@ -47,6 +48,7 @@ __all__ = [
     "heatmap_cells",
     "hour_weekday",
     "id_bitmaps",
+    "join_sources",
     "legend",
     "line_series",
     "load_spec",
