@@ -17,6 +17,7 @@ from chartmill.operators.series import area_series, bar_series, line_series, ser
 from chartmill.operators.sketches import merge_sketches, quantile_series, quantile_sketch, quantiles, sketch_quantile
 from chartmill.plans.batch import batch_status, chart_batch, long_form, row_counts, write_batch
 from chartmill.plans.charts import build_chart, legend
+from chartmill.plans.publish import publish_batch, read_published
 from chartmill.plans.spec import check_chart, check_spec, load_spec
 from chartmill.plans.stages import transform
 from chartmill.session import build_session
@@ -60,10 +61,12 @@ __all__ = [
     "parse_dates",
     "parse_epoch_micros",
     "period_series",
+    "publish_batch",
     "quantile_series",
     "quantile_sketch",
     "quantiles",
     "read_csv",
+    "read_published",
     "read_table",
     "recognise_dates",
     "register_functions",

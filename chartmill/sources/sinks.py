@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,24 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     if not system.exists(folder):
         return []
     return sorted(entry.getPath().getName() for entry in system.listStatus(folder))
+
+
+def file_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small text file in place of an older one in a single rename, on any file system that has one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    draft = target.suffix(f".{uuid.uuid4().hex}.draft")
+    stream = target.getFileSystem(conf).create(draft, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    options = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    options[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    qualified = target.getFileSystem(conf).makeQualified(target)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), conf).rename(draft, target, options)

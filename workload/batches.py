@@ -240,3 +240,31 @@ def stream_weekly_series(spark, sf_dir):
     )
     line = read_latest(spark, out, "x DATE, series STRING, y DOUBLE")
     return line.withColumn("y", rounded("y"))
+
+
+@query(
+    "batch_published",
+    """
+    SELECT 'sales-by-priority-bar' AS chart, o_orderpriority AS x, round(sum(o_totalprice), 2) AS y
+    FROM orders WHERE o_totalprice > 1000 GROUP BY ALL
+    UNION ALL
+    SELECT 'sales-by-status-bar', o_orderstatus, round(sum(o_totalprice), 2) FROM orders GROUP BY ALL
+    """,
+)
+def batch_published(spark, sf_dir):
+    """Two runs of one spec into the same place; what is read is the second run, as a whole."""
+    sales = f"{sf_dir}/orders.parquet"
+    bar = {"type": "bar", "y": "o_totalprice", "agg": "sum"}
+    charts = [
+        {**bar, "title": "Sales by priority", "x": "o_orderpriority", "filter": {"expression": "o_totalprice > 1000"}},
+        {**bar, "title": "Sales by status", "x": "o_orderstatus"},
+    ]
+    out = scratch(spark, "published")
+    for chosen in (charts[:1], charts):
+        with cm.chart_batch(spark, {"data": {"default": sales}, "charts": chosen}) as batch:
+            cm.publish_batch(batch, out)
+    parts = [
+        df.select(F.lit(name).alias("chart"), "x", rounded("y", 2).alias("y"))
+        for name, df in cm.read_published(spark, out).items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
