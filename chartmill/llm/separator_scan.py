@@ -10,8 +10,8 @@ of fixed size that tasks read independently:
    documents ended before it and how many tokens of an open one lie before it;
 3. that is added to the block's first document.
 
-Only summaries are shuffled. A file of any size is spread over all tasks; the
-scan of one file sees one row per block.
+Only summaries are shuffled. A file of any size is spread over all tasks; the prefix scan of one
+file sees one row of a few numbers per block, and the lengths inside blocks are joined to its results.
 """
 
 from __future__ import annotations
@@ -26,13 +26,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chartmill.llm.common import col, small_batches, text_of, work_dir
+from chartmill.llm.common import col, small_batches, text_of, work_dir, written
 from chartmill.llm.tokens import END_OF_DOCUMENT, default_vocabulary, token_ids
 
 TOKEN_BYTES = 2
 BLOCK_TOKENS = 1 << 20
 
-_SUMMARY = "file string, block long, first_token long, n_sep long, head long, tail long, inner array<long>"
+MAX_ID = 256**TOKEN_BYTES - 1
+
+_SUMMARY = "file string, block long, first_token long, size long, n_sep long, head long, tail long, inner array<long>"
+_LIGHT = ("file", "block", "first_token", "size", "n_sep", "head", "tail")
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -48,7 +51,8 @@ def write_token_files(
 
     Returns (file, ordinal, id): which document each stretch of a file is. NULL
     text is written as an empty document; strings of special tokens inside a text
-    are ordinary text, so a separator never occurs within a document. A task
+    are ordinary text, so a separator never occurs within a document. An id that two bytes cannot hold
+    stops the job; vocabularies of more than 65,536 ids need wider files. A task
     that is run again writes the same file under a temporary name and moves it
     over the first.
     """
@@ -67,6 +71,8 @@ def write_token_files(
             for batch in batches:
                 for text in batch.column("text").to_pylist():
                     ids = token_ids(text, vocabulary, specials_as_text=True)
+                    if len(ids) and ids.max() > MAX_ID:
+                        raise ValueError(f"token id {ids.max()} does not fit {TOKEN_BYTES} bytes")
                     out.write(np.append(ids, END_OF_DOCUMENT).astype("<u2").tobytes())
                 count = len(batch)
                 yield pa.RecordBatch.from_arrays(
@@ -116,6 +122,7 @@ def scan_blocks(blocks: DataFrame, separator: int = END_OF_DOCUMENT, block_token
                             "file": path.rpartition("/")[2],
                             "block": row["block"],
                             "first_token": start,
+                            "size": count,
                             "n_sep": len(at),
                             "head": head,
                             "tail": tail,
@@ -124,7 +131,7 @@ def scan_blocks(blocks: DataFrame, separator: int = END_OF_DOCUMENT, block_token
                     ],
                     schema=pa.schema(
                         [("file", pa.string())]
-                        + [(name, pa.int64()) for name in ("block", "first_token", "n_sep", "head", "tail")]
+                        + [(name, pa.int64()) for name in _LIGHT[1:]]
                         + [("inner", pa.list_(pa.int64()))]
                     ),
                 )
@@ -136,24 +143,21 @@ def stitch(summaries: DataFrame) -> DataFrame:
     """Join what blocks saw into whole documents: (file, ordinal, n_tokens, terminated).
 
     A document without a separator at the end of a file is returned with
-    ``terminated`` false, if it has a token.
+    ``terminated`` false, if it has a token. ``summaries`` is read twice, so it should be a written table.
     """
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     following = Window.partitionBy("file").orderBy("block")
     open_since = F.coalesce(
         F.max(F.when(F.col("n_sep") > 0, F.col("first_token") + F.col("size") - F.col("tail"))).over(before), F.lit(0)
     )
-    placed = (
-        summaries.withColumn(
-            "size",
-            F.when(F.col("n_sep") == 0, F.col("head")).otherwise(
-                F.col("head") + F.col("tail") + F.col("n_sep") + F.aggregate("inner", F.lit(0).cast("long"), lambda a, x: a + x)
-            ),
-        )
-        .withColumn("ended", F.coalesce(F.sum("n_sep").over(before), F.lit(0)))
+    light = summaries.select(*_LIGHT)
+    carried = (
+        light.withColumn("ended", F.coalesce(F.sum("n_sep").over(before), F.lit(0)))
         .withColumn("carry", F.col("first_token") - open_since)
         .withColumn("is_last", F.lead("block").over(following).isNull())
     )
+    lengths = summaries.select("file", "block", "inner")
+    placed = carried.join(lengths.hint("merge"), ["file", "block"])
     whole = F.when(F.col("n_sep") > 0, F.concat(F.array(F.col("carry") + F.col("head")), F.col("inner"))).otherwise(
         F.array().cast("array<long>")
     )
@@ -176,7 +180,8 @@ def count_tokens(
     file from 0. Two separators in a row enclose an empty document (0 tokens).
     Empty files have no documents.
     """
-    return stitch(scan_blocks(token_blocks(spark, folder, block_tokens), separator, block_tokens))
+    blocks = scan_blocks(token_blocks(spark, folder, block_tokens), separator, block_tokens)
+    return stitch(written(blocks, "token_summaries"))
 
 
 def document_token_counts(

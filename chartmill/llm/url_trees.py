@@ -156,12 +156,14 @@ class UrlModel:
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, depth: int = DEPTH) -> UrlModel:
     """Learn from rows with the lexical features and ``label`` (1.0: block).
 
-    About ``sample_rows`` of them are used, chosen by a hash of the URL. Without any labelled row nothing is blocked.
+    About ``sample_rows`` different URLs are used, chosen by hash; one that many rows repeat counts once. Without any
+    labelled row nothing is blocked.
     """
-    count = labelled.count()
+    count = labelled.agg(F.approx_count_distinct("url")).first()[0]
     slots = 1 << 30
     share = min(slots, slots * sample_rows // max(count, 1))
-    sample = written(labelled.filter(F.pmod(F.xxhash64("url"), F.lit(slots)) < share).coalesce(8), "labelled_urls")
+    chosen = labelled.drop("page_id").filter(F.pmod(F.xxhash64("url"), F.lit(slots)) < share)
+    sample = written(chosen.dropDuplicates(["url"]), "labelled_urls")
     bounds = sample.agg(F.min("label"), F.max("label"), F.avg("label")).first()
     if bounds[0] is None or bounds[0] == bounds[1]:
         return UrlModel(None, [], float(bounds[0] or 0.0))

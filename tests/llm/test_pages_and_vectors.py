@@ -101,6 +101,16 @@ def noisy_texts(count=400):
     return ["".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(count)]
 
 
+def test_a_url_that_many_rows_repeat_is_sampled_once(spark):
+    many = [(i, "https://example.org/es/same") for i in range(3000)]
+    rest = [(5000 + i, f"https://example.org/{'es/' if i % 2 else 'en/2'}{i}") for i in range(60)]
+    rows = spark.createDataFrame(many + rest, "page_id long, url string")
+    rows = rows.select("*", url_trees.host_of(F.col("url")).alias("host"), url_trees.path_of(F.col("url")).alias("path"))
+    rows = url_trees.lexical_features(rows).withColumn("label", F.col("path").startswith("/es").cast("double"))
+    model = url_trees.fit(rows, sample_rows=1000, trees=2)
+    assert 0.4 < model.default < 0.6
+
+
 def test_base_spans_match_brute_force():
     for text in [*noisy_texts(), *(t for t, _ in skip_chain.labelled_documents(80, seed=3)), "", "0" * 400 + ".1.2.3"]:
         assert skip_chain.base_spans(text) == base_by_brute_force(text)

@@ -110,6 +110,21 @@ def test_blocks_are_stitched_at_any_size(spark, tmp_path, block):
     assert {tuple(r) for r in got.collect()} == expected
 
 
+def test_the_prefix_scan_carries_no_lengths(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(np.array([5, END_OF_DOCUMENT] * 50, "<u2").tobytes())
+    plan = separator_scan.count_tokens(spark, f"file://{tmp_path}", block_tokens=8)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Window") :]
+    sorted_rows = below[: below.index("FileScan") + 400].split("ReadSchema")[0]
+    assert "inner" not in sorted_rows
+
+
+def test_ids_wider_than_the_files_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(separator_scan, "MAX_ID", 100)
+    docs = documents(spark, ["several words of ordinary text"])
+    with pytest.raises(Exception, match="does not fit"):
+        separator_scan.write_token_files(docs, f"file://{tmp_path}/out").count()
+
+
 def test_empty_table_has_no_token_counts(spark):
     assert separator_scan.document_token_counts(documents(spark, []).filter("false")).count() == 0
 
