@@ -61,8 +61,9 @@ def aggregate(
 def aggregate_all(df: DataFrame, key: str, agg: str, large: bool | None = None) -> DataFrame:
     """Aggregate every column but the key with one function.
 
-    Sum, mean and median apply to the numeric columns only. ``large`` chooses the plan of medians in place of
-    the measured size.
+    Sum, mean and median apply to the numeric columns only. ``large=True`` selects medians by rank whatever the
+    size. Else the measured size decides, also against ``large=False``: Spark's own median keeps the values of
+    all columns of a group in one task, which only a small input bears.
     """
     check_aggregate(agg)
     values = [
@@ -74,13 +75,13 @@ def aggregate_all(df: DataFrame, key: str, agg: str, large: bool | None = None)
         raise ValueError(f"no column left to aggregate by '{key}'")
     if agg in ("min", "max"):
         return _extremes(df, key, values, agg)
-    if agg != "median" or is_small(df, large):
+    if agg != "median" or (not large and is_small(df)):
         return _each(df, key, values, agg)
     # Long form, so that all columns share the passes of the rank selection.
     long = df.select(
         named(key), F.explode(F.create_map(*_name_value_pairs(values))).alias("_column", "_value")
     )
-    medians = grouped_median(long, [key, "_column"], "_value", large)
+    medians = grouped_median(long, [key, "_column"], "_value", large=True)
     wide = medians.groupBy(named(key)).pivot("_column", values).agg(F.first("_value"))
     return wide.select(named(key), *[named(name) for name in values])
 

@@ -66,6 +66,20 @@ def test_all_columns_median_at_scale(rows, scale_out):
     assert found == {"a": (2.0, 6.0), "b": (3.0, 1.0), "c": (9.0, None)}
 
 
+def test_all_columns_median_gathers_no_group_in_one_task(rows, load, scale_out):
+    """Asked for the lean plan, a large input is not given Spark's median, which keeps a group's values together."""
+    names = ["l_returnflag", "l_quantity", "l_extendedprice"]
+    lines = load("lineitem").select(*names)
+    medians = aggregate_all(lines, "l_returnflag", "median", large=False)
+    assert "percentile(" not in plan_of(medians) and "median(" not in plan_of(medians)
+    groups = defaultdict(list)
+    for flag, *values in tuples(lines):
+        groups[flag].append(values)
+    expected = {flag: tuple(map(statistics.median, zip(*group))) for flag, group in groups.items()}
+    assert {flag: pytest.approx(values) for flag, *values in tuples(medians)} == {k: list(v) for k, v in expected.items()}
+    assert dict((k, v) for k, *v in tuples(aggregate_all(rows, "key", "median", large=False)))["c"] == [9.0, None]
+
+
 def test_all_columns_include_text_where_it_makes_sense(rows):
     found = {row["n"]: row["key"] for row in aggregate_all(rows, "n", "max").collect()}
     assert found[9] == "c"
