@@ -33,13 +33,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     than its own tasks. Loops (a = b) carry nothing; an empty table gives no rows.
     """
     edges = written(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
+        edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", within=edges
     )
     before = _fingerprint(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _joined_to_least(both, F.col("b") > F.col("a"))
-        edges = written(_joined_to_least(large, F.lit(True)), "links")
+        edges = written(_joined_to_least(large, F.lit(True)), "links", within=edges)
         after = _fingerprint(edges)
         if after == before:
             break

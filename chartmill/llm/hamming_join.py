@@ -148,7 +148,7 @@ def within_distance(pairs: DataFrame, nodes: DataFrame, layout: Layout = DEFAULT
                 yield batch.select(["hub", "node"]).filter(pa.array(differ <= layout.distance))
 
     hubs = pairs.groupBy("hub").agg(F.count("*").alias("n")).join(nodes.select(F.col("node").alias("hub"), F.col("sig").alias("sig_hub")), "hub")
-    joined = join_uneven(pairs.join(nodes.select("node", "sig"), "node"), written(hubs, "hubs"), ["hub"], "n")
+    joined = join_uneven(pairs.join(nodes.select("node", "sig"), "node"), written(hubs, "hubs", within=nodes), ["hub"], "n")
     return joined.select("hub", "node", "sig_hub", "sig").mapInArrow(work, "hub long, node long")
 
 
@@ -178,7 +178,7 @@ def hubs_of_keys(members: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("often", (-F.col("node")).alias("least"))).alias("best"), F.count("*").alias("n"))
         .select("key", (-F.col("best.least")).alias("hub"), "n")
     )
-    return join_uneven(members, written(hubs, "keys"), ["key"], "n").select("hub", "node").distinct()
+    return join_uneven(members, written(hubs, "keys", within=members), ["key"], "n").select("hub", "node").distinct()
 
 
 def shared_sizes(sets: DataFrame, percent: int) -> DataFrame:
@@ -235,27 +235,29 @@ def near_duplicates(
         .agg(F.min(F.struct("doc_id", "sig")).alias("first"), F.count("*").alias("n"))
         .select(F.monotonically_increasing_id().alias("node"), "digest", F.col("first.doc_id").alias("doc_id"), F.col("first.sig").alias("sig"), "n"),
         "nodes",
+        within=described,
     )
     keys = signature_keys(nodes, layout)
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last")
     members = written(keys.join(shared.select("key"), "key"), "members")
-    units = written(hubs_of_keys(members), "units")
+    units = written(hubs_of_keys(members), "units", within=members)
 
     near = written(within_distance(units.filter("hub <> node"), nodes, layout), "near")
     wanted = near.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
     sets = written(full_sets(docs, _named(nodes, wanted), id_col, text_col), "sets")
     stars = written(compared_with_hubs(near, sets, percent), "stars")
-    placed = written(mixed_units(units, written(star_labels(stars), "labels")), "placed")
+    labels = written(star_labels(stars), "labels", within=stars)
+    placed = written(mixed_units(units, labels), "placed", within=units)
 
     sets = written(full_sets(docs, _named(nodes, placed.select("node").distinct()), id_col, text_col), "sets")
-    records = sets.join(written(shared_sizes(sets, percent), "sizes").select("node"), "node", "left_semi")
+    records = sets.join(written(shared_sizes(sets, percent), "sizes", within=sets).select("node"), "node", "left_semi")
     links = written(stray_links(placed.join(records.select("node"), "node", "left_semi"), records, percent), "links")
 
     found = connected_components(stars.union(links)).withColumnRenamed("component", "cluster")
     joined = nodes.select("node", "digest", "doc_id", "n").join(found, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-    joined = written(joined, "clusters")
+    joined = written(joined, "clusters", within=nodes)
     clusters = joined.groupBy("cluster").agg(F.min("doc_id").alias("component"), F.count("*").alias("sets"))
-    classes = written(join_uneven(joined, clusters, ["cluster"], "sets").select("digest", "component", "n"), "classes")
+    classes = written(join_uneven(joined, clusters, ["cluster"], "sets").select("digest", "component", "n"), "classes", within=nodes)
     linked = join_uneven(ones.select("doc_id", "n_shingles", "digest"), classes, ["digest"], "n").select("doc_id", "n_shingles", "component")
     rest = described.filter("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     return linked.unionByName(rest).select(
@@ -268,7 +270,7 @@ def near_duplicates(
 
 def _named(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, doc_id, digest) of the wanted nodes."""
-    return written(nodes.select("node", "doc_id", "digest").join(wanted, "node", "left_semi"), "wanted")
+    return written(nodes.select("node", "doc_id", "digest").join(wanted, "node", "left_semi"), "wanted", within=nodes)
 
 
 def drop_near_duplicates(
@@ -277,5 +279,5 @@ def drop_near_duplicates(
     """``docs`` with one document of each near-duplicate class, all columns as they are."""
     found = near_duplicates(docs, id_col, text_col, percent)
     name = fresh("_dropped", docs)
-    dropped = written(found.filter("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "dropped")
+    dropped = written(found.filter("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "dropped", within=docs)
     return docs.join(sized_broadcast(dropped), col(id_col).cast("long") == F.col(name), "left_anti")

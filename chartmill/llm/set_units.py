@@ -43,7 +43,7 @@ def compared_with_hubs(pairs: DataFrame, records: DataFrame, percent: int) -> Da
     ``size`` may exceed the elements in ``set`` by such as no other set has.
     """
     small_batches(pairs.sparkSession)
-    hubs = written(pairs.groupBy("hub").agg(F.count("*").alias("n")), "hubs")
+    hubs = written(pairs.groupBy("hub").agg(F.count("*").alias("n")), "hubs", within=pairs)
     blocks = numbered_blocks("n", HUB_MEMBERS)
     placed = join_uneven(pairs, hubs, ["hub"], "n")
     members = placed.select("hub", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.lit(OWN).alias("role"), "node")
@@ -115,11 +115,11 @@ def mixed_units(members: DataFrame, labels: DataFrame) -> DataFrame:
     equal labels mean connected and a missing one stands for the node itself. ``n`` is the size of the unit.
     """
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = written(labelled.select("hub", "node", "label"), "labelled")
+    labelled = written(labelled.select("hub", "node", "label"), "labelled", within=members)
     sizes = labelled.groupBy("hub").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     centers = labels.select(F.col("node").alias("hub"), F.col("label").alias("center"))
     mixed = sizes.filter("low <> high").join(centers, "hub", "left").select("hub", "n", F.coalesce("center", "hub").alias("center"))
-    placed = join_uneven(labelled, written(mixed, "mixed"), ["hub"], "n")
+    placed = join_uneven(labelled, written(mixed, "mixed", within=members), ["hub"], "n")
     return placed.select("hub", "node", "label", (F.col("label") != F.col("center")).alias("stray"), "n")
 
 
@@ -136,6 +136,7 @@ def stray_links(placed: DataFrame, records: DataFrame, percent: int) -> DataFram
             "hub", "n", numbered_blocks("strays", OWN_STRAYS).alias("owns"), numbered_blocks("n", OTHER_MEMBERS).alias("others")
         ),
         "units",
+        within=placed,
     )
     rows = join_uneven(placed.select("hub", "node", "label", "stray"), units, ["hub"], "n")
     own_block = F.pmod(F.xxhash64("node"), F.col("owns")).cast("int")

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chartmill.llm import hamming_join, kn_quality, packing, separator_scan, set_units
+from chartmill.llm import components, hamming_join, kn_quality, packing, separator_scan, set_units
 from chartmill.llm.components import connected_components
 from chartmill.llm.textscan import chunks, shingle_sets, word_hashes
 from chartmill.llm.tokens import END_OF_DOCUMENT, default_vocabulary, token_ids
@@ -314,6 +314,36 @@ def statistics_by_brute_force(text):
     return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered)
 
 
+def test_small_tables_are_in_few_files_however_many_shuffle_partitions(spark, monkeypatch):
+    """An executor starts processes for every file it writes to a local file system; small tables do not spread over all partitions."""
+    rng = random.Random(8)
+    words = [[rng.choice("abcdefghij") * rng.randint(1, 9) + str(rng.randint(0, 99)) for _ in range(60)] for _ in range(60)]
+    rows = [(2 * i, " ".join(own)) for i, own in enumerate(words)] + [(2 * i + 1, " ".join(own + ["end"])) for i, own in enumerate(words)]
+    files = {}
+    for module in (hamming_join, set_units, components):
+
+        def counted(df, name, *args, keep=module.written, of=module.__name__.rpartition(".")[2], **more):
+            table = keep(df, name, *args, **more)
+            files[f"{of}.{name}"] = max(files.get(f"{of}.{name}", 0), len(table.inputFiles()))
+            return table
+
+        monkeypatch.setattr(module, "written", counted)
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        found = hamming_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80)
+        assert {row.doc_id: row.component_id for row in found.collect()} == {i: i - i % 2 for i in range(120)}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    bounded = {f"hamming_join.{name}" for name in ("nodes", "keys", "units", "hubs", "wanted", "labels", "placed", "sizes", "clusters", "classes")}
+    bounded |= {"components.links", "set_units.hubs", "set_units.labelled", "set_units.mixed"}
+    many = {name: n for name, n in files.items() if name in bounded and n > spark.sparkContext.defaultParallelism}
+    assert bounded <= files.keys() and not many, many
+
+
 def test_statistics_match_brute_force(spark):
     texts = varied_texts(seed=5, count=80) + ["a b c a b c x", "l 1\nl 1\n\n \nl 2\nl 1", "#a $b é|ü <>", "r r r r"]
     got = {r.doc_id: r for r in kn_quality.judge(documents(spark, texts)).collect()}
